@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plantstate.llm import mixing, quality, secrets
+from plantstate.llm import mixing, omh, pieces, quality, secrets
 from plantstate.llm.common import stage
 
 
@@ -13,6 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies stays."""
+    return omh.first_of_class(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark."""
     return secrets.redacted(docs)
@@ -23,10 +29,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with begin and end ids, as little-endian unsigned 32-bit integers."""
+    import public_tokenizers
+
+    e = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return e.select(F.col("key").alias("doc_id"), "n_tokens", "ids")
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 ORACLE_SQL = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plantstate.llm.licenses import KNOWN, SPELLINGS
 from plantstate.llm.quality import ENOUGH, FEATURES, REACH
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -88,4 +89,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged LEFT JOIN failing ON judged.r = failing.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1, "op10_quality_rules": OP10}
+OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+def _canonical(text: str) -> str:
+    out = f"lower(coalesce({text}, ''))"
+    out = f"regexp_replace({out}, '(^|\\n)[^a-z0-9\\n]*(copyright\\b[^\\n]*([0-9]{{4}}|\\(c\\)|©)|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+    for pattern, to in SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for n, t in KNOWN.items())
+
+OP2 = f"""
+WITH known AS (
+  SELECT digest, min(name) AS name FROM (SELECT name, sha256({_canonical('text')}) AS digest FROM (VALUES {_KNOWN}) AS k(name, text)) GROUP BY digest
+), whole AS (
+  SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical('text')}) AS digest FROM documents
+), lines AS (
+  SELECT DISTINCT r, sha256({_canonical('line')}) AS digest FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole) WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]')
+), hits AS (
+  SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM lines JOIN known USING (digest) GROUP BY r
+)
+SELECT doc_id, w.digest, k.name AS license, coalesce(n, 0)::BIGINT AS n_notices, coalesce(names, '') AS notices
+FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN hits h ON w.r = h.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2, "op7_top_k": OP7, "op1_mix_sources": OP1, "op10_quality_rules": OP10}

@@ -8,13 +8,12 @@ language, then with everything. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantstate.llm.common import WHITE, at, blank_if_null, numbered, stage, words_of
+from plantstate.llm.common import WHITE, at, blank_if_null, let, numbered, stage, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -45,11 +44,6 @@ FEATURES = (
 REACH, ENOUGH = 3, 200
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value being evaluated once: a one-element array binds it to a lambda's variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of eight found at least twice in the text.
 
