@@ -59,7 +59,7 @@ WITH words AS (
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
          len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_own_lines,
-         coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z!]+', '', 'g'))::BIGINT AS n_loud
+         coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1]))::BIGINT AS n_echo_words, length(regexp_replace(t, '[^A-Z!]+', '', 'g'))::BIGINT AS n_loud
   FROM words LEFT JOIN covered ON words.r = covered.r
 ), judged AS (
   SELECT *, n_lines - n_own_lines AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts

@@ -36,20 +36,21 @@ class Feature:
 FEATURES = (
     Feature("word_length", "word_chars", "n_words", 20, 4000, 10, True, True),
     Feature("symbols", "n_symbols", "n_words", 100, 4000, 10, False, True),
-    Feature("dup_lines", "n_dup_lines", "n_lines", 100, 100, 10, False, True),
-    Feature("repeats", "n_repeat_words", "n_words", 100, 100, 8, False, True),
+    Feature("dup_lines", "n_dup_lines", "n_lines", 100, 100, 20, False, True),
+    Feature("repeats", "n_repeat_words", "n_words", 100, 100, 10, False, True),
+    Feature("echoes", "n_echo_words", "n_words", 100, 100, 10, False, True),
     Feature("shouting", "n_loud", "word_chars", 200, 200, 10, False, True),
 )
 #: Spreads beyond the quartiles at which a document is cut; documents that a sketch needs to stand alone.
 REACH, ENOUGH = 3, 200
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a window of eight found at least twice in the text.
+def repeated_words(hashes: Column) -> Column:
+    """Words, given by their hashes, that lie in a window of eight found at least twice in the text.
 
     Windows are compared by 64-bit hashes. Only where some hash recurs are the positions
     of those that do sorted; each covers eight words or up to the next."""
-    last = F.size(words) - WINDOW
+    last = F.size(hashes) - WINDOW
 
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
@@ -58,7 +59,7 @@ def repeated_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(pairs, lambda p: let(_positions(p), _length)))
 
-    return F.when(last < 1, F.lit(0)).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), covered))
+    return F.when(last < 1, F.lit(0)).otherwise(let(windows(hashes), covered))
 
 
 def _positions(pairs: Column) -> Column:
@@ -73,12 +74,17 @@ def _length(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
 
+def echoed_words(hashes: Column) -> Column:
+    """Words that are followed by themselves."""
+    return F.size(F.filter(hashes, lambda x, i: x == F.get(hashes, i + 1)))
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """The counts that the rules use, as columns over one text (null: empty)."""
     t = blank_if_null(text)
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     return {
-        "by_word": let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))),
+        "by_word": let(F.transform(words_of(t), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).cast("long").alias("n_repeat_words"), echoed_words(h).cast("long").alias("n_echo_words"))),
         "by_line": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))),
         "word_chars": (F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),

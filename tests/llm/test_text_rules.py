@@ -34,6 +34,7 @@ def test_quality_counts(spark):
         assert r.n_symbols == sum(c in "#*$%&|<>" for w in words for c in w)
         assert r.n_dup_lines == len(lines) - len(set(lines))
         assert r.n_repeat_words == repeated(words), t
+        assert r.n_echo_words == sum(a == b for a, b in zip(words, words[1:]))
         assert r.base_failed == (len(words) < 20 or 100 * repeated(words) > 30 * len(words))
         assert not (r.base_failed and r.kept)
 
