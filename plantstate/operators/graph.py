@@ -13,17 +13,21 @@ from plantstate import model as m
 _own_dir: str | None = None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that executors share (spark.checkpoint.dir) and read it back; where the setting is missing, to one of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share (spark.checkpoint.dir); where the setting is missing, one of our own."""
     global _own_dir
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        folder = _own_dir
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_dir
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure_pairs(edges: DataFrame, keys: tuple[str, ...] = (), most: int = 40) -> DataFrame:
@@ -37,7 +41,7 @@ def closure_pairs(edges: DataFrame, keys: tuple[str, ...] = (), most: int = 40)
         new = cut(step.join(known, [*keys, "a", "b"], "left_anti"))
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new))
+        known = known.unionByName(new)
     raise ValueError(f"the closure still grows after {most} rounds")
 
 
@@ -90,7 +94,7 @@ def depths(edges: DataFrame, most: int = 40) -> DataFrame:
         front = cut(step.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(i)))
         if front.isEmpty():
             return known
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)
     raise ValueError(f"chains of more than {most} steps")
 
 
@@ -138,7 +142,7 @@ def reachable(starts: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
         front = cut(step.join(known, ["start", "node"], "left_anti"))
         if front.isEmpty():
             return known
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)
     raise ValueError(f"chains of more than {most} steps")
 
 

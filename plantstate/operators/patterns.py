@@ -59,7 +59,9 @@ def match_triple(bindings: DataFrame | None, rdf: DataFrame, predicate: str, s:
     if bindings is None:
         return t
     keys = [c for c in t.columns if c in bindings.columns]
-    return bindings.join(t, keys) if keys else bindings.join(t)
+    if not keys:
+        raise ValueError("the triple shares no variable with what is bound")
+    return bindings.join(t, keys)
 
 
 def match_triple_bnode(bindings: DataFrame | None, rdf: DataFrame, p1: str, p2: str, s: str, o: str) -> DataFrame:

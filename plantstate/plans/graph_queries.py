@@ -67,9 +67,9 @@ def supertype_chain(spark, d):
 @query("common_supertype", G + f", {_UP} SELECT a.node AS x, b.node AS y, arg_min(a.ancestor, (a.depth + b.depth, a.ancestor)) AS super, min(a.depth + b.depth) AS steps FROM up a JOIN up b ON a.ancestor = b.ancestor WHERE a.node LIKE '<Part/%' AND b.node LIKE '<%' AND a.node < b.node GROUP BY a.node, b.node")
 def common_supertype(spark, d):
     t = rdf(spark, d)
-    nodes = graph.subclass_edges(t).select(F.col("a").alias("n")).union(graph.subclass_edges(t).select("b")).distinct()
-    x, y = nodes.where("n LIKE '<Part/%'").select(F.col("n").alias("x")), nodes.select(F.col("n").alias("y"))
-    pairs = x.join(y, F.col("x") < F.col("y"))  # class names, not rows of data
+    up = graph.cut(graph.depths(graph.subclass_edges(t)).select("node", "ancestor"))
+    x, y = up.where("node LIKE '<Part/%'").select(F.col("node").alias("x"), "ancestor"), up.select(F.col("node").alias("y"), "ancestor")
+    pairs = x.join(y, "ancestor").where("x < y").select("x", "y").distinct()
     return graph.common_supertype(pairs, t)
 
 

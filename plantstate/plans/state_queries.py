@@ -107,8 +107,8 @@ def unsent_latest(spark, d):
 @query("retention_trim", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 86400 SECONDS")
 def retention_trim(spark, d):
     e = adapter.table(spark, d, "events").select("event_id", "ts")
-    newest = e.agg(F.max("ts").alias("now"))  # one row
-    return state.retention_trim(e.join(F.broadcast(newest)), F.col("now"), 86400).select("event_id", "ts")
+    newest = e.agg(F.max("ts")).first()[0]
+    return state.retention_trim(e, F.lit(newest), 86400)
 
 
 @query("rank_latest", S + 'SELECT id, ts, row_number() OVER (PARTITION BY id ORDER BY ts DESC, "offset" DESC)::INTEGER AS row_num FROM attr_log')
@@ -260,7 +260,7 @@ def oee_counts(spark, d):
     return aggregates.oee_counts(parts, lines, "machine", "output", F.col("p_size") < 25, *span)
 
 
-_POINT = "SELECT user_id, (event_type IN ('view', 'click'))::INTEGER AS state, epoch_ms(ts) AS ms FROM events"
+_POINT = "SELECT user_id, (event_type IN ('view', 'click'))::INTEGER AS state, epoch_us(ts) // 1000 AS ms FROM events"
 STATE_SQL = f"SELECT user_id, sum(CASE WHEN state = 1 THEN nxt - ms END)::BIGINT AS state_ms FROM (SELECT user_id, state, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS nxt FROM (SELECT user_id, ms, max(state) AS state FROM ({_POINT}) GROUP BY user_id, ms)) GROUP BY user_id"
 
 

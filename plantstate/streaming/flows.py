@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plantstate.operators.graph import cut
+from plantstate.operators.graph import shared_folder
 from plantstate.operators.state import latest_by_key
 
 
@@ -31,9 +31,8 @@ def watermark_delay(stream: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside those that cut() writes."""
-    marker = cut(spark.range(1)).inputFiles()[0]
-    return marker.rsplit("/", 2)[0] + f"/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
