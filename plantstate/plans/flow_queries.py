@@ -363,3 +363,34 @@ def seq_check_stream(spark, d):
     return flows.run_available(flows.seq_check_stream(s, "user_id", "seq", "birth", ["ts", "event_id"]), "seq").select("event_id", "valid")
 
 
+def _hours(stream: DataFrame, name: str) -> DataFrame:
+    return flows.run_available(aggregates.last_value_agg(stream.select("id", "attributeValue", "ts", "offset"), ["id"], "1 hour", "ts", "offset").select("id", "window_start", "attributeValue"), name)
+
+
+def _hours_sql(delay: str) -> str:
+    return S + f'SELECT id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, max_by(attributeValue, (ts, "offset")) AS attributeValue FROM attr_log WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR + INTERVAL {delay} {_CLOSED} GROUP BY ALL'
+
+
+@query("watermark_monotone", _hours_sql("0 HOUR"))
+def watermark_monotone(spark, d):
+    return _hours(flows.watermark_monotone(_stream_log(spark, d)), "monotone")
+
+
+@query("watermark_delay", _hours_sql("5 HOUR"))
+def watermark_delay(spark, d):
+    return _hours(flows.watermark_delay(_stream_log(spark, d), "5 hours"), "delay")
+
+
+@query("idle_sources", _hours_sql("0 HOUR"))
+def idle_sources(spark, d):
+    """A second source has no records that count, and its watermark stands still."""
+    idle = flows.watermark_monotone(_stream_log(spark, d).where("false"))
+    with flows.idle_sources(spark):
+        return _hours(flows.watermark_monotone(_stream_log(spark, d)).unionByName(idle), "idle")
+
+
+@query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before")
+def state_ttl(spark, d):
+    """State expires an hour after a key's last record, by the clock."""
+    s = raised(flows.event_stream(spark, d)).select("resource", "text", "ts", "event_id")
+    return flows.run_available(flows.alert_changes_stream(s, "resource", "text", ["ts", "event_id"], ttl_ms=3_600_000), "ttl").select("resource", "text", "event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,16 @@ def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str,
     return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
 
 
-def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """Rows whose value differs from the last one passed on, per key. State: that value."""
+def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """Rows whose value differs from the last one passed on, per key. State: that value.
+
+    ttl_ms: state that saw no row for so long expires; the next row of its key passes."""
     columns = [f.name for f in stream.schema.fields]
 
     def changed(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seen = state.get if state.exists else (None, False)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         keep = []
@@ -76,9 +82,24 @@ def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[st
             keep.append(not seen or v != last)
             last, seen = v, True
         state.update((last, seen))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield rows.loc[keep, columns]
 
-    return stream.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, seen boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, seen boolean", "append", timeout)
+
+
+@contextmanager
+def idle_sources(spark: SparkSession) -> Iterator[None]:
+    """Within, the watermark of joined or united streams follows the fastest one: a source without records doesn't hold time back."""
+    name = "spark.sql.streaming.multipleWatermarkPolicy"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "max")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def state_time_stream(stream: DataFrame, key: str, state_col: str, ts_ms: str) -> DataFrame:
