@@ -389,8 +389,8 @@ def idle_sources(spark, d):
         return _hours(flows.watermark_monotone(_stream_log(spark, d)).unionByName(idle), "idle")
 
 
-@query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before")
+@query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before, lag(ts) OVER w AS since FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before OR ts - since > INTERVAL 12 HOUR")
 def state_ttl(spark, d):
-    """State expires an hour after a key's last record, by the clock."""
+    """State that is twelve hours old has expired."""
     s = raised(flows.event_stream(spark, d)).select("resource", "text", "ts", "event_id")
-    return flows.run_available(flows.alert_changes_stream(s, "resource", "text", ["ts", "event_id"], ttl_ms=3_600_000), "ttl").select("resource", "text", "event_id")
+    return flows.run_available(flows.alert_changes_stream(s, "resource", "text", ["ts", "event_id"], ttl="12 hours"), "ttl").select("resource", "text", "event_id")

@@ -64,30 +64,27 @@ def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str,
     return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
 
 
-def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """Rows whose value differs from the last one passed on, per key. State: that value.
+def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str], ttl: str | None = None) -> DataFrame:
+    """Rows whose value differs from the last one passed on, per key. State: that value, and the time of the key's last row.
 
-    ttl_ms: state that saw no row for so long expires; the next row of its key passes."""
+    ttl: state older than this, in event time of the first order column, has expired: the next
+    row of its key passes. A key's few bytes of state stay until then."""
     columns = [f.name for f in stream.schema.fields]
+    age = None if ttl is None else pd.Timedelta(ttl)
 
     def changed(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, seen = state.get if state.exists else (None, False)
+        last, seen, at = state.get if state.exists else (None, False, None)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         keep = []
-        for v in rows[value]:
+        for v, t in zip(rows[value], rows[order[0]]):
             v = None if pd.isna(v) else v
-            keep.append(not seen or v != last)
-            last, seen = v, True
-        state.update((last, seen))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
+            old = age is not None and at is not None and pd.Timestamp(t) - pd.Timestamp(at) > age
+            keep.append(not seen or v != last or old)
+            last, seen, at = v, True, t
+        state.update((last, seen, pd.Timestamp(at).to_pydatetime()))
         yield rows.loc[keep, columns]
 
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, seen boolean", "append", timeout)
+    return stream.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, seen boolean, at timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 @contextmanager
