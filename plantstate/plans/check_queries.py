@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantstate import model as m
 from plantstate.operators import checks, graph, patterns, rules
 from plantstate.plans import base_sql as b
 from plantstate.plans.registry import query
@@ -12,19 +13,21 @@ from plantstate.sources import adapter
 
 
 def shapes(spark: SparkSession, d: str) -> DataFrame:
-    return checks.inherited(adapter.constraints(spark), graph.transitive_closure(adapter.rdf(spark, d)))
+    classes = adapter.rdf(spark, d).where(F.col("predicate") == m.SUBCLASS)
+    return graph.cut(checks.inherited(adapter.constraints(spark), graph.transitive_closure(classes)))
 
 
-def base_prop(spark: SparkSession, d: str) -> DataFrame:
-    return checks.check_base_prop(adapter.entities(spark, d), adapter.attributes(spark, d), shapes(spark, d), adapter.rdf(spark, d))
+def base_prop(spark: SparkSession, d: str, by: DataFrame | None = None) -> DataFrame:
+    return checks.check_base_prop(adapter.entities(spark, d), adapter.attributes(spark, d), shapes(spark, d) if by is None else by, adapter.rdf(spark, d))
 
 
-def base_rel(spark: SparkSession, d: str) -> DataFrame:
-    return checks.check_base_rel(adapter.entities(spark, d), adapter.attributes(spark, d), shapes(spark, d))
+def base_rel(spark: SparkSession, d: str, by: DataFrame | None = None) -> DataFrame:
+    return checks.check_base_rel(adapter.entities(spark, d), adapter.attributes(spark, d), shapes(spark, d) if by is None else by)
 
 
 def triggers(spark: SparkSession, d: str) -> DataFrame:
-    return checks.chk_all_rel(base_rel(spark, d)).unionByName(checks.chk_all_prop(base_prop(spark, d)))
+    by = shapes(spark, d)
+    return checks.chk_all_rel(base_rel(spark, d, by)).unionByName(checks.chk_all_prop(base_prop(spark, d, by)))
 
 
 BASE = ("this", "path", "parentPath", "constraint_id", "edeleted", "attributeValue", "nodeType", "type", "found")
