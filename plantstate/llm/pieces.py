@@ -24,7 +24,7 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NONE = np.iinfo(np.int64).max
 #: Words that a task keeps encoded; beyond that it starts anew.
-CACHE = 300_000
+CACHE = 600_000
 
 
 @dataclass
@@ -118,6 +118,7 @@ class Vocabulary:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         number = np.arange(len(words))
         done: list[bytes] = [b""] * len(words)
+        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(number):
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = np.full(len(symbols), -1)
@@ -125,9 +126,10 @@ class Vocabulary:
             place[starts[1:] - 1] = -1
             ranks = np.where(place < 0, NONE, self.pair_ranks[place])
             best = np.minimum.reduceat(ranks, starts)
-            for w in np.flatnonzero(best >= self.tied):
-                word = symbols[starts[w] : starts[w] + lengths[w]]
-                done[number[w]] = self._bytes(word if best[w] == NONE else np.array(self.leftmost(word.tolist())))
+            for w in np.flatnonzero(best == self.tied):
+                done[number[w]] = self._bytes(np.array(self.leftmost(symbols[starts[w] : starts[w] + lengths[w]].tolist())))
+            whole = best == NONE
+            ended.append((symbols[np.repeat(whole, lengths)], lengths[whole], number[whole]))
             best[best == self.tied] = NONE
             word = np.repeat(np.arange(len(number)), lengths)
             hit = np.flatnonzero((ranks == best[word]) & (ranks < NONE))
@@ -145,8 +147,22 @@ class Vocabulary:
             keep[hit + 1] = False
             lengths = np.bincount(word[keep], minlength=len(number))[best < NONE]
             symbols, number = symbols[keep], number[best < NONE]
+        if ended:
+            symbols, lengths, number = (np.concatenate(x) for x in zip(*ended))
+            if len(number):
+                self._cut(symbols, lengths, number, done)
         return done
 
+    def _cut(self, symbols: np.ndarray, lengths: np.ndarray, number: np.ndarray, done: list[bytes]) -> None:
+        """Put the bytes of words, whose symbols lie one after another, in their places."""
+        stops = np.cumsum(lengths)
+        starts = stops - lengths
+        flat = symbols.astype("<u4").tobytes()
+        for n, a, b in zip(number.tolist(), (4 * starts).tolist(), (4 * stops).tolist()):
+            done[n] = flat[a:b]
+        for w in np.flatnonzero(np.maximum.reduceat(symbols, starts) >= self.size):
+            done[number[w]] = self._bytes(symbols[starts[w] : stops[w]])
+
     def _bytes(self, symbols: np.ndarray) -> bytes:
         if (symbols < self.size).all():
             return symbols.astype("<u4").tobytes()
