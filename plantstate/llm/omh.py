@@ -30,7 +30,8 @@ from plantstate.llm.graphs import components
 SHINGLE, BANDS, PICKED, LEAST = 5, 24, 4, 0.8
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once: the arrays of a chunk take some twenty times as much.
+CHUNK = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -196,7 +197,8 @@ def links(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b: verified links that join all documents which any bucket's links join, from profiles()."""
     one = rows.select("node", "sketch").where(F.size("sketch") > 0).dropDuplicates(["node"])
     members = one.select("node", F.posexplode("sketch").alias("band", "hash"))
-    leaders = members.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    # Written, so that the join below reads two plain exchanges and a hot bucket's partition can be split.
+    leaders = stage(members.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
     buckets = stage(members.join(leaders, ["band", "hash"]).select("band", "hash", "leader", "node", "size"), "buckets")
     pairs = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     asked = buckets.select("node").distinct()
@@ -236,7 +238,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rows = stage(profiles(docs, id_col, text_col), "profiles")
     roots = components(links(rows, least))
     placed = rows.select("key", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = placed.groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
+    names = stage(placed.groupBy("root").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")), "names")
     return placed.join(names, "root").select("key", "row", "root", "class_id", "class_size")
 
 
