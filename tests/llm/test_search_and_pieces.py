@@ -129,6 +129,22 @@ def test_main_text():
     assert html.main_text("<article></article><p>outside", frozenset()) == ""
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content no-sidebar"><article><p>a</p></article></div>', "a"),
+    ('<div class="page sidebar"><nav>n</nav><article><p>a</p></article></div><p>x</p>', "a"),
+    ('<form id="all"><main><div class="with-sidebar widget"><article><p>a</p></article></div></main></form>', "a"),
+    ('<div class="related"><article>teaser</article></div><article><p>a</p><div class="comments"><article>c</article></div></article>', "a"),
+    ('<div class="related"><article>teaser</article></div><div><p>a longer text</p></div>', "a longer text"),
+    ('<article><h2 id="related-work">a</h2><section id="search-algorithms"><p class="notice-of-intent">b</p></section><h2 class="header">c</h2><span class="ad">x</span> d</article>', "a\nb\nc\nd"),
+    ('<datalist><option value=a><option value=b></datalist><select><option>x<option>y</select><article><p>a</p></article>', "a"),
+    ('<svg viewBox="0 0 1 1"/><article><p>a</p><svg><title>x</title><path d="M0"/><g><text>t</text></g></svg><p>b</p></article>', "a\nb"),
+    ('<svg><path d="M0"><div><article><p>a</p></article></div>', "a"),
+    ("<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p><object><p>x</p></object><p>b</p></article>", "where x=1\nb"),
+])
+def test_main_text_keeps_the_article(page, text):
+    assert html.main_text(f"<html><body>{page}</body></html>", frozenset()) == text
+
+
 def test_templates_drop_what_a_hosts_pages_share(spark):
     page = lambda i: f"<html><body><div><p>All rights reserved by us</p></div><div><p>Own text {i}</p><p>same line</p></div></body></html>"
     rows = [(i, f"http://h.org/{i}", page(i), "") for i in range(9)] + [(20, "http://one.org/", page(20), ""), (21, None, None, ""), (22, "http://e.org/", "", "")]
