@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantstate.llm.common import at, blank_if_null, numbered, stage
+from plantstate.llm.license_digests import DIGESTS
 
 #: Spellings that count as equal, as (pattern, replacement) over lower-case words.
 SPELLINGS = (
@@ -23,11 +24,35 @@ SPELLINGS = (
     (r"\bhttps?\b", "http"),
 )
 
+#: Creative Commons licences in full words, and where their versions hold.
+COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def _commons() -> dict[str, str]:
+    """Notices of one line of the Creative Commons licences: name and spelling, text."""
+    out = {}
+    for kind, words in COMMONS.items():
+        for version, area in VERSIONS.items():
+            name = f"CC {kind} {version} notice"
+            split = words.replace("NonC", "Non-C").replace("ShareA", "Share-A")
+            for lead, mark in (("Licensed under", ""), ("This work is licensed under", ", of a work"), ("Released under", ", released")):
+                out[f"{name}{mark}"] = f"{lead} CC {kind} {version}."
+                long = {"": f"{words} {version} {area}", " and split": f"{split} {version} {area}", " and without area": f"{words} {version}", " and split, without area": f"{split} {version}"}
+                for more, form in long.items():
+                    out[f"{name}{mark}, in full{more}"] = f"{lead} a Creative Commons {form} License."
+    return out
+
+
 #: Known texts. The first are notices of one line, the rest whole licences.
 KNOWN = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
+    **_commons(),
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
@@ -70,6 +95,11 @@ def known_texts(df: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
     return df.sparkSession.createDataFrame(sorted(known.items()), "name string, text string")
 
 
+def known_digests(df: DataFrame) -> DataFrame:
+    """digest, name of the licences that are shipped as digests; none of them is a text of KNOWN."""
+    return df.sparkSession.createDataFrame(sorted(DIGESTS.items()), "digest string, name string")
+
+
 def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, digest, license (of the entire text, else null) and notices (names of lines that are known texts, sorted, each once).
 
@@ -77,7 +107,8 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_
     and no license. Repeated rows give repeated rows. The join's other side is the table of
     known digests; whether it is broadcast is Spark's choice by its size."""
     d = numbered(docs)
-    found = digests(known_texts(docs) if known is None else known).select(F.col("digest").alias("k_digest"), "name")
+    found = digests(known_texts(docs)).unionByName(known_digests(docs)) if known is None else digests(known)
+    found = found.select(F.col("digest").alias("k_digest"), "name")
     t = d[at(docs, text_col)]
     lines = F.filter(F.split(blank_if_null(t), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     d = stage(d.select(F.monotonically_increasing_id().alias("row"), d[at(docs, id_col)].alias("key"), digest(t).alias("digest"), F.array_distinct(F.transform(lines, digest)).alias("lines")), "digests")

@@ -1,9 +1,11 @@
 """Top-k search, SentencePiece, URL filters, HTML, licences against plain Python."""
 
 import math
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plantstate.llm import html, licenses, pieces, topk, urls
 from plantstate.llm.queries import URL_RULES, model_path
@@ -169,3 +171,24 @@ def test_licenses(spark, text, name):
     got = {r.key: r for r in licenses.scanned(df).collect()}
     assert got[1].license == name
     assert got[2].license is None and got[2].notices == ["MIT notice"]
+
+
+def test_every_license_line_of_the_tables_has_a_name(spark):
+    lines = ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International Licence", "licensed under CC-BY-NC-SA 3.0", "Not licensed under CC BY-NC 4.0."]
+    got = {r.key: r.notices for r in licenses.scanned(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")).collect()}
+    assert got[0] == ["CC BY-NC 4.0 notice"] and got[1][0].startswith("CC BY-NC 4.0 notice") and got[2] == ["CC BY-NC-SA 3.0 notice"] and got[3] == []
+    if os.path.isdir("/root/testdata/sf0.01"):
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        found = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike("(?i)licen[sc]ed? |released under")).distinct().withColumn("doc_id", F.lit(1))
+        assert found.count() and licenses.scanned(found).where("size(notices) = 0").isEmpty()
+
+
+def test_entire_licenses_by_digest(spark):
+    mit, names = "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + licenses.KNOWN["MIT"], {r.name for r in licenses.known_digests(spark.range(1)).collect()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"} <= names
+    texts = [(mit, "MIT")]
+    if os.path.isdir("/usr/share/common-licenses"):
+        texts += [(open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read(), name) for f, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"))]
+    got = licenses.scanned(spark.createDataFrame([(name, text) for text, name in texts], "doc_id string, text string")).collect()
+    assert all(r.license == r.key for r in got)
+    assert not set(licenses.DIGESTS) & {r.digest for r in licenses.digests(licenses.known_texts(spark.range(1))).collect()}
