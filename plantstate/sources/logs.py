@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,9 +71,30 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(changes: DataFrame, path: str, entity: bool = False) -> None:
-    """History points as Parquet by date; a day that gets points again is replaced by its merge."""
+    """Merge history points into Parquet by day: of points with one key that of the later batch stays.
+
+    Only the days that the batch has are read and written. Their merge is written to a staged folder
+    first, beside the log (path-merge), so that the swap of these days does not read what it replaces."""
+    spark = changes.sparkSession
+    keys = ["id", "observedAt"] if entity else ["id", "observedAt", "datasetId"]
     points = (entity_history(changes) if entity else attribute_history(changes)).withColumn("day", F.to_date("observedAt"))
+    jvm = spark.sparkContext._jvm
+    root, merged = jvm.org.apache.hadoop.fs.Path(path), f"{path.rstrip('/')}-merge/{uuid.uuid4().hex}"
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(root):
+        # Written, as the batch is read for its days and its points.
+        points.write.parquet(f"{merged}/new")
+        points = spark.read.schema(points.schema).parquet(f"{merged}/new")
+        days = [r.day for r in points.select("day").distinct().collect()]
+        known = F.col("day").isin([x for x in days if x is not None])
+        old = spark.read.schema(points.schema).parquet(path).where(known | F.col("day").isNull() if None in days else known)
+        both = points.withColumn("_b", F.lit(1)).unionByName(old.withColumn("_b", F.lit(0)))
+        rest = [c for c in points.columns if c not in keys]
+        top = both.groupBy(*keys).agg(F.max(F.struct("_b", *rest)).alias("l"))
+        top.select(*keys, *[F.col(f"l.{c}").alias(c) for c in rest]).write.parquet(f"{merged}/all")
+        points = spark.read.schema(points.schema).parquet(f"{merged}/all")
     points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(merged), True)
 
 
 def nodeset_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:

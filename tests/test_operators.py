@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plantstate import model as m
 from plantstate.functions import terms
 from plantstate.operators import aggregates, alerts, cdc, checks, graph, patterns, rules, state
-from plantstate.sources import adapter
+from plantstate.sources import adapter, logs
 
 
 def test_latest_row_wins_and_ties_break(spark):
@@ -77,3 +77,22 @@ def test_terms(spark):
 
 def test_constraint_rows_match_schema(spark):
     assert adapter.constraints(spark).columns[0] == "id" and adapter.combinations(spark).count() == len(adapter.COMBINATION_ROWS)
+
+
+def test_history_of_a_day_is_merged(spark, tmp_path):
+    from datetime import datetime
+
+    def batch(rows):
+        full = [(i, None, "e", "p", "@value", None, m.PROPERTY, v, "@none", None, None, False, True, datetime(2024, 1, day, hour), o) for o, (i, day, hour, v) in enumerate(rows)]
+        return spark.createDataFrame(full, m.ATTRIBUTES.replace("ts timestamp", "ts timestamp, offset long") if isinstance(m.ATTRIBUTES, str) else m.ATTRIBUTES.add("offset", "long"))
+
+    path = str(tmp_path / "log")
+    for rows in ([("a", 1, 1, "old"), ("b", 1, 2, "x"), ("c", 2, 1, "y")], [("a", 1, 1, "new"), ("d", 1, 3, "z")], [("e", 3, 1, "w")]):
+        logs.write_history(batch(rows), path)
+    got = {(r.id, r.value, r.observedAt.day) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", "new", 1), ("b", "x", 1), ("d", "z", 1), ("c", "y", 2), ("e", "w", 3)}
+    seen = lambda i, hour: (i, "T", datetime(2024, 1, 1, hour), False)
+    for rows in ([seen("a", 1)], [seen("b", 1), seen("a", 2)]):
+        logs.write_history(spark.createDataFrame(rows, "id string, type string, ts timestamp, deleted boolean"), path + "-e", entity=True)
+    assert sorted((r.id, r.observedAt.hour) for r in spark.read.parquet(path + "-e").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert [p.name for p in (tmp_path / "log-merge").glob("*")] == []
