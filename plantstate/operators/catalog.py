@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantstate import model as m
+from plantstate.operators import graph
 
 #: Shape predicates and the constraint columns that they fill.
 SH = "http://www.w3.org/ns/shacl#"
@@ -59,15 +60,24 @@ def triples_of(triples: DataFrame, predicate: str) -> DataFrame:
     return triples.where(F.col("predicate") == predicate).select("subject", "object")
 
 
-SCHEMA_DOC = "array<struct<`$id`:string,properties:map<string,struct<relationship:string,relationship_type:string,type:string,enum:array<string>,minimum:string,maximum:string,exclusiveMinimum:string,exclusiveMaximum:string,minLength:string,maxLength:string>>,required:array<string>,allOf:array<struct<`$ref`:string>>>>"
+_MEMBERS = "properties:map<string,struct<relationship:string,relationship_type:string,type:string,enum:array<string>,minimum:string,maximum:string,exclusiveMinimum:string,exclusiveMaximum:string,minLength:string,maxLength:string>>,required:array<string>"
+SCHEMA_DOC = "array<struct<`$id`:string," + _MEMBERS + ",allOf:array<struct<`$ref`:string," + _MEMBERS + ">>>>"
 
 
 def schema_properties(docs: DataFrame) -> DataFrame:
-    """id, name, p, required: the properties of schema documents (column doc: JSON array text), own and by allOf reference."""
-    d = docs.select(F.explode(F.from_json("doc", SCHEMA_DOC)).alias("d")).select(F.col("d.`$id`").alias("id"), "d.properties", F.coalesce("d.required", F.array().cast("array<string>")).alias("required"), F.transform(F.coalesce("d.allOf", F.array().cast("array<struct<`$ref`:string>>")), lambda x: x["$ref"]).alias("refs"))
-    own = d.select("id", F.explode("properties").alias("name", "p"), "required").withColumn("needed", F.array_contains("required", F.col("name"))).drop("required")
-    refs = d.select(F.col("id").alias("top"), F.explode("refs").alias("id")).distinct()
-    return own.unionByName(own.join(refs, "id").select(F.col("top").alias("id"), "name", "p", "needed"))
+    """id, name, p, needed: the properties of schema documents (column doc: JSON array text), own, of the
+    members of allOf, and of all that allOf references lead to."""
+    d = docs.select(F.explode(F.from_json("doc", SCHEMA_DOC)).alias("d")).select(F.col("d.`$id`").alias("id"), "d.properties", "d.required", "d.allOf")
+    inline = d.select("id", F.explode("allOf").alias("x"))
+    groups = d.select("id", "properties", "required").unionByName(inline.select("id", "x.properties", "x.required"))
+    # A required name may be defined in another part.
+    needed = groups.select("id", F.explode("required").alias("name")).distinct().withColumn("_needed", F.lit(True))
+    own = groups.select("id", F.explode("properties").alias("name", "p"))
+    refs = graph.closure_pairs(inline.where(F.col("x.`$ref`").isNotNull()).select(F.col("id").alias("a"), F.col("x.`$ref`").alias("b"))).where("a <> b")
+    up = refs.select(F.col("a").alias("top"), F.col("b").alias("id"))
+    reached = lambda df, *rest: df.select("id", *rest).unionByName(df.join(up, "id").select(F.col("top").alias("id"), *rest))
+    must = reached(needed, "name", "_needed").distinct()
+    return reached(own, "name", "p").join(must, ["id", "name"], "left").select("id", "name", "p", F.coalesce("_needed", F.lit(False)).alias("needed"))
 
 
 def schema_catalog(docs: DataFrame) -> DataFrame:

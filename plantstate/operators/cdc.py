@@ -108,7 +108,7 @@ def merge_patch(state: DataFrame, patches: DataFrame, null_marker: str = "urn:ng
 
 def concise_to_normalized(attr: Column) -> Column:
     """A concise attribute (JSON text of a value, or of an object) as {"type": .., "value": ..} text."""
-    return F.when(F.get_json_object(attr, "$.type").isNotNull(), attr).when(F.get_json_object(attr, "$.object").isNotNull(), F.concat(F.lit('{"type":"Relationship",'), F.substring(attr, 2, 1_000_000))).when(F.get_json_object(attr, "$.value").isNotNull(), F.concat(F.lit('{"type":"Property",'), F.substring(attr, 2, 1_000_000))).otherwise(F.concat(F.lit('{"type":"Property","value":'), attr, F.lit("}")))
+    return F.when(F.get_json_object(attr, "$.type").isNotNull(), attr).when(F.get_json_object(attr, "$.object").isNotNull(), F.concat(F.lit('{"type":"Relationship",'), F.substr(attr, F.lit(2)))).when(F.get_json_object(attr, "$.value").isNotNull(), F.concat(F.lit('{"type":"Property",'), F.substr(attr, F.lit(2)))).otherwise(F.concat(F.lit('{"type":"Property","value":'), attr, F.lit("}")))
 
 
 def normalized_to_concise(attr: Column) -> Column:

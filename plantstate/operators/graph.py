@@ -166,17 +166,26 @@ def sub_references(edges: DataFrame, triples: DataFrame, predicate: str) -> Data
     return edges.join(which, "predicate", "left_semi")
 
 
-def rdf_list_to_array(triples: DataFrame, heads: DataFrame, most: int = 1000) -> DataFrame:
-    """head, items: the list that starts at each head, in order; the end and missing heads give an empty list."""
+def rdf_list_to_array(triples: DataFrame, heads: DataFrame) -> DataFrame:
+    """head, items: the list that starts at each head, in order; the end and missing heads give an empty list.
+
+    Steps double each round, so a list of n items takes log n rounds. Lists with a cycle raise an
+    error. An item that is itself a list stays its head; give such heads to read it."""
     first = triples.where(F.col("predicate") == m.RDF_FIRST).select(F.col("subject").alias("node"), F.col("object").alias("item"))
     rest = triples.where((F.col("predicate") == m.RDF_REST) & (F.col("object") != m.RDF_NIL)).select(F.col("subject").alias("node"), F.col("object").alias("next"))
-    front = cut(heads.select("head", F.col("head").alias("node"), F.lit(0).alias("i")))
-    parts = front
-    for _ in range(most):
-        front = cut(front.join(rest, "node").select("head", F.col("next").alias("node"), F.col("i") + 1).toDF("head", "node", "i"))
-        if front.isEmpty():
+    jump = cut(rest)
+    longest, step = jump.count(), 1
+    parts = cut(heads.select("head", F.col("head").alias("node"), F.lit(0).cast("long").alias("i")))
+    while True:
+        # parts has the places below step; jump leads step places ahead.
+        ahead = cut(parts.join(jump, "node").select("head", F.col("next").alias("node"), (F.col("i") + step).alias("i")))
+        if ahead.isEmpty():
             break
-        parts = parts.unionByName(front)
+        if step > longest:
+            raise ValueError("a list has a cycle")
+        parts = parts.unionByName(ahead)
+        jump = cut(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("to")), "next").select("node", F.col("to").alias("next")))
+        step *= 2
     items = parts.join(first, "node").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("i", "item"))).alias("p"))
     return heads.select("head").join(items, "head", "left").select("head", F.coalesce(F.transform("p", lambda x: x["item"]), F.array().cast("array<string>")).alias("items"))
 

@@ -162,18 +162,21 @@ def target_nodes_extract(triples: DataFrame, given: DataFrame) -> DataFrame:
     return triples.join(same, "subject", "left_semi").select("subject", "predicate", "object")
 
 
-def violation_context(report: DataFrame, parents: DataFrame, names: DataFrame, most: int = 50) -> DataFrame:
-    """report (focus, ..) with entity and path: up the parents (child, parent, step) until a named node (node)."""
+def violation_context(report: DataFrame, parents: DataFrame, names: DataFrame) -> DataFrame:
+    """report (focus, ..) with entity and path: up the parents (child, parent, step) until a named node (node).
+
+    However deep that is; a way up does not come to one node twice."""
     out = None
-    front = report.select("focus", F.col("focus").alias("node"), F.array().cast("array<string>").alias("path")).distinct()
+    front = report.select("focus", F.col("focus").alias("node"), F.array().cast("array<string>").alias("path"), F.array("focus").alias("seen")).distinct()
     named = names.select("node").distinct()
-    for _ in range(most):
+    while True:
         front = graph.cut(front)
+        if out is not None and front.isEmpty():
+            break
         done = front.join(named, "node", "left_semi")
         out = done if out is None else out.unionByName(done)
-        front = front.join(named, "node", "left_anti").join(parents, front["node"] == parents["child"]).select("focus", F.col("parent").alias("node"), F.concat(F.array("step"), "path").alias("path"))
-        if front.isEmpty():
-            break
+        front = front.join(named, "node", "left_anti").join(parents, front["node"] == parents["child"]).where(~F.array_contains("seen", F.col("parent")))
+        front = front.select("focus", F.col("parent").alias("node"), F.concat(F.array("step"), "path").alias("path"), F.concat("seen", F.array("parent")).alias("seen"))
     context = out.select("focus", F.col("node").alias("entity"), F.array_join("path", "/").alias("path"))
     return report.join(context, "focus", "left")
 

@@ -147,7 +147,7 @@ def cdc_flatten(spark, d):
 
 @query("src_jsonld_entities", flat_sql("before"))
 def src_jsonld_entities(spark, d):
-    docs = changes(spark, d).where(F.col("before").isNotNull()).select(F.concat(F.lit('{"@id":"'), "before.id", F.lit('","@type":["Order"],'), F.substring("before.entity", 2, 1_000_000)).alias("doc"))
+    docs = changes(spark, d).where(F.col("before").isNotNull()).select(F.concat(F.lit('{"@id":"'), "before.id", F.lit('","@type":["Order"],'), F.substr("before.entity", F.lit(2))).alias("doc"))
     return logs.entity_documents(docs)[1].select(*FLAT)
 
 

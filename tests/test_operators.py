@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions import terms
-from plantstate.operators import aggregates, alerts, cdc, checks, graph, patterns, rules, state
+from plantstate.operators import aggregates, alerts, catalog, cdc, checks, graph, onto, patterns, rules, state
 from plantstate.sources import adapter, logs
 
 
@@ -96,3 +96,35 @@ def test_history_of_a_day_is_merged(spark, tmp_path):
         logs.write_history(spark.createDataFrame(rows, "id string, type string, ts timestamp, deleted boolean"), path + "-e", entity=True)
     assert sorted((r.id, r.observedAt.hour) for r in spark.read.parquet(path + "-e").collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert [p.name for p in (tmp_path / "log-merge").glob("*")] == []
+
+
+def test_long_lists_are_whole_and_cycles_raise(spark):
+    import pytest
+
+    n = 1500
+    rows = [(f"c{i}", m.RDF_FIRST, str(i)) for i in range(n)] + [(f"c{i}", m.RDF_REST, f"c{i + 1}" if i < n - 1 else m.RDF_NIL) for i in range(n)]
+    triples = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    got = {r.head: r["items"] for r in graph.rdf_list_to_array(triples, spark.createDataFrame([("c0",), ("c1490",), ("none",)], "head string")).collect()}
+    assert got == {"c0": [str(i) for i in range(n)], "c1490": [str(i) for i in range(1490, n)], "none": []}
+    loop = spark.createDataFrame([("a", m.RDF_FIRST, "1"), ("a", m.RDF_REST, "b"), ("b", m.RDF_REST, "a")], "subject string, predicate string, object string")
+    with pytest.raises(ValueError):
+        graph.rdf_list_to_array(loop, spark.createDataFrame([("a",)], "head string"))
+
+
+def test_deep_findings_have_context(spark):
+    parents = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "s") for i in range(53)] + [("x", "y", "s"), ("y", "x", "s")], "child string, parent string, step string")
+    report = spark.createDataFrame([("n0",), ("x",)], "focus string")
+    got = {r.focus: (r.entity, r.path) for r in onto.violation_context(report, parents, spark.createDataFrame([("n53",)], "node string")).collect()}
+    assert got == {"n0": ("n53", "/".join(["s"] * 53)), "x": (None, None)}
+
+
+def test_long_json_keeps_its_end(spark):
+    text = '{"value":"' + "x" * 1_000_100 + '"}'
+    got = spark.createDataFrame([(text,)], "a string").select(cdc.concise_to_normalized(F.col("a")).alias("n")).collect()[0].n
+    assert got == '{"type":"Property",' + text[1:]
+
+
+def test_all_of_is_followed_to_its_end(spark):
+    doc = '[{"$id":"A","allOf":[{"$ref":"B"},{"properties":{"i":{"type":"string"}},"required":["i","c"]}]},{"$id":"B","allOf":[{"$ref":"C"}]},{"$id":"C","properties":{"c":{"type":"string"}}}]'
+    got = {(r.id, r.name, r.needed) for r in catalog.schema_properties(spark.createDataFrame([(doc,)], "doc string")).collect()}
+    assert got == {("A", "i", True), ("A", "c", True), ("B", "c", False), ("C", "c", False)}
