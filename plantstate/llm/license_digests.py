@@ -2,12 +2,12 @@
 
 #: Digest of the canonical text (see licenses.digest) and name.
 DIGESTS = {
-    "040dbab64eda64c2529c184c36c1a3685e093116723393b8f6630e5377985bed": "Apache-2.0",
-    "1ab8b39d4cab5654ee4305ade69dee91591aa5e429b34cb0d240fe52f6f7184c": "Apache-2.0",
-    "f6e7c8870d54896b2eb06cbd408589e9b26309c6bbaf17a94347f23cafa06fbe": "Apache-2.0",
+    "0761f5da3157131a4066c64d0f78f8e8f99e95278badc18f8cc86843f7b265fd": "Apache-2.0",
+    "873edd0ccc3c01e411165b4720bfc392606066b9bec0176c09da5b0612730f65": "Apache-2.0",
+    "b813a1954057bcf67fbd77bd4d0e2a615bacca9f2d19982a4f64e981cd46f540": "Apache-2.0",
     "126495a1a84801bd61a644e3ba3de92ad3922e6820d02d88be6acf0ff4438ed6": "Artistic-1.0",
-    "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2": "BSD-2-Clause",
-    "9c47a682ef64c4e02c50c208384916c7f80087d4e4395b2b06e65a4c4b08b152": "BSD-2-Clause",
+    "957c3854a3d72e069e7f5e48857ad9ab76135f14c70d60fa9ec6ef9a928d45dd": "BSD-2-Clause",
+    "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74": "BSD-2-Clause",
     "eda2ad636e738f6a26a2fea902bb734ee48c789a5b40035b8db3659bd951e5bc": "BSD-2-Clause",
     "007fde9b266f35183b511c8c01994581175bfdaa48438967e905c31fb50ba523": "BSD-3-Clause",
     "0fd715971b9eef40682d457e9b18f9eb0bdde1b640847b28593e4094f8871915": "BSD-3-Clause",
@@ -17,34 +17,30 @@ DIGESTS = {
     "cf77ee3d20f4076cecdb58fc53aa7204c9f5c0651621abbc85e028f5b2ffa6b4": "BSD-3-Clause",
     "eabe215ff5a2cf5b1c090915b7cabdf511f70fc79fb8fde85247ebe3038a9658": "BSD-3-Clause",
     "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9": "BSD-3-Clause (Regents)",
-    "4242941f56cc0aaf7a416006734167273b17a074704308b941e02a99526671b6": "BSL-1.0",
-    "959d002be103e1461f178a879cc471127186afe95b654c9a2087f197e7e20468": "CC0-1.0",
-    "5db1191257576d2c3ed3fbf7ce9ac11937c58ab03ee0c26bdd60b1b429fc2275": "GFDL-1.2",
-    "0e8544fddd8299d5dcfbbcd90edd2e30ab4555238bec7a34494e34dca0327dc6": "GFDL-1.3",
-    "919d9d29cc41805daadaab9a92e5017845adfa387777fc3fbccccea1ea35364a": "GPL-1.0",
-    "b97ab5af031bd2483941980e0459da572587001fc894e0828795b5824d8745b3": "GPL-1.0",
-    "c8446bd4a5dc7c8a8506d862470a1e9b986ca1672d597b25cb142c9aeeb41905": "GPL-1.0",
-    "56b7b7ce0f13a1b0f5966ef64d3c7a372f33f506281451f941856de0f277076f": "GPL-2.0",
-    "8ca4b67e626bd230307b1e42de8a110bbbf933b107e86c63dfa9870d1a17bec4": "GPL-2.0",
-    "f23f8bb555b61bb8b7430b62c5a25eb4adcb46456c1cf8479125ba388df8f194": "GPL-2.0",
-    "670e75cc2d7d4bec40833b2ff3da80b59d9599b098ec4fb0811fbdd53d4b7e3d": "GPL-3.0",
-    "81a55a90746db2146029d70d077a35de81bcaf7605212bb3bb71d8d09121524e": "GPL-3.0",
-    "a700ef9a30824c85306cfff3b2fbfc67435cfef60233323af5131b7a8dc1ab48": "GPL-3.0",
-    "23651ce8a73abaa8fad9143faad3fca843b5de6baf345008f65c453ea5685fb1": "ISC",
-    "40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db": "ISC",
-    "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee": "ISC",
-    "084e56405f562dab5cab553cbef00206ccffe26e42f7714af42eb3496ea4bd81": "LGPL-2.0",
-    "c3430d75a33a302679b1c2a9adc6e2f2060274d02c55f73d34b8ce75a3ac4427": "LGPL-2.0",
-    "d537298a71dbae17ab4bd9188498d3ad0c844bc669bcf4101be7a92da4e9e0ae": "LGPL-2.0",
-    "63b6d9053a2687b0216160bd7a7951934c6c51daca44c3f236a4f9ea3f92b2d0": "LGPL-2.1",
-    "7b31bdcf6f1f69f41be38f54684294ce1fd9d9e5b7de1bfb363307f82e16fdd1": "LGPL-2.1",
-    "fa2e8340a136db95fe7ad82a4c4e2622a8f19ad1824b693269df3a87cc1404c1": "LGPL-2.1",
+    "a3dd88523d064729624e3bb2ddc415676a7558ed33ab9ce6ba9fa82627a15a8d": "CC0-1.0",
+    "f8afe2875e6497e47d6968e78b9e54fdcda585535e3d64d6afe7674926caccaf": "GFDL-1.2",
+    "89fec678dd005185c9556d6ae27cfdb0a41c24e6701e07e6c554c42ae4980983": "GFDL-1.3",
+    "1852a6de213e6f0371331f917efeb820703680ad510a8ba17df7d5f5f36048a8": "GPL-1.0",
+    "89fffaecf09d24f5c2f528446ca90a6df4a138c528ab29d7d53383c757303146": "GPL-1.0",
+    "eb13d7c8692eddf95574d4c10224664d9524d70b1ee73cc706b60b31fa186712": "GPL-1.0",
+    "0d5d05ca2402c760170d172c43e35bb6e8038195148215d470f5f1c1b284aacd": "GPL-2.0",
+    "3fb7fc82902884abcd3fe6d13615877250a4d39720855ef60906ac4e534b1dd4": "GPL-2.0",
+    "c8ca44b36f3c3c3b02784824caa0a1aae7b13da63497e8b3a0688093eebd6046": "GPL-2.0",
+    "22ed0d42934ed5f731135a6e666d38611f47632a1c71a00446f4b5538e665107": "GPL-3.0",
+    "95c833fee27a59e94eafb784677a31f381226dcb91d9407915d8b9559dc40bda": "GPL-3.0",
+    "f86ac9e5ff19aabaf1f4b6b73599947c9c07dfa29057d287cde720f7241b40e3": "GPL-3.0",
+    "86fe7eb6f4d5e70c696fa8587aa17993b9a1d57499d69f4c43e3a97b766f99f5": "LGPL-2.0",
+    "b31fc6b481adde06a87c4e154bf32ea2fb36bad174410f3dfcaa697cc2a2f890": "LGPL-2.0",
+    "de3fe212f982f228da29da589e2bca23f7d1cf9382c51b998c5e6ab8868827ae": "LGPL-2.0",
+    "a6907e9bcbdbb867404186215773a3fb0d0151d0090ec159f735cb8700979d44": "LGPL-2.1",
+    "b26797618d785e06770f71438917d8bcd1cef7cc3428cb5c765b5c2057263a6e": "LGPL-2.1",
+    "c5c12bf17c070c774b1c114a5dda5df4e1f0e12c7204e193bc1c37b5894f01ca": "LGPL-2.1",
     "3ede7494a82fe6f9c1d0a28646ae309d51b9cc301b39d60d0de3be5c1869bd38": "LGPL-3.0",
-    "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164": "MIT",
-    "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f": "MIT",
-    "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127": "MIT",
-    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
-    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+    "2c562a512277cc4e6b40222a77da8b753af18faf616f13842c25dc176a6f1674": "MIT",
+    "5a61e6269f207d1859b7c1a274cce5485f26aa69e567a5a0b48c8321413881e6": "MIT",
+    "6b32b7b2134c7fcb2d244ac6e4fe70d2eaacd0aaaef0cdea349fa0ee67111fde": "MIT",
+    "df7076f047c7a3992cbee5397176bbcc895de8ea6a2ae3a2c6e3e688e74fd9b2": "MPL-1.1",
+    "337e493975eeb4f3c7097a25848f071b472ebbc1e4e9f950e4b985ee4d0aa17a": "MPL-2.0",
     "564f11bfa71695a159d81c326063ca18ef4ebb493a9bb94c89f93d4bb72224c7": "Zlib",
     "7f26f8b90276afd0048d63bad47435af2f8acd63e6df6cc3dee24fde250974e5": "Zlib",
 }

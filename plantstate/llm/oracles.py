@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plantstate.llm.license_digests import DIGESTS
 from plantstate.llm.licenses import KNOWN, SPELLINGS
 from plantstate.llm.quality import ENOUGH, FEATURES, REACH
 
@@ -102,23 +103,29 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
-def _canonical(text: str) -> str:
+def _lines(text: str) -> str:
+    """The canonical lines of a text, as a list."""
     out = f"lower(coalesce({text}, ''))"
     out = f"regexp_replace({out}, '(^|\\n)[^a-z0-9\\n]*(copyright\\b[^\\n]*([0-9]{{4}}|\\(c\\)|©)|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
-    for pattern, to in SPELLINGS:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"' ' || replace(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    for plain, to in SPELLINGS:
+        out = f"replace({out}, '{plain}', '{to}')"
+    return f"list_transform(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(x, ' +', ' ', 'g'))"
 
 
 _KNOWN = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for n, t in KNOWN.items())
+_SHIPPED = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
 
 OP2 = f"""
 WITH known AS (
-  SELECT digest, min(name) AS name FROM (SELECT name, sha256({_canonical('text')}) AS digest FROM (VALUES {_KNOWN}) AS k(name, text)) GROUP BY digest
+  SELECT digest, min(name) AS name FROM (SELECT name, sha256(array_to_string({_lines('text')}, ' ')) AS digest FROM (VALUES {_KNOWN}) AS k(name, text)) GROUP BY digest
+  UNION ALL SELECT digest, name FROM (VALUES {_SHIPPED}) AS s(digest, name)
+), cut AS (
+  SELECT row_number() OVER () AS r, doc_id, {_lines('text')} AS ls FROM documents
 ), whole AS (
-  SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical('text')}) AS digest FROM documents
+  SELECT r, doc_id, sha256(array_to_string(ls, ' ')) AS digest FROM cut
 ), lines AS (
-  SELECT DISTINCT r, sha256({_canonical('line')}) AS digest FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole) WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]')
+  SELECT DISTINCT r, sha256(line) AS digest FROM (SELECT r, unnest(ls) AS line FROM cut)
 ), hits AS (
   SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM lines JOIN known USING (digest) GROUP BY r
 )
