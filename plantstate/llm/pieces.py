@@ -3,7 +3,9 @@
 The distinct words of a batch are one flat array of symbols. Each round finds the best
 rank among the pairs of each word, merges its leftmost non-overlapping occurrences at
 once and compacts the array, until no word has a pair. A word begins at a run of word
-marks, which no piece crosses (checked when the vocabulary is read).
+marks, which no piece crosses (checked when the vocabulary is read). Long words are cut
+between characters over which no piece reaches; what is still long merges all pairs at
+once that are the best within the reach of a piece, so rounds don't grow with length.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from plantstate.llm.common import at, blank_if_null, numbered
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NONE = np.iinfo(np.int64).max
-#: Words that a task keeps encoded; beyond that it starts anew.
+#: Words of up to LONG characters that a task keeps encoded; beyond that it starts anew.
 CACHE = 600_000
+#: Words of more characters are cut, and their parts of more characters are merged by local minima.
+LONG = 64
 
 
 @dataclass
@@ -41,6 +45,9 @@ class Vocabulary:
     byte_ids: np.ndarray
     bos: int
     eos: int
+    longest: int  # characters of the longest piece, but for tied ones
+    couples: np.ndarray  # sorted pieces of two characters, as numbers
+    triples: np.ndarray  # sorted three neighbouring characters of pieces, as numbers
     ids: dict[str, int] = field(default_factory=dict)
     cache: dict[str, bytes] = field(default_factory=dict)
 
@@ -63,6 +70,9 @@ class Vocabulary:
         tied = len(scores) - 1 if sum(r == len(scores) - 1 for r in rank.values()) > 1 else len(scores)
         if len({r for r in rank.values() if r < tied}) != sum(r < tied for r in rank.values()):
             raise ValueError("pieces share a score that isn't the lowest")
+        sample = "ﬁ Ａ e\u0301\u00a0x\t\u200by  z"
+        if sp.normalize(sample) != MARK + sample.replace(" ", MARK):
+            raise ValueError("the model changes texts before it cuts them")
         early, pairs = np.zeros(len(scores), bool), []
         for i, r in rank.items():
             s = strings[i]
@@ -79,7 +89,10 @@ class Vocabulary:
         byte_ids = np.zeros(256, np.uint32)
         for i in np.flatnonzero(kinds == 1):
             byte_ids[int(strings[i][3:5], 16)] = i
-        return cls(strings, kinds, keys, ranks, made, early, tied, byte_ids, sp.bos_id(), sp.eos_id(), ids)
+        longest = max((len(strings[i]) for i, r in rank.items() if r < tied), default=1)
+        couples = np.unique([ord(strings[i][0]) << 21 | ord(strings[i][1]) for i in rank if len(strings[i]) == 2])
+        triples = np.unique([ord(a) << 42 | ord(b) << 21 | ord(c) for i in rank for a, b, c in zip(strings[i], strings[i][1:], strings[i][2:])])
+        return cls(strings, kinds, keys, ranks, made, early, tied, byte_ids, sp.bos_id(), sp.eos_id(), longest, couples.astype(np.int64), triples.astype(np.int64), ids)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
@@ -111,6 +124,87 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word (no empty ones) as little-endian unsigned 32-bit integers."""
+        cuts = [[w] if len(w) <= LONG else self.parts(w) for w in words]
+        units = list(set().union(*cuts)) if cuts else []
+        short = [u for u in units if len(u) <= LONG]
+        known = dict(zip(short, self._rounds(short)))
+        for u in units:
+            if len(u) > LONG:
+                known[u] = self._bytes(np.array(self._local(u), np.int64))
+        return [b"".join(map(known.__getitem__, c)) for c in cuts]
+
+    def parts(self, word: str) -> list[str]:
+        """A word cut between neighbours that no piece can hold: they are no piece of their own, and no
+        piece has them together with the character before or after them."""
+        c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        within = lambda x, table: table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), bool)
+        held = within(c[:-1] << 21 | c[1:], self.couples)
+        three = within(c[:-2] << 42 | c[1:-1] << 21 | c[2:], self.triples)
+        held[:-1] |= three
+        held[1:] |= three
+        ends = [0, *(np.flatnonzero(~held) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(ends, ends[1:])]
+
+    def _local(self, word: str) -> list[int]:
+        """The symbols of a long part of a word.
+
+        A pair that is the best within `reach` symbols on both sides is merged next there, whatever
+        happens elsewhere: no symbol outside can grow as far as its neighbours. Of equal pairs
+        in reach of each other those on the left come first, up to one that makes a better pair."""
+        reach = self.longest + 2
+        symbols = np.array([self.ids.get(c, self.size + ord(c)) for c in word], np.int64)
+        while len(symbols) > 1:
+            place = self.pair_at(symbols[:-1], symbols[1:])
+            ranks = np.where(place < 0, NONE, self.pair_ranks[place])
+            ranks[ranks >= self.tied] = NONE
+            n, width, step = len(ranks), 2 * reach + 1, 1
+            low = np.concatenate([np.full(reach, NONE), ranks, np.full(reach, NONE)])
+            while 2 * step <= width:
+                low = np.minimum(low[:-step], low[step:])
+                step *= 2
+            low = np.minimum(low[:n], low[width - step : width - step + n])
+            best = (ranks == low) & (ranks < NONE)
+            at_ = np.flatnonzero(best)
+            if not len(at_):
+                break
+            # An equal pair on the left that isn't the best of its own surroundings comes first, but not yet.
+            held = np.zeros(len(at_), bool)
+            for d in range(1, reach + 1):
+                left = np.maximum(at_ - d, 0)
+                held |= (at_ >= d) & (ranks[left] == ranks[at_]) & ~best[left]
+            run = np.ones(len(at_), bool)
+            run[1:] = at_[1:] != at_[:-1] + 1
+            nth = np.arange(len(at_))
+            even = (nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0
+            stop = self._outranked(symbols, place, ranks, at_, even)
+            stop[1:] = stop[:-1].copy()
+            stop[0] = False
+            chain = np.ones(len(at_), bool)
+            chain[1:] = at_[1:] - at_[:-1] > reach
+            stop[chain] = False
+            count = np.cumsum(held | stop)
+            before = np.maximum.accumulate(np.where(chain, count - (held | stop), 0))
+            hit = at_[even & (count == before)]
+            symbols[hit] = self.pair_ids[place[hit]]
+            symbols = np.delete(symbols, hit + 1)
+        return self.leftmost(symbols.tolist())
+
+    def _outranked(self, symbols: np.ndarray, place: np.ndarray, ranks: np.ndarray, at_: np.ndarray, even: np.ndarray) -> np.ndarray:
+        """Whether merging a pair makes a pair that comes before it, all equal pairs on its left being merged."""
+        out = np.zeros(len(at_), bool)
+        asked = np.flatnonzero(self.early[ranks[at_]] & even)
+        if len(asked):
+            i, new = at_[asked], self.pair_ids[place[at_[asked]]]
+            merged = np.full(len(symbols), -1)
+            merged[at_[even] + 1] = self.pair_ids[place[at_[even]]]
+            before = np.where(merged[i - 1] >= 0, merged[i - 1], symbols[i - 1])
+            for a, b, there in ((before, new, i > 0), (new, symbols[np.minimum(i + 2, len(symbols) - 1)], i + 2 < len(symbols))):
+                p = self.pair_at(a, b)
+                out[asked] |= there & (p >= 0) & (self.pair_ranks[p] < ranks[i])
+        return out
+
+    def _rounds(self, words: list[str]) -> list[bytes]:
+        """encode_words() of short words, all of them at once."""
         size, ids = self.size, self.ids
         # A character without a piece of its own is size + its code point: it never merges.
         table = {c: ids.get(c, size + ord(c)) for c in set().union(*words)} if words else {}
@@ -175,10 +269,13 @@ class Vocabulary:
         if len(self.cache) > CACHE:
             self.cache = {}
         new = list(set().union(*split) - self.cache.keys()) if split else []
+        long = [w for w in new if len(w) > LONG]
+        new = [w for w in new if len(w) <= LONG]
         for i in range(0, len(new), 50_000):
             self.cache.update(zip(new[i : i + 50_000], self.encode_words(new[i : i + 50_000])))
+        known = self.cache if not long else self.cache | dict(zip(long, self.encode_words(long)))
         begin, end = (np.array([x], "<u4").tobytes() if ends else b"" for x in (self.bos, self.eos))
-        return [b"".join([begin, *map(self.cache.__getitem__, words), end]) for words in split]
+        return [b"".join([begin, *map(known.__getitem__, words), end]) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids. Byte pieces that aren't UTF-8 give U+FFFD each; control pieces nothing; the dummy prefix goes."""

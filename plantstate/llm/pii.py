@@ -1,11 +1,14 @@
 """PII: entities are found by patterns and replaced by keyed surrogates.
 
 A surrogate has its entity's type, script and format: digits become digits, letters
-letters of the same alphabet and case, names names of the same gender. It depends on a
-key and on the entity's normal form only, so one entity has one surrogate everywhere.
-Surrogates are checked over the whole corpus: of entities that would share one, or
-whose surrogate is itself an entity, all but the first are drawn again. Only
-DataFrame functions are used.
+letters of the same alphabet and case, names names of the same gender; check digits of
+cards and IBANs hold, the country of an IBAN or a phone stays. It is drawn from a key and
+the entity's normal form only, and then written in the format of each mention, so one
+entity has one surrogate in all its spellings. Persons are found by a title or a common
+given name; each part of their name is an entity, and other mentions of it in the same
+document are replaced too. Surrogates are checked over the whole corpus: of entities that
+would share one, or whose surrogate is itself an entity, all but the first are drawn
+again. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -13,118 +16,201 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantstate.llm.common import at, blank_if_null, let, numbered, stage
+from plantstate.llm.common import at, blank_if_null, let, numbered, placed, rewritten, stage
 
-#: Patterns by kind. Earlier kinds win where two would match.
+#: Patterns by kind. Earlier kinds win where two would match. No repeated group can grow with the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{9,15}(?![0-9A-Za-z])",
-    "name": r"(?:\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame)\b\.?|(?<!\p{L})(?:Господин|Госпожа|Κύριος|Κυρία)) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία)"
-TITLE = r"^(\S+ )"
-#: Lower-case alphabets within which letters are replaced, and their upper case.
-ALPHABETS = (("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"))
-DIGITS = "0123456789"
-#: Consonants and vowels of made-up names, by alphabet, and the endings of female and male ones.
-SYLLABLES = (("bdfgklmnprstvz", "aeiou", "a", "o"), ("бвгдклмнпрст", "аеиоу", "а", "ов"), ("βγδκλμνπρστ", "αεηιο", "α", "ος"))
+    "phone": r"(?<![0-9A-Za-z+])(?:\+(?=(?:[ .()-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,8}){1,5}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?![0-9A-Za-z])",
+}
+NUMERIC = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Titles, and common given names, by gender.
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία")
+TITLES = (*FEMALE_TITLES, "Mr", "Mx", "Dr", "Prof", "Professor", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
+FEMALE_NAMES = (
+    "Alice Anna Camille Carmen Claire Clara Elena Elizabeth Emily Emma Helen Ingrid Isabelle Jane Jennifer Jessica Julia Karen Laura Linda Lisa Lucia Margaret Maria Martha Mary "
+    "Monika Nancy Nathalie Olivia Patricia Petra Rachel Sabine Sarah Sophie Susan Teresa Ursula Анна Мария Ольга Μαρία Ελένη"
+).split()
+MALE_NAMES = (
+    "Andrew Anthony Antonio Carlos Charles Daniel David Edward François George Hans Henry Jacques James Jean John Jose José Joseph Juan Jürgen Klaus Luis Matthew Michael Michel "
+    "Miguel Paul Peter Pierre Richard Robert Stefan Steven Thomas William Wolfgang Иван Дмитрий Сергей Γιώργος Νίκος"
+).split()
+WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]++)*+"
+CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}]){WORD}"
+LEAD = rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )"
+PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?:{LEAD}{{1,3}}+{WORD}(?: {WORD})?|(?:{'|'.join(FEMALE_NAMES + MALE_NAMES)})(?: \p{{Lu}}\.)? {WORD})"
+NAMES = ("given_f", "given_m", "surname")
+#: Lower-case alphabets within which letters are replaced.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
+#: Consonants and vowels of made-up names by alphabet, and the endings of female, male and family names.
+SYLLABLES = (("bdfgklmnprstvz", "aeiou", "a", "o", "en"), ("бвгдклмнпрст", "аеиоу", "а", "ов", "енко"), ("βγδκλμνπρστ", "αεηιο", "α", "ος", "ου"))
+#: Telephone country codes of one and of two digits; all others have three.
+CODES = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+HIT = "array<struct<start:int,end:int,kind:string,normal:string,value:string>>"
 
 
 def kind_of(value: Column) -> Column:
-    out = F.lit("name")
-    for kind in reversed(list(PATTERNS)[:-1]):
+    out = F.lit(None).cast("string")
+    for kind in reversed(list(PATTERNS)):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
 
 def normal_form(kind: Column, value: Column) -> Column:
-    """Lower-case emails, digits of phones and cards, IBANs without spaces, names without their titles' spelling."""
+    """Lower-case emails and names, digits of cards, IBANs without spaces, + and digits of phones."""
     return (
-        F.when(kind == "email", F.lower(value))
-        .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(value, "[^0-9]", ""))
-        .when(kind == "name", F.concat(F.when(value.rlike(FEMALE), "f:").otherwise("m:"), F.regexp_replace(value, TITLE, "")))
+        F.when(kind.isin("email", *NAMES), F.lower(value))
+        .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
+        .when(kind == "phone", F.regexp_replace(value, "[^0-9+]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
         .otherwise(value)
     )
 
 
+def name_parts(text: Column) -> Column:
+    """word, kind of the parts of the persons' names in a text, sorted, each word once."""
+
+    def parts(person: Column) -> Column:
+        words = F.filter(F.split(F.regexp_replace(person, f"^{LEAD}+", ""), " "), lambda w: ~F.endswith(w, F.lit(".")))
+
+        def one(w: Column) -> Column:
+            female = person.rlike(f"^(?:{LEAD})*(?:{'|'.join(FEMALE_TITLES)})\\b") | F.get(w, F.lit(0)).isin(*FEMALE_NAMES)
+            given = F.struct(F.get(w, F.lit(0)).alias("word"), F.when(female, "given_f").otherwise("given_m").alias("kind"))
+            family = F.struct(F.element_at(w, -1).alias("word"), F.lit("surname").alias("kind"))
+            return F.when(F.size(w) > 1, F.array(given, family)).otherwise(F.array(family))
+
+        return let(words, one)
+
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), parts))))
+    return let(found, lambda x: F.filter(x, lambda y, i: (i == 0) | (F.get(x, i - 1)["word"] != y["word"])))
+
+
+def hits(text: Column) -> Column:
+    """start, end, kind, normal, value of the entities of a text, in its order. Texts without a digit, @ or
+    person can't have one."""
+
+    def search(names: Column) -> Column:
+        named = F.size(names) > 0
+        # Where persons are named every capital word is looked at; others than their names go.
+        pattern = F.when(named, F.lit(f"{NUMERIC}|(?:{CAPITAL})")).otherwise(F.lit(NUMERIC))
+
+        def typed(x: Column) -> Column:
+            name = F.get(F.filter(names, lambda n: n["word"] == x["value"]), F.lit(0))["kind"]
+            kind = F.coalesce(F.when(named & x["value"].rlike(r"^\p{Lu}") & ~x["value"].rlike("[0-9@]"), name), kind_of(x["value"]))
+            return let(kind, lambda k: F.struct(x["start"].alias("start"), x["end"].alias("end"), k.alias("kind"), normal_form(k, x["value"]).alias("normal"), x["value"].alias("value")))
+
+        found = F.filter(F.transform(placed(text, pattern), typed), lambda x: x["kind"].isNotNull())
+        return F.when(named | text.rlike("[0-9@]"), found).otherwise(F.array().cast(HIT))
+
+    return let(name_parts(text), search)
+
+
 def _numbers(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """42 keyed numbers below 4096 for an entity."""
     digits = F.concat(*[F.sha2(F.concat_ws("|", F.lit(f"{key}/{part}"), kind, normal, attempt.cast("string")), 256) for part in (0, 1)])
     return let(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(41)), lambda i: F.conv(F.substr(d, i * 3 + 1, F.lit(3)), 16, 10).cast("int")))
 
 
-def _letter(c: Column, n: Column) -> Column:
-    out = F.when(F.position(c, F.lit(DIGITS)) > 0, F.substr(F.lit(DIGITS), n % 10 + 1, F.lit(1)))
-    for pair in ALPHABETS:
-        for letters in pair:
-            out = out.when(F.position(c, F.lit(letters)) > 0, F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1)))
-    return out.otherwise(c)
+def _drawn(text: Column, numbers: Column) -> Column:
+    """Each lower-case or capital letter and digit of an ASCII text replaced by another of its kind."""
 
+    def one(c: Column, i: Column) -> Column:
+        n, out = F.get(numbers, i % 42), c
+        for letters in (*LETTERS, LETTERS[0].upper()):
+            out = F.when(F.contains(F.lit(letters), c), F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))).otherwise(out)
+        return out
 
-def surrogate(kind: Column, value: Column, normal: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one value. Letters and digits are replaced in the order in which the normal form has them."""
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
-    def made(numbers: Column) -> Column:
-        octet = F.array_join(F.transform(F.slice(numbers, 1, 4), lambda x: (x % 254 + 1).cast("string")), ".")
-        return F.when(kind == "ip", octet).when(kind == "name", _name(value, numbers, attempt)).otherwise(_formatted(kind, value, numbers))
+
+def luhn(digits: Column) -> Column:
+    """The sum of digits, every other one doubled so that one more digit at the end isn't."""
+    n = F.length(digits)
+    d = lambda i: F.substr(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 0, 2).otherwise(1)
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + let(d(i), lambda x: F.when(x > 9, x - 9).otherwise(x)))
+
+
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of a text's number, letters being 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(letter > 9, (r * 100 + letter) % 97).otherwise((r * 10 + c.cast("int")) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def drawn_form(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
+    """The normal form of an entity's surrogate."""
+
+    def made(n: Column) -> Column:
+        tail = F.regexp_extract(normal, r"(\.[a-z]{2,})$", 1)
+        # From the eighth attempt on an email may be longer: short ones can run out.
+        more = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 8).cast("int")), lambda i: F.when(i == 0, "").otherwise(F.substr(F.lit(LETTERS[0]), F.get(n, (i + 30) % 42) % 26 + 1, F.lit(1)))), "")
+        email = F.concat(more, _drawn(F.substr(normal, F.lit(1), F.length(normal) - F.length(tail)), n), tail)
+        iban = let(_drawn(F.substr(normal, F.lit(5)), n), lambda b: F.concat(F.substring(normal, 1, 2), F.lpad((98 - mod97(F.concat(b, F.substring(normal, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
+        body = lambda s: let(_drawn(F.substring(s, 1, 15), n), lambda b: F.concat(b, ((10 - luhn(b) % 10) % 10).cast("string")))
+        check = (10 - luhn(F.substring(normal, 1, 15)) % 10) % 10
+        card = F.when(check.cast("string") == F.substring(normal, 16, 1), body(normal)).otherwise(_drawn(normal, n))
+        head = F.regexp_extract(normal, CODES, 0)
+        phone = F.concat(head, _drawn(F.substr(normal, F.length(head) + 1), n))
+        ip = F.array_join(F.transform(F.slice(n, 1, 4), lambda x: (x % 254 + 1).cast("string")), ".")
+        return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", _drawn(normal, n)).otherwise(_name(kind, normal, n, attempt))
 
     return let(_numbers(kind, normal, attempt, key), made)
 
 
-def _formatted(kind: Column, value: Column, numbers: Column) -> Column:
-    # The ending of an email's domain, an IBAN's country and a phone's leading country code stay.
-    tail = F.when(kind == "email", F.regexp_extract(value, r"(\.[A-Za-z]{2,})$", 1)).otherwise("")
-    head = F.when(kind == "iban", F.substr(value, F.lit(1), F.lit(2))).when(kind == "phone", F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))", 1)).otherwise("")
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+def _name(kind: Column, normal: Column, numbers: Column, attempt: Column) -> Column:
+    def made(syllables: tuple[str, str, str, str, str]) -> Column:
+        consonants, vowels, female, male, family = syllables
+        letter = lambda letters, i: F.substr(F.lit(letters), F.get(numbers, i % 42) % len(letters) + 1, F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), 1 + attempt), lambda i: F.concat(letter(consonants, i * 2), letter(vowels, i * 2 + 1)))
+        return F.concat(F.array_join(parts, ""), letter(consonants, F.lit(20)), F.when(kind == "given_f", female).when(kind == "given_m", male).otherwise(family))
 
-    def step(acc: Column, c: Column) -> Column:
-        counts = c.rlike(r"[\p{L}0-9]") | (kind == "email")
-        return F.struct((acc["n"] + counts.cast("int")).alias("n"), F.concat(acc["out"], _letter(c, F.get(numbers, acc["n"] % 42))).alias("out"))
+    return F.when(normal.rlike(r"\p{IsCyrillic}"), made(SYLLABLES[1])).when(normal.rlike(r"\p{IsGreek}"), made(SYLLABLES[2])).otherwise(made(SYLLABLES[0]))
 
-    body = lambda ends: F.substr(value, F.length(ends["head"]) + 1, F.length(value) - F.length(ends["head"]) - F.length(ends["tail"]))
-    return let(F.struct(head.alias("head"), tail.alias("tail")), lambda ends: F.concat(ends["head"], F.aggregate(F.split(body(ends), ""), start, step, lambda a: a["out"]), ends["tail"]))
 
+def formatted(kind: Column, value: Column, form: Column) -> Column:
+    """A surrogate's normal form in the format of a mention: its case, spaces, brackets and dashes."""
+    longer = F.length(form) - F.length(value)
+    cased = lambda c, i: let(F.substr(form, i + longer + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))
+    email = F.concat(F.substr(form, F.lit(1), longer), F.array_join(F.transform(F.split(value, ""), cased), ""))
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
-def _name(value: Column, numbers: Column, attempt: Column) -> Column:
-    def made(offset: int, syllables: tuple[str, str, str, str]) -> Column:
-        consonants, vowels, female, male = syllables
-        letter = lambda letters, i: F.substr(F.lit(letters), F.get(numbers, i) % len(letters) + 1, F.lit(1))
-        parts = F.transform(F.sequence(F.lit(0), 1 + F.least(attempt, F.lit(4))), lambda i: F.concat(letter(consonants, i * 2 + offset), letter(vowels, i * 2 + offset + 1)))
-        return F.initcap(F.concat(F.array_join(parts, ""), letter(consonants, F.lit(offset + 20)), F.when(value.rlike(FEMALE), female).otherwise(male)))
+    def step(acc: Column, c: Column) -> Column:
+        counts = c.rlike("[A-Z0-9+]")
+        return F.struct((acc["n"] + counts.cast("int")).alias("n"), F.concat(acc["out"], F.when(counts, F.substr(form, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    title, two = F.regexp_extract(value, TITLE, 1), F.size(F.split(value, " ")) > 2
-    full = lambda s: F.concat(title, made(0, s), F.when(two, F.concat(F.lit(" "), made(21, s))).otherwise(F.lit("")))
-    return F.when(value.rlike(r"\p{IsCyrillic}"), full(SYLLABLES[1])).when(value.rlike(r"\p{IsGreek}"), full(SYLLABLES[2])).otherwise(full(SYLLABLES[0]))
+    spaced = F.aggregate(F.split(value, ""), start, step, lambda a: a["out"])
+    name = F.when((F.length(value) > 1) & (value == F.upper(value)), F.upper(form)).otherwise(F.initcap(form))
+    return F.when(kind == "email", email).when(kind == "ip", form).when(kind.isin(*NAMES), name).otherwise(spaced)
 
 
 def entities(texts: DataFrame) -> DataFrame:
-    """kind, normal, value (the first spelling by order): the distinct entities of column t."""
-    found = texts.select(F.explode(F.regexp_extract_all("t", F.lit(ANY), F.lit(0))).alias("value")).groupBy("value").agg(F.lit(1).alias("one"))
-    kinds = found.select("value", kind_of(F.col("value")).alias("kind"))
-    return kinds.groupBy("kind", normal_form(F.col("kind"), F.col("value")).alias("normal")).agg(F.min("value").alias("value"))
+    """kind, normal: the distinct entities of column t."""
+    found = texts.select(F.explode(F.transform(hits(F.col("t")), lambda x: F.struct(x["kind"].alias("kind"), x["normal"].alias("normal")))).alias("e"))
+    return found.groupBy("e.kind", "e.normal").agg(F.lit(1).alias("one")).drop("one")
 
 
-def attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
+def attempts(found: DataFrame, key: str, most: int = 200) -> DataFrame:
     """kind, normal, attempt for those entities whose first surrogate collides (attempt > 0).
 
     A surrogate collides if an earlier entity (by order) has it too, or if it is an entity
     of the corpus. Each round draws anew for those that collide; an entity keeps the
-    attempt at which it is alone."""
-    mine = stage(found.select("kind", "normal", "value", F.lit(0).alias("attempt")), "entities")
+    attempt at which it is alone. Only a kind whose forms are nearly all taken can need
+    more than `most` rounds; that is an error, never a shared surrogate."""
+    mine = stage(found.select("kind", "normal", F.lit(0).alias("attempt")), "entities")
+    known = mine.select(F.col("kind").alias("k_kind"), F.col("normal").alias("k_normal"))
     for _ in range(most):
-        # Surrogates are compared by the normal form that they would have.
-        drawn = mine.withColumn("to", normal_form(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("normal"), F.col("attempt"), key)))
-        known = mine.select(F.col("kind").alias("k_kind"), F.col("normal").alias("k_normal"))
+        drawn = mine.withColumn("to", drawn_form(F.col("kind"), F.col("normal"), F.col("attempt"), key))
         taken = drawn.join(known, (F.col("kind") == F.col("k_kind")) & (F.col("to") == F.col("k_normal")), "left").drop("k_kind")
         place = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "normal"))
         bad = taken.withColumn("bad", F.col("k_normal").isNotNull() | (place > 1))
-        now = stage(bad.select("kind", "normal", "value", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
+        now = stage(bad.select("kind", "normal", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
         mine = now.drop("bad")
         if now.where("bad").isEmpty():
             return mine.where("attempt > 0").select("kind", "normal", "attempt")
@@ -137,39 +223,23 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     start counts code points in the old text. Null and empty texts have no entities; repeated
     rows give the same text. Distinct entities of the corpus get distinct surrogates, that no
     entity of the corpus equals; spellings of one entity (case of an email, spaces of a
-    phone) get one surrogate in their own format."""
+    phone) get one surrogate in their own format. Titles stay; a word that is a part of a
+    person's name in a document is replaced wherever it stands in it as a capital word."""
     d = numbered(docs)
     t = d.select(d[at(docs, id_col)].alias("key"), d[at(docs, text_col)].alias("t"), F.xxhash64(d[at(docs, id_col)], d[at(docs, text_col)]).alias("row"))
-    again = stage(attempts(entities(t), key), "attempts")
-    nothing = F.array().cast("array<struct<kind:string,normal:string,attempt:int>>")
+    again = stage(attempts(entities(t.select(blank_if_null(F.col("t")).alias("t"))), key), "attempts")
     collided = not again.isEmpty()
     if collided:
-        value = F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(ANY), F.lit(0)))).alias("value")
-        held = t.select("row", value).select("row", kind_of(F.col("value")).alias("kind"), "value")
-        held = held.select("row", "kind", normal_form(F.col("kind"), F.col("value")).alias("normal")).join(again, ["kind", "normal"])
+        held = t.select("row", F.explode(hits(blank_if_null(F.col("t")))).alias("e")).select("row", "e.kind", "e.normal").join(again, ["kind", "normal"])
         by_row = held.groupBy("row").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("again"))
-        t = t.join(by_row, "row", "left").withColumn("again", F.coalesce("again", nothing))
-    text = blank_if_null(F.col("t"))
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+        t = t.join(by_row, "row", "left").withColumn("again", F.coalesce("again", F.array().cast("array<struct<kind:string,normal:string,attempt:int>>")))
 
     def one(x: Column) -> Column:
-        def with_kind(e: Column) -> Column:
-            kind, normal = e["kind"], e["normal"]
-            attempt = F.coalesce(F.get(F.filter("again", lambda a: (a["kind"] == kind) & (a["normal"] == normal)), F.lit(0))["attempt"], F.lit(0)) if collided else F.lit(0)
-            return F.struct(kind.alias("kind"), x["gap"].alias("gap"), x["value"].alias("value"), surrogate(kind, x["value"], normal, attempt, key).alias("surrogate"))
-
-        return let(let(kind_of(x["value"]), lambda k: F.struct(k.alias("kind"), normal_form(k, x["value"]).alias("normal"))), with_kind)
-
-    parts = F.split(text, ANY, -1)
-    shape = "array<struct<kind:string,gap:string,value:string,surrogate:string>>"
-    pairs = F.filter(F.zip_with(parts, found, lambda a, b: F.struct(a.alias("gap"), b.alias("value"))), lambda x: x["value"].isNotNull())
-    t = t.withColumn("hits", F.when(text.rlike(ANY), F.transform(pairs, one)).otherwise(F.array().cast(shape)))
-    before = F.aggregate("hits", F.lit("").cast("string"), lambda s, x: F.concat(s, x["gap"], x["surrogate"]))
-    tail = F.element_at(F.split(text, ANY, -1), -1)
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<kind:string,start:int,value:string,surrogate:string>>").alias("out"))
-
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["value"])).alias("pos"), F.concat(acc["out"], F.array(F.struct(x["kind"].alias("kind"), start.alias("start"), x["value"].alias("value"), x["surrogate"].alias("surrogate")))).alias("out"))
-
-    return t.select("key", F.when(F.size("hits") > 0, F.concat(before, tail)).otherwise(F.col("t")).alias("text"), F.size("hits").cast("long").alias("n_entities"), F.aggregate("hits", empty, place, lambda a: a["out"]).alias("found"))
+        tried = F.coalesce(F.get(F.filter("again", lambda a: (a["kind"] == x["kind"]) & (a["normal"] == x["normal"])), F.lit(0))["attempt"], F.lit(0)) if collided else F.lit(0)
+        to = formatted(x["kind"], x["value"], drawn_form(x["kind"], x["normal"], tried, key))
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), to.alias("to"))
+
+    t = t.withColumn("hits", F.transform(hits(blank_if_null(F.col("t"))), one))
+    text = F.when(F.size("hits") > 0, rewritten(F.col("t"), F.col("hits"))).otherwise(F.col("t"))
+    shown = F.transform("hits", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["value"].alias("value"), x["to"].alias("surrogate")))
+    return t.select("key", text.alias("text"), F.size("hits").cast("long").alias("n_entities"), shown.alias("found"))
