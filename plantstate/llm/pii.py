@@ -72,15 +72,15 @@ def normal_form(kind: Column, value: Column) -> Column:
 
 
 def name_parts(text: Column) -> Column:
-    """word, kind of the parts of the persons' names in a text, sorted, each word once."""
+    """word (lower case), kind of the parts of the persons' names in a text, sorted, each word once."""
 
     def parts(person: Column) -> Column:
         words = F.filter(F.split(F.regexp_replace(person, f"^{LEAD}+", ""), " "), lambda w: ~F.endswith(w, F.lit(".")))
 
         def one(w: Column) -> Column:
             female = person.rlike(f"^(?:{LEAD})*(?:{'|'.join(FEMALE_TITLES)})\\b") | F.get(w, F.lit(0)).isin(*FEMALE_NAMES)
-            given = F.struct(F.get(w, F.lit(0)).alias("word"), F.when(female, "given_f").otherwise("given_m").alias("kind"))
-            family = F.struct(F.element_at(w, -1).alias("word"), F.lit("surname").alias("kind"))
+            given = F.struct(F.lower(F.get(w, F.lit(0))).alias("word"), F.when(female, "given_f").otherwise("given_m").alias("kind"))
+            family = F.struct(F.lower(F.element_at(w, -1)).alias("word"), F.lit("surname").alias("kind"))
             return F.when(F.size(w) > 1, F.array(given, family)).otherwise(F.array(family))
 
         return let(words, one)
@@ -99,7 +99,7 @@ def hits(text: Column) -> Column:
         pattern = F.when(named, F.lit(f"{NUMERIC}|(?:{CAPITAL})")).otherwise(F.lit(NUMERIC))
 
         def typed(x: Column) -> Column:
-            name = F.get(F.filter(names, lambda n: n["word"] == x["value"]), F.lit(0))["kind"]
+            name = F.get(F.filter(names, lambda n: n["word"] == F.lower(x["value"])), F.lit(0))["kind"]
             kind = F.coalesce(F.when(named & x["value"].rlike(r"^\p{Lu}") & ~x["value"].rlike("[0-9@]"), name), kind_of(x["value"]))
             return let(kind, lambda k: F.struct(x["start"].alias("start"), x["end"].alias("end"), k.alias("kind"), normal_form(k, x["value"]).alias("normal"), x["value"].alias("value")))
 
@@ -177,8 +177,8 @@ def _name(kind: Column, normal: Column, numbers: Column, attempt: Column) -> Col
 def formatted(kind: Column, value: Column, form: Column) -> Column:
     """A surrogate's normal form in the format of a mention: its case, spaces, brackets and dashes."""
     longer = F.length(form) - F.length(value)
-    cased = lambda c, i: let(F.substr(form, i + longer + 1, F.lit(1)), lambda x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))
-    email = F.concat(F.substr(form, F.lit(1), longer), F.array_join(F.transform(F.split(value, ""), cased), ""))
+    cased = F.zip_with(F.split(value, ""), F.split(F.substr(form, longer + 1), ""), lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x))
+    email = F.concat(F.substr(form, F.lit(1), longer), F.array_join(cased, ""))
     start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
