@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,28 @@ def test_decoding_of_any_ids():
         assert vocabulary.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids), ids
 
 
+def test_long_words_are_encoded_like_the_library():
+    import numpy as np
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    vocabulary = pieces.Vocabulary.read(model_path())
+    rng = random.Random(12)
+    words = [sp.id_to_piece(i).replace("▁", "") for i in range(300, 30000)]
+    some = lambda letters: lambda n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = [some("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), some("eothn"), some("ab"), some("-=*."), some("the ing_ation-éß中 ▁"), some(words), some([w + "_" for w in words]), some("the 中文字"), lambda n: "the-cat/" * n, lambda n: "a" * n, lambda n: " " * n + "x" + " " * n]
+    for kind in kinds:
+        for n in (60, 64, 65, 70, 200, 1000):
+            t = kind(n)
+            got = np.frombuffer(vocabulary.encode([t])[0], "<u4").tolist()
+            assert got == [sp.bos_id(), *sp.encode(t), sp.eos_id()]
+    started = time.time()
+    for kind in (kinds[0], kinds[2], kinds[4], *kinds[7:]):
+        t = kind(100_000)
+        assert np.frombuffer(vocabulary.encode([t], ends=False)[0], "<u4").tolist() == sp.encode(t)
+    assert time.time() - started < 60
+
+
 def verdicts(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, Host string")
     return {r.key: r for r in urls.judged(df, URL_RULES).collect()}
@@ -102,17 +125,60 @@ def test_distrust_flows_against_links(spark):
     assert got[10].verdict == "block" and got[10].rule is None
     assert got[11].verdict == "allow" and got[13].verdict == "allow"
     assert got[14].verdict == "block"
-    # Against a plain iteration.
     edges = {("farm.org", "bad.net"): 9, ("mixed.org", "bad.net"): 1, ("mixed.org", "good.com"): 3, ("good.com", "cited.org"): 1}
-    seed = {"bad.net": 0.75}
-    score = {h: 0.15 * s for h, s in seed.items()}
-    for _ in range(urls.ROUNDS):
-        new = {h: 0.15 * s for h, s in seed.items()}
-        for (a, b), n in edges.items():
-            new[a] = new.get(a, 0) + 0.85 * score.get(b, 0) * n / sum(k for (x, y), k in edges.items() if y == b)
-        score = new
+    want = ranked({(b, a): n for (a, b), n in edges.items()}, {"bad.net": 0.75})
     for i, host in ((10, "farm.org"), (11, "mixed.org"), (14, "bad.net")):
-        assert abs(got[i].distrust - score[host]) < 1e-9
+        assert abs(got[i].distrust - want[host]) < 1e-9
+
+
+def ranked(edges, seed):
+    """Personalised PageRank by plain loops, in units of what a host of seed 1 gets of itself."""
+    out, total = {}, sum(seed.values())
+    for (a, _), n in edges.items():
+        out[a] = out.get(a, 0) + n
+    score = dict(seed)
+    for _ in range(urls.ROUNDS + 1):
+        own = 0.15 + 0.85 * sum(s for h, s in score.items() if h not in out) / total
+        last, score = score, {h: own * s for h, s in seed.items()}
+        for (a, b), n in edges.items():
+            score[b] = score.get(b, 0) + 0.85 * last.get(a, 0) * n / out[a]
+    return {h: s / own for h, s in last.items()}
+
+
+def test_trust_and_distrust_on_a_random_graph(spark):
+    rng = random.Random(9)
+    hosts = [f"h{i}.{'com' if i < 8 else 'org'}" for i in range(30)] + ["a.net", "b.net"]
+    links = {(i, rng.choice(hosts)) for i in range(len(hosts)) for _ in range(rng.randrange(5)) if i % 6}
+    links |= {(i, "a.net") for i in range(0, 30, 6)}
+    rows, edges = [], {}
+    for i, h in enumerate(hosts):
+        to = sorted(x for j, x in links if j == i and x != h)
+        for x in to:
+            edges[h, x] = edges.get((h, x), 0) + 1
+        rows.append((i, f"https://{h}/{'es' if h.endswith('net') else 'x'}/1", "".join(f"<a href='//u@{x.upper()}:80/'>x</a>" for x in to), ""))
+    got = verdicts(spark, rows)
+    trust = ranked(edges, {h: 1.0 for h in hosts if h.endswith("com")})
+    distrust = ranked({(b, a): n for (a, b), n in edges.items()}, {"a.net": 1.0, "b.net": 1.0})
+    for i, h in enumerate(hosts):
+        assert abs(got[i].trust - trust.get(h, 0)) < 1e-9 and abs(got[i].distrust - distrust.get(h, 0)) < 1e-9
+        if got[i].rule is None:
+            assert got[i].verdict == ("block" if distrust.get(h, 0) > 0.5 and distrust.get(h, 0) > trust.get(h, 0) else "allow")
+    assert len({r.verdict for r in got.values() if r.rule is None}) == 2
+
+
+def test_many_rules_and_repeated_pages(spark):
+    rules = [(f"h{i}.org/{'x' * (i % 3)}", "block") for i in range(12_000)] + [("org", "allow"), ("h5.org/", "allow")]
+    df = spark.createDataFrame([(1, "http://a.h5.org/xx1", None), (1, "http://a.h5.org/xx1", None), (2, "http://h5.org/", None), (3, "http://q.org", None), (4, "http://" + "a." * 200_000 + "h3.org/", None)], "page_id long, url string, html string")
+    got = sorted((r.key, r.rule, r.verdict) for r in urls.judged(df, spark.createDataFrame(rules, "rule string, verdict string")).collect())
+    assert got == [(1, "h5.org/xx", "block"), (1, "h5.org/xx", "block"), (2, "h5.org/", "allow"), (3, "org", "allow"), (4, "h3.org/", "block")]
+
+
+def test_links_of_long_pages(spark):
+    pages = ["<a " * 300_000, "<a href" + " " * 500_000, "<a " + "href=" * 200_000, "<a href=" + "x" * 500_000, "<a\nhref=//b.org/>" * 20_000]
+    df = spark.createDataFrame([(f"h{i}.org", x) for i, x in enumerate(pages)], "host string, html string")
+    started = time.time()
+    assert [(r.src, r.dst, r.n) for r in urls.host_edges(df).collect()] == [("h4.org", "b.org", 20_000)]
+    assert time.time() - started < 30
 
 
 PAGE = (
@@ -123,12 +189,14 @@ PAGE = (
 
 
 def test_main_text():
-    assert html.main_text(PAGE, frozenset()) == 'Head & "tail"\nOne two\nthree four\nfive six\nc1\nc2'
-    assert html.main_text("", frozenset()) == ""
-    assert html.main_text("plain &lt;b&gt; text", frozenset()) == "plain <b> text"
-    assert html.main_text("<p>a<script>x", frozenset()) == "a"
-    assert html.main_text("<article><p>cut in a ta<", frozenset()) == "cut in a ta<"
-    assert html.main_text("<article></article><p>outside", frozenset()) == ""
+    assert html.main_text(PAGE) == 'Head & "tail"\nOne two\nthree four\nfive six\nc1\nc2'
+    assert html.main_text("") == ""
+    assert html.main_text("plain &lt;b&gt; text") == "plain <b> text"
+    assert html.main_text("<p>a<script>x") == "a"
+    assert html.main_text("<article><p>cut in a ta<") == "cut in a ta<"
+    assert html.main_text("<article></article><p>outside") == ""
+    assert html.main_text('<p>hello</p><a x x"<b>bye</b>') == "hello\nbye"
+    assert html.main_text("<nav>n</nav><img>after") == "after"
 
 
 @pytest.mark.parametrize("page, text", [
@@ -144,7 +212,66 @@ def test_main_text():
     ("<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p><object><p>x</p></object><p>b</p></article>", "where x=1\nb"),
 ])
 def test_main_text_keeps_the_article(page, text):
-    assert html.main_text(f"<html><body>{page}</body></html>", frozenset()) == text
+    assert html.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def brute_template(pages):
+    """Classes of equal occurrence vectors by plain dictionaries, those on half of the pages and on two of them."""
+    pages = list(dict.fromkeys(pages))
+    counts = [{t: x[0] for t, x in html.page_tokens(p).items()} for p in pages]
+    marked = {t for p in pages for t, x in html.page_tokens(p).items() if x[4]}
+    classes = {}
+    for t in set().union(*counts):
+        classes.setdefault(tuple(c.get(t, 0) for c in counts), set()).add(t)
+    keep = lambda v, t: sum(map(bool, v)) >= 2 and (2 * sum(map(bool, v)) >= len(pages) or t in marked)
+    return sorted(t for v, ts in classes.items() for t in ts if keep(v, t)) if len(pages) > 1 else None
+
+
+def test_templates_are_the_classes_of_plain_counts(spark):
+    rng = random.Random(6)
+    bits = ["<div class='x'><p>a</p></div>", "<p>fixed line</p>", "<ul><li><a href=1>m</a></li></ul>", "<div class='promo'>p</div>", "<section><h2>t</h2></section>", "<p>", "</div>", "<table><tr><td>1<td>2</table>"]
+    rows = [(i, f"http://h{i % 7}.org/{i}", "<html><body>" + "".join(rng.choice(bits) for _ in range(rng.randrange(9))) + f"<p>{rng.randrange(4)}</p>", "") for i in range(60)] + [(99, "http://one.org/", "<p>x", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
+    named = df.selectExpr("substring_index(substring(url, 8), '/', 1) AS host", "html", "xxhash64(html) AS page")
+    got = {r.host: sorted(r.tokens) for r in html.templates(named).collect()}
+    for h in {f"h{i}.org" for i in range(7)} | {"one.org"}:
+        want = brute_template([x[2] for x in rows if x[1].startswith(f"http://{h}/")])
+        assert got.get(h) == (want or None), h
+
+
+def test_template_decides_without_article_and_with_other_names(spark):
+    words = lambda i, k: " ".join(f"w{i}x{k}n{j}" for j in range(40))
+    page = lambda i: (
+        f"<html><body><div class=q1><ul><li><a href=/a{i}>menu {i}</a></li><li><a href=/b>more {i} here</a></li></ul></div><div class=z9>Buy thing {i}</div>"
+        f"<div class=c7><h1>Title {i}</h1><p>{words(i, 1)}</p><div class='notice board'><p>{words(i, 2)}</p></div></div><div class=k2>&copy; h.org {i} rights</div></body></html>"
+    )
+    rows = [(i, f"http://h.org/{i}", page(i).replace("notice board", "plain" if i != 3 else "notice board"), "") for i in range(8)]
+    got = {r.key: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Title {i}\n{words(i, 1)}\n{words(i, 2)}"
+    # In articles a mark counts if several pages of the host have it there.
+    page = lambda i, more: f"<body><article><p>{words(i, 1)}</p>{more}<p>end {i}</p></article></body>"
+    more = {2: '<div class="share price">rises 3%</div>', 5: '<div class="search results"><p>none found</p></div>'}
+    rows = [(i, f"http://h.org/{i}", page(i, more.get(i, "") + f'<div class="share">tweet {i}</div>'), "") for i in range(8)]
+    got = {r.key: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")).collect()}
+    for i in range(8):
+        assert got[i] == "\n".join([words(i, 1), *({2: ["rises 3%"], 5: ["none found"]}.get(i, [])), f"end {i}"])
+
+
+def test_malformed_and_long_pages():
+    long = ["<a" + " x" * 300_000 + ' "', "<img" + " /" * 300_000 + "<", "<div>" * 50_000 + "deep", "<p" + " a='" * 200_000, '<b x="' * 200_000 + "</b>", "<" * 500_000, "&" * 300_000, "<ul><li>" * 30_000 + "x", "<!--" * 200_000, "<p>x" * 100_000, "</div>" * 200_000]
+    for text in long:
+        started = time.time()
+        html.page_tokens(text)
+        html.main_text(text)
+        assert time.time() - started < 10, text[:20]
+    assert html.main_text(long[2]) == "deep" and html.main_text(long[7]) == "x"
+
+
+def test_repeated_pages_and_an_empty_table(spark):
+    df = spark.createDataFrame([(1, "http://h.org/1", "<body><p>only this"), (1, "http://h.org/1", "<body><p>only this")], "page_id long, url string, html string")
+    assert [r.text for r in html.extracted(df).collect()] == ["only this"] * 2
+    assert html.extracted(df.limit(0)).count() == 0
 
 
 def test_templates_drop_what_a_hosts_pages_share(spark):
