@@ -7,37 +7,40 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import hash_id
+from plantstate.operators.graph import cut
 
 #: Reserved names inside an attribute.
 RESERVED = ("@type", *(m.NGSI + x for x in ("hasValue", "hasObject", "hasJSON", "hasValueList", "datasetId", "unitCode", "observedAt", "createdAt", "modifiedAt")))
 SYNC = "urn:sync"
-MANY, ONE = "array<map<string,string>>", "map<string,string>"
+#: An instance of an attribute: the fields of its own, read at once.
+ITEM = "`@type` array<string>, " + ", ".join(
+    f"`{m.NGSI}{name}` array<struct<{', '.join(f'`@{x}`: string' for x in of)}>>"
+    for name, of in {"hasValue": ("value", "id", "type"), "hasObject": ("id",), "hasJSON": ("value",), "hasValueList": ("list",), "datasetId": ("id",), "unitCode": ("value",), "observedAt": ("value",)}.items()
+)
 
 
-def _first(c: Column, shape: str = "array<string>") -> Column:
-    return F.get(F.from_json(c, shape), F.lit(0))
+def _attributes(doc: Column) -> Column:
+    """key, value (JSON text) of the attributes in a JSON object; reserved names and plain values go."""
+    return F.filter(F.map_entries(F.from_json(doc, "map<string,string>")), lambda e: ~e["key"].isin("id", "@id", "type", *RESERVED) & e["value"].rlike(r"^\s*[\[{]"))
 
 
-def _items(doc: Column) -> Column:
-    """(name, item) for each instance of each attribute of a document; reserved names and other values go."""
-    entries = F.filter(F.map_entries(F.from_json(doc, ONE)), lambda e: ~e["key"].isin("id", "@id", "@type", "type", *RESERVED) & e["value"].startswith("["))
-    return F.flatten(F.transform(entries, lambda e: F.transform(F.coalesce(F.from_json(e["value"], MANY), F.array().cast(MANY)), lambda x: F.struct(e["key"].alias("name"), x.alias("item")))))
+def _instances(value: Column) -> Column:
+    """The instances of an attribute, as JSON text: an object stands for itself, an array for those in it."""
+    return F.when(value.rlike(r"^\s*\["), F.from_json(value, "array<string>")).otherwise(F.array(value))
 
 
-def _fields(item: Column) -> dict[str, Column]:
-    at = lambda name: F.try_element_at(item, F.lit(m.NGSI + name))
-    kind = _first(F.try_element_at(item, F.lit("@type")))
-    value, obj, js, lst = _first(at("hasValue"), MANY), _first(at("hasObject"), MANY), _first(at("hasJSON"), MANY), _first(at("hasValueList"), MANY)
-    of = lambda x, name: F.try_element_at(x, F.lit(name))
-    is_iri = of(value, "@id").isNotNull()
+def _fields(s: Column) -> dict[str, Column]:
+    at = lambda name, part: F.get(s[m.NGSI + name], F.lit(0))[f"@{part}"]
+    kind, value = F.get(s["@type"], F.lit(0)), at("hasValue", "value")
+    is_iri = at("hasValue", "id").isNotNull()
     return {
         "type": kind,
         "nodeType": F.when(kind == m.RELATIONSHIP, "@id").when(kind.isin(m.JSON_PROPERTY, m.GEO_PROPERTY), "@json").when(kind == m.LIST_PROPERTY, "@list").when((kind == m.PROPERTY) & is_iri, "@id").when(kind == m.PROPERTY, "@value"),
-        "valueType": F.when((kind == m.PROPERTY) & ~is_iri, of(value, "@type")),
-        "attributeValue": F.when(kind == m.RELATIONSHIP, of(obj, "@id")).when(kind == m.JSON_PROPERTY, of(js, "@value")).when(kind == m.LIST_PROPERTY, of(lst, "@list")).otherwise(F.coalesce(of(value, "@value"), of(value, "@id"))),
-        "datasetId": F.coalesce(of(_first(at("datasetId"), MANY), "@id"), F.lit("@none")),
-        "unitCode": of(_first(at("unitCode"), MANY), "@value"),
-        "observedAt": F.try_to_timestamp(of(_first(at("observedAt"), MANY), "@value")),
+        "valueType": F.when((kind == m.PROPERTY) & ~is_iri, at("hasValue", "type")),
+        "attributeValue": F.when(kind == m.RELATIONSHIP, at("hasObject", "id")).when(kind == m.JSON_PROPERTY, at("hasJSON", "value")).when(kind == m.LIST_PROPERTY, at("hasValueList", "list")).otherwise(F.coalesce(value, at("hasValue", "id"))),
+        "datasetId": F.coalesce(at("datasetId", "id"), F.lit("@none")),
+        "unitCode": at("unitCode", "value"),
+        "observedAt": F.try_to_timestamp(at("observedAt", "value")),
     }
 
 
@@ -47,21 +50,28 @@ def cdc_entity(df: DataFrame, side: str) -> DataFrame:
 
 
 def cdc_flatten(docs: DataFrame) -> DataFrame:
-    """Attribute rows of documents (id, entity JSON): those at the top and one level below them.
+    """Attribute rows of documents (id, entity JSON), at any depth: a written round per level of nesting.
 
     A top attribute's id is entity\\name, of a further dataset the name's hash; a sub-attribute's
-    is entity\\hash of its whole path. Of instances with one id the last wins; unknown kinds go."""
+    is entity\\hash of its whole path. Of instances with one id the last wins; unknown kinds go,
+    with what is in them. An instance is read twice: for its own fields, and for its sub-attributes."""
     names = ("type", "nodeType", "valueType", "attributeValue", "datasetId", "unitCode", "observedAt")
-    top = docs.select(F.col("id").alias("entityId"), F.posexplode(_items(F.col("entity"))).alias("pos", "x"))
-    top = top.select("entityId", "pos", F.col("x.name").alias("name"), F.col("x.item").alias("item"), *[c.alias(n) for n, c in _fields(F.col("x.item")).items()])
-    top = top.withColumn("id", F.concat_ws("\\", "entityId", F.when(F.col("datasetId") == "@none", F.col("name")).otherwise(hash_id(F.col("name"), F.col("datasetId")))))
-    sub = top.withColumn("subs", F.filter(F.map_entries("item"), lambda e: ~e["key"].isin(*RESERVED) & e["value"].startswith("[{")))
-    sub = sub.select("entityId", F.col("id").alias("parentId"), F.col("name").alias("up"), F.explode("subs").alias("e")).select("entityId", "parentId", "up", F.col("e.key").alias("name"), F.posexplode(F.from_json(F.col("e.value"), MANY)).alias("pos", "item"))
-    sub = sub.select("entityId", "parentId", "pos", "up", "name", *[c.alias(n) for n, c in _fields(F.col("item")).items()])
-    sub = sub.withColumn("id", F.concat_ws("\\", "entityId", hash_id(F.concat_ws("\\", "parentId", "name"), F.col("datasetId"))))
     columns = ["id", "parentId", "entityId", "name", *names]
-    rows = top.withColumn("parentId", F.lit(None).cast("string")).select("pos", *columns).unionByName(sub.select("pos", *columns)).where(F.col("nodeType").isNotNull())
-    last = rows.groupBy("id").agg(F.max(F.struct("pos", *[c for c in columns if c != "id"])).alias("l"))
+    front = docs.select(F.col("id").alias("entityId"), F.lit(None).cast("string").alias("parentId"), _attributes(F.col("entity")).alias("subs"))
+    out = None
+    while True:
+        found = front.select("entityId", "parentId", F.explode("subs").alias("e")).select("entityId", "parentId", F.col("e.key").alias("name"), F.posexplode(_instances(F.col("e.value"))).alias("pos", "text"))
+        found = found.withColumn("s", F.from_json("text", ITEM))
+        found = found.select("entityId", "parentId", "name", "pos", *[c.alias(n) for n, c in _fields(F.col("s")).items()], _attributes(F.col("text")).alias("subs")).where(F.col("nodeType").isNotNull())
+        top = F.when(F.col("datasetId") == "@none", F.col("name")).otherwise(hash_id(F.col("name"), F.col("datasetId")))
+        below = hash_id(F.concat_ws("\\", "parentId", "name"), F.col("datasetId"))
+        level = cut(found.withColumn("id", F.concat_ws("\\", "entityId", F.when(F.col("parentId").isNull(), top).otherwise(below))))
+        rows = level.select("pos", *columns)
+        out = rows if out is None else out.unionByName(rows)
+        front = level.where(F.size("subs") > 0).select("entityId", F.col("id").alias("parentId"), "subs")
+        if front.isEmpty():
+            break
+    last = out.groupBy("id").agg(F.max(F.struct("pos", *[c for c in columns if c != "id"])).alias("l"))
     return last.select("id", *[F.col(f"l.{c}").alias(c) for c in columns if c != "id"])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import json_array_test, json_object_test
+from plantstate.operators.graph import cut
 
 PROPERTY_KINDS = (m.PROPERTY, m.LIST_PROPERTY, m.JSON_PROPERTY)
 
@@ -136,8 +137,9 @@ def relationship_checks() -> dict[str, tuple[Column, Column, Column]]:
 def row_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]], names: Sequence[str] | None = None) -> DataFrame:
     """resource, event, constraint_id, triggered, severity, text for the violations of some checks, in one pass over base."""
     asked = [checks[n] for n in (names or checks)]
-    fired = F.filter(F.array(*[F.when(cond, F.struct(event.alias("event"), text.alias("text"))) for cond, event, text in asked]), lambda x: x.isNotNull())
-    rows = base.select(F.col("this").alias("resource"), "constraint_id", "severity", F.explode(fired).alias("v"))
+    # Exploded with nulls that the filter drops: conditions and texts stay in generated code.
+    fired = F.explode(F.array(*[F.when(cond, F.struct(event.alias("event"), text.alias("text"))) for cond, event, text in asked])).alias("v")
+    rows = base.select(F.col("this").alias("resource"), "constraint_id", "severity", fired).where(F.col("v").isNotNull())
     return rows.select("resource", "v.event", "constraint_id", F.lit(True).alias("triggered"), "severity", "v.text")
 
 
@@ -153,10 +155,14 @@ def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:
 
 
 def chk_all_rel(base: DataFrame) -> DataFrame:
+    """All relationship checks; the base is written once and read by the row checks and the counts."""
+    base = cut(base)
     return row_checks(base, relationship_checks()).unionByName(count_check(base, "relationship"))
 
 
 def chk_all_prop(base: DataFrame, compat: bool = False) -> DataFrame:
+    """All property checks, likewise."""
+    base = cut(base)
     return row_checks(base, property_checks(compat)).unionByName(count_check(base, "property", compat))
 
 

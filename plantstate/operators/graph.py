@@ -30,19 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure_pairs(edges: DataFrame, keys: tuple[str, ...] = (), most: int = 40) -> DataFrame:
+def closure_pairs(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Transitive closure of edges (keys..., a, b): paths double each round, until none is new.
 
-    Cycles end, as pairs are distinct and only new ones go on."""
+    Chains may have any length, and cycles end, as pairs are distinct and only new ones go on."""
     known = cut(edges.select(*keys, "a", "b").distinct())
     new = known
-    for _ in range(most):
+    while True:
         step = new.withColumnRenamed("b", "x").join(known.withColumnRenamed("a", "x"), [*keys, "x"]).select(*keys, "a", "b").distinct()
         new = cut(step.join(known, [*keys, "a", "b"], "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
-    raise ValueError(f"the closure still grows after {most} rounds")
 
 
 def transitive_closure(triples: DataFrame) -> DataFrame:
@@ -84,18 +83,25 @@ def is_subclass(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(c.distinct(), ["sub", "super"], "left_semi")
 
 
-def depths(edges: DataFrame, most: int = 40) -> DataFrame:
-    """node, ancestor, depth: the shortest way up edges (a below b), with the node itself at 0."""
-    e = cut(edges.select("a", "b").distinct())
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    known = front = cut(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
-    for i in range(1, most + 1):
-        step = front.join(e, front["ancestor"] == e["a"]).select("node", F.col("b").alias("ancestor")).distinct()
-        front = cut(step.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(i)))
-        if front.isEmpty():
-            return known
-        known = known.unionByName(front)
-    raise ValueError(f"chains of more than {most} steps")
+def depths(edges: DataFrame) -> DataFrame:
+    """node, ancestor, depth: the shortest way up edges (a below b), with the node itself at 0.
+
+    The ways known double each round: one of up to 2 n steps has a node n steps up, and the
+    rest of it is known. So chains may have any length, and cycles end."""
+    e = edges.select(F.col("a").alias("node"), F.col("b").alias("ancestor")).distinct()
+    known = cut(e.where("node <> ancestor").withColumn("depth", F.lit(1)))
+    reach = 1
+    while True:
+        far = known.where(F.col("depth") == reach)
+        rest = known.select(F.col("node").alias("x"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
+        step = far.join(rest, far["ancestor"] == rest["x"]).where("node <> up").groupBy("node", F.col("up").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        new = cut(step.join(known, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+        reach *= 2
+    nodes = e.select("node").union(e.select("ancestor")).distinct()
+    return known.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
 
 def subclass_edges(triples: DataFrame, predicate: str = m.SUBCLASS) -> DataFrame:
@@ -118,7 +124,7 @@ def common_supertype(pairs: DataFrame, triples: DataFrame) -> DataFrame:
 
 def in_namespace(iris: Column, prefix: str) -> Column:
     """IRIs directly below a prefix: no further / or #."""
-    return iris.startswith("<" + prefix) & ~F.substring(iris, len(prefix) + 2, 10_000).rlike("[/#]")
+    return iris.startswith("<" + prefix) & ~F.substr(iris, F.lit(len(prefix) + 2)).rlike("[/#]")
 
 
 def types_in_namespace(triples: DataFrame, base: str, prefix: str) -> DataFrame:
@@ -133,17 +139,25 @@ def objects_in_namespace(triples: DataFrame, base: str, prefix: str) -> DataFram
     return triples.where(F.col("predicate") == m.RDF_TYPE).join(classes, "object", "left_semi").where(in_namespace(F.col("subject"), prefix)).select(F.col("subject").alias("iri")).distinct()
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """start, node: all nodes that edges (a, b) reach from each start, the start included."""
-    e = edges.select("a", "b").distinct()
-    known = front = cut(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
-    for _ in range(most):
-        step = front.join(e, front["node"] == e["a"]).select("start", F.col("b").alias("node")).distinct()
-        front = cut(step.join(known, ["start", "node"], "left_anti"))
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """start, node: all nodes that edges (a, b) reach from each start, the start included. A round per step, however many."""
+    return _reached(starts.select(F.col("start"), F.col("start").alias("node")), edges, ["start", "node"])
+
+
+def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """node: all nodes that edges (a, b) reach from any start, the starts included; each once, whoever reaches it."""
+    return _reached(starts.select(F.col("start").alias("node")), edges, ["node"])
+
+
+def _reached(front: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    e = cut(edges.select("a", "b").distinct())
+    known = front = cut(front.distinct())
+    while True:
+        step = front.join(e, front["node"] == e["a"]).select(*columns[:-1], F.col("b").alias("node")).distinct()
+        front = cut(step.join(known, columns, "left_anti"))
         if front.isEmpty():
             return known
         known = known.unionByName(front)
-    raise ValueError(f"chains of more than {most} steps")
 
 
 def reachable_subgraph(starts: DataFrame, triples: DataFrame) -> DataFrame:

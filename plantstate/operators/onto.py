@@ -124,7 +124,7 @@ def instances_to_attributes(root: DataFrame, refs: DataFrame, nodes: DataFrame)
     """(entities, attributes) of all that forward references reach from the roots (start): objects are
     entities and relationships, variables typed attributes."""
     edges = refs.where(F.col("forward") & ~F.col("type").isin(*IGNORED))
-    found = graph.reachable(root, edges.select(F.col("node").alias("a"), F.col("target").alias("b"))).select("node").distinct()
+    found = graph.reached(root, edges.select(F.col("node").alias("a"), F.col("target").alias("b")))
     here = nodes.join(found, "node", "left_semi")
     entities = here.where("kind = 'UAObject'").select(F.col("node").alias("id"), F.col("browse").alias("type"))
     ends = here.select(F.col("node").alias("target"), "kind", "browse", "datatype")

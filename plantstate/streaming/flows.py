@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plantstate.operators.graph import shared_folder
-from plantstate.operators.state import latest_by_key
+from plantstate.sources.logs import current_version, read_upserted, upsert
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,23 +45,20 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over all that there is now; each(batch, number) writes what it makes."""
-    path = folder(stream.sparkSession, name)
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Run a stream over all that there is now; each(batch, number) writes what it makes. state: the checkpoint, if not a new one."""
+    path = state or f"{folder(stream.sparkSession, name)}/state"
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
 
 
-def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str, tie: str) -> DataFrame:
-    """Each batch is merged into a table with the newest row per key; a version is written whole, then named as the current one."""
-    spark, versions = stream.sparkSession, []
+def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str, tie: str, state: str | None = None) -> DataFrame:
+    """Each batch is merged into the upserted table at path, whose current version is looked up there.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if not versions else batch.unionByName(spark.read.schema(batch.schema).parquet(versions[-1]))
-        latest_by_key(rows, keys, ts, tie).write.mode("overwrite").parquet(f"{path}/v{number}")
-        versions.append(f"{path}/v{number}")
-
-    run_batches(stream, "merge", merge)
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    So a stream that starts again from its checkpoint (state) goes on from the table, and a
+    batch that is run again changes nothing: the newest row of a key stays."""
+    spark = stream.sparkSession
+    run_batches(stream, "merge", lambda batch, number: upsert(batch, path, keys, ts, tie), state)
+    return read_upserted(spark, path) if current_version(spark, path) else spark.createDataFrame([], stream.schema)
 
 
 def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str], ttl: str | None = None) -> DataFrame:

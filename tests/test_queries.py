@@ -27,7 +27,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
         return None
     if isinstance(x, float):
         return f"{x:.9g}"
