@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantstate.llm.common import WORD, at, numbered, stage
@@ -19,16 +19,27 @@ BITS = 60
 STEP = 12
 
 
+def hash_bits(key: Column, seed: str) -> Column:
+    """60 hash bits of an id; a null id hashes as an empty string."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
+
+
+def copies(most: int) -> Column:
+    """How often a row is taken, from its h and its source's reps, cut and cut_in."""
+    extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("cut_in"))
+    return F.least(F.col("reps") + F.when(extra, 1).otherwise(0), F.lit(most).cast("long"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """key, src, size (words) and h (60 hash bits of the id; a null id hashes as an empty string)."""
+    """key, src, size (words) and h (hash_bits of the id)."""
     d = numbered(docs)
     key = d[at(docs, id_col)]
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return d.select(
         key.alias("key"),
         d[at(docs, source_col)].cast("string").alias("src"),
         F.coalesce(F.regexp_count(d[at(docs, text_col)], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("h"),
+        hash_bits(key, seed).alias("h"),
     )
 
 
@@ -85,21 +96,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def applied(rows: DataFrame, cuts: DataFrame, most: int = 3) -> DataFrame:
     c = cuts.withColumnRenamed("src", "c_src")
-    joined = rows.join(c, F.col("src").eqNullSafe(F.col("c_src")), "left")
-    extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("cut_in"))
-    copies = F.least(F.col("reps") + F.when(extra, 1).otherwise(0), F.lit(most).cast("long"))
-    return joined.withColumn("copies", copies).select("key", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    joined = rows.join(c, F.col("src").eqNullSafe(F.col("c_src")), "left").withColumn("copies", copies(most))
+    return joined.select("key", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix") -> DataFrame:
     """The documents that the mix takes, each as often as it takes them, with all their columns."""
-    rows = stage(sized(docs, id_col, options.get("text_col", "text"), options.get("source_col", "source"), options.get("seed", "mix")), "mix")
-    weights, share, most = options.get("weights", (5, 2, 1)), options.get("share", 1.0), options.get("most", 3)
+    rows = stage(sized(docs, id_col, text_col, source_col, seed), "mix")
     cuts = thresholds(rows, targets(rows, weights, share, most)).withColumnRenamed("src", "c_src")
     d, names = numbered(docs), docs.columns
-    digest = F.md5(F.concat(F.lit(f"{options.get('seed', 'mix')}:"), F.coalesce(d[at(docs, id_col)].cast("string"), F.lit(""))))
-    d = d.withColumns({"h": F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long"), "src": d[at(docs, options.get("source_col", "source"))].cast("string")})
-    extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("cut_in"))
-    copies = F.least(F.col("reps") + F.when(extra, 1).otherwise(0), F.lit(most).cast("long")).cast("int")
-    taken = d.join(cuts, F.col("src").eqNullSafe(F.col("c_src")), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies >= F.col("copy"))
+    d = d.withColumns({"h": hash_bits(d[at(docs, id_col)], seed), "src": d[at(docs, source_col)].cast("string")})
+    times = copies(most).cast("int")
+    taken = d.join(cuts, F.col("src").eqNullSafe(F.col("c_src")), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times >= F.col("copy"))
     return taken.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
