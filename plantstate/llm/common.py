@@ -18,16 +18,23 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; on one machine (tests) one of our own where it is unset."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_dir
 
 
+def row_id(*columns: Column) -> Column:
+    """128 bits of a row's values, as text: rows are told apart by them."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("."), F.hex(F.xxhash64(F.lit(7), *columns)))
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantstate.llm.common import at, blank_if_null, numbered, stage
+from plantstate.llm.common import at, blank_if_null, numbered, row_id, stage
 from plantstate.llm.graphs import components
 
 SHINGLE, BANDS, PICKED, LEAST = 5, 24, 4, 0.8
@@ -134,7 +134,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, row, node (16 bytes of the words' digest), sketch, labels (binary, 32 bits each)."""
     d = numbered(docs)
     key, text = d[at(docs, id_col)], d[at(docs, text_col)]
-    d = d.select(key.alias("key"), F.xxhash64(key, text).alias("row"), F.encode(blank_if_null(text), "UTF-8").alias("t"))
+    d = d.select(key.alias("key"), row_id(key, text).alias("row"), F.encode(blank_if_null(text), "UTF-8").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,7 +154,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 })
                 i = j
 
-    return d.mapInPandas(run, f"key {d.schema['key'].dataType.simpleString()}, row long, node binary, sketch array<long>, labels binary")
+    return d.mapInPandas(run, f"key {d.schema['key'].dataType.simpleString()}, row string, node binary, sketch array<long>, labels binary")
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -230,11 +230,13 @@ def links(rows: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """key, row (64 bits of id and text), root (of the class), class_id (its smallest id) and class_size, a row per document.
+    """key, row (128 bits of id and text), root (of the class), class_id (its smallest id) and class_size, a row per document.
 
     Documents with the same words are copies and meet as one; null texts and texts without
     words are copies of each other. A class is a connected component of links of similarity
-    least or more. Repeated rows each have their row. An empty table gives no rows."""
+    least or more; a similarity of exactly least is a link. Repeated rows each have their row.
+    An empty table gives no rows. Labels are compared by 32 of their bits once documents
+    share a sketch: two different ones of a pair are equal by chance once in four billion."""
     rows = stage(profiles(docs, id_col, text_col), "profiles")
     roots = components(links(rows, least))
     placed = rows.select("key", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -246,7 +248,7 @@ def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One document of each class, that of the smallest id, with all its columns."""
     found = stage(classes(docs, id_col, text_col, least), "classes")
     keep = found.groupBy("root").agg(F.min(F.struct("key", "row")).alias("k")).select(F.col("k.row").alias("k_row"))
-    d = numbered(docs).withColumn("row", F.xxhash64(F.col(at(docs, id_col)), F.col(at(docs, text_col))))
+    d = numbered(docs).withColumn("row", row_id(F.col(at(docs, id_col)), F.col(at(docs, text_col))))
     kept = d.join(keep, F.col("row") == F.col("k_row"), "left_semi")
     if not found.groupBy("row").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["row"])

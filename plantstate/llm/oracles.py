@@ -40,7 +40,7 @@ SELECT doc_id, size, source_size, target,
 FROM sized s JOIN cuts c ON s.src IS NOT DISTINCT FROM c.src
 """
 
-_PAIRS = ", ".join(f"{{'feature': '{f.name}', 'bucket': CASE WHEN {f.bottom} > 0 THEN least({f.scale} * {f.top} // {f.bottom}, {f.highest}) ELSE 0 END}}" for f in FEATURES)
+_PAIRS = ", ".join(f"{{'feature': '{f.name}', 'bucket': CASE WHEN {f.bottom} > 0 THEN {f.scale} * {f.top} // {f.bottom} ELSE 0 END}}" for f in FEATURES)
 _WIDE = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {f.wide}" for f in FEATURES) + " END"
 _LOW = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {f.low}" for f in FEATURES) + " END"
 _HIGH = "CASE feature " + " ".join(f"WHEN '{f.name}' THEN {f.high}" for f in FEATURES) + " END"
@@ -65,7 +65,7 @@ WITH words AS (
 ), judged AS (
   SELECT *, n_lines - n_own_lines AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
 ), pairs AS (
-  SELECT r, lang, src, n_words, p.feature AS feature, p.bucket AS bucket FROM (SELECT r, lang, src, n_words, unnest([{_PAIRS}]) AS p FROM judged)
+  SELECT r, lang, src, n_words, p.feature AS feature, (p.bucket - p.bucket % (1::BIGINT << greatest(length(bin(p.bucket::BIGINT)) - 10, 0)))::BIGINT AS bucket FROM (SELECT r, lang, src, n_words, unnest([{_PAIRS}]) AS p FROM judged)
 ), sketch AS (
   SELECT lang, src, feature, bucket, count(*) AS n FROM pairs WHERE n_words > 0 GROUP BY ALL
 ), merged AS (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantstate.llm.common import WHITE, at, blank_if_null, let, numbered, stage, words_of
+from plantstate.llm.common import WHITE, at, blank_if_null, let, numbered, row_id, stage, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -21,25 +21,24 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Feature:
-    """value = floor(scale x top / bottom), at most highest. wide: the least spread. low, high: the sides that are cut."""
+    """value = floor(scale x top / bottom); bucket: its first ten binary digits. wide: the least spread. low, high: the sides that are cut."""
 
     name: str
     top: str
     bottom: str
     scale: int
-    highest: int
     wide: int
     low: bool
     high: bool
 
 
 FEATURES = (
-    Feature("word_length", "word_chars", "n_words", 20, 4000, 10, True, True),
-    Feature("symbols", "n_symbols", "n_words", 100, 4000, 10, False, True),
-    Feature("dup_lines", "n_dup_lines", "n_lines", 100, 100, 20, False, True),
-    Feature("repeats", "n_repeat_words", "n_words", 100, 100, 10, False, True),
-    Feature("echoes", "n_echo_words", "n_words", 100, 100, 10, False, True),
-    Feature("shouting", "n_loud", "word_chars", 200, 200, 10, False, True),
+    Feature("word_length", "word_chars", "n_words", 20, 10, True, True),
+    Feature("symbols", "n_symbols", "n_words", 100, 10, False, True),
+    Feature("dup_lines", "n_dup_lines", "n_lines", 100, 20, False, True),
+    Feature("repeats", "n_repeat_words", "n_words", 100, 10, False, True),
+    Feature("echoes", "n_echo_words", "n_words", 100, 10, False, True),
+    Feature("shouting", "n_loud", "word_chars", 200, 10, False, True),
 )
 #: Spreads beyond the quartiles at which a document is cut; documents that a sketch needs to stand alone.
 REACH, ENOUGH = 3, 200
@@ -92,15 +91,22 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def bucket(value: Column) -> Column:
+    """A value below 1024 is its own bucket; larger ones keep their first ten binary digits, so a bucket is at most
+    1/512 wide of its value, no value is cut off, and a sketch has at most 1024 + 53 x 512 buckets however many documents."""
+    return value - F.pmod(value, F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(value)) - 10, F.lit(0))))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """key, lang, src, row (64 bits of the whole row), the counts, base_failed and a bucket per feature."""
+    """key, lang, src, row (128 bits of the whole row), the counts, base_failed and a bucket per feature."""
     d = numbered(docs)
     counts = statistics(d[at(docs, text_col)])
-    m = d.select(d[at(docs, id_col)].alias("key"), d[at(docs, lang_col)].cast("string").alias("lang"), d[at(docs, source_col)].cast("string").alias("src"), F.xxhash64(d[at(docs, id_col)], d[at(docs, text_col)], d[at(docs, lang_col)], d[at(docs, source_col)]).alias("row"), *[c.alias(n) for n, c in counts.items()])
+    m = d.select(d[at(docs, id_col)].alias("key"), d[at(docs, lang_col)].cast("string").alias("lang"), d[at(docs, source_col)].cast("string").alias("src"), row_id(*[d[at(docs, c)] for c in (id_col, text_col, lang_col, source_col)]).alias("row"), *[c.alias(n) for n, c in counts.items()])
     m = m.select("key", "lang", "src", "row", "by_word.*", "by_line.*", "word_chars", "n_symbols", "n_loud")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    buckets = [F.when(F.col(f.bottom) > 0, F.least(F.expr(f"{f.scale} * {f.top} div {f.bottom}"), F.lit(f.highest))).otherwise(F.lit(0)).cast("long").alias(f"b_{f.name}") for f in FEATURES]
-    return m.select("*", failed.alias("base_failed"), *buckets)
+    values = [F.when(F.col(f.bottom) > 0, F.expr(f"{f.scale} * {f.top} div {f.bottom}")).otherwise(F.lit(0)).cast("long").alias(f"v_{f.name}") for f in FEATURES]
+    m = m.select("*", failed.alias("base_failed"), *values)
+    return m.select(*[c for c in m.columns if not c.startswith("v_")], *[bucket(F.col(f"v_{f.name}")).alias(f"b_{f.name}") for f in FEATURES])
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -149,5 +155,5 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents that are kept, with all their columns. The rejected rows' hashes are anti-joined, so the texts are read again, not measured again."""
     gone = judged(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).where(~F.col("kept")).select(F.col("row").alias("gone")).distinct()
     d = numbered(docs)
-    row = F.xxhash64(*[d[at(docs, c)] for c in (id_col, text_col, lang_col, source_col)])
+    row = row_id(*[d[at(docs, c)] for c in (id_col, text_col, lang_col, source_col)])
     return d.withColumn("row", row).join(gone, F.col("row") == F.col("gone"), "left_anti").drop("row").toDF(*docs.columns)
