@@ -14,11 +14,13 @@ _own_dir: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that executors share (spark.checkpoint.dir); where the setting is missing, one of our own."""
+    """The folder that executors share: spark.checkpoint.dir; on one machine (tests) one of our own where it is unset."""
     global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_dir
 

@@ -121,13 +121,13 @@ def sub_references(spark, d):
     return graph.sub_references(edges, t, "<r/R>").select("node", "predicate", "target")
 
 
-@query("rdf_list_to_array", "SELECT user_id AS head, string_agg(event_type, '|' ORDER BY ts, event_id) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5 GROUP BY user_id")
+@query("rdf_list_to_array", "SELECT user_id AS head, string_agg(event_type, '|' ORDER BY ts, event_id) AS items FROM events GROUP BY user_id")
 def rdf_list_to_array(spark, d):
-    """The first five events of each user, as lists of first and rest triples."""
+    """The events of each user, as lists of first and rest triples."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, d, "events").withColumn("n", n).where("n <= 5")
+    e = table(spark, d, "events").withColumn("n", n)
     cell = lambda i: F.concat_ws("/", F.col("user_id").cast("string"), i.cast("string"))
     first = e.select(cell(F.col("n")).alias("subject"), F.lit(m.RDF_FIRST).alias("predicate"), F.col("event_type").alias("object"))
     last = F.lead("n").over(Window.partitionBy("user_id").orderBy("n")).isNull()
@@ -278,9 +278,9 @@ def subclass_extract(spark, d):
     return onto.subclass_extract(rdf(spark, d), "<Party>")
 
 
-@query("target_nodes_extract", "WITH k AS (SELECT DISTINCT p_type FROM part WHERE p_partkey < 3) SELECT '<n/' || p_partkey || '>' AS subject, '" + m.RDF_TYPE + "' AS predicate, '<Part/' || p_type || '>' AS object FROM part WHERE p_type IN (SELECT p_type FROM k)")
+@query("target_nodes_extract", "WITH k AS (SELECT DISTINCT p_type FROM part WHERE p_size = 1) SELECT '<n/' || p_partkey || '>' AS subject, '" + m.RDF_TYPE + "' AS predicate, '<Part/' || p_type || '>' AS object FROM part WHERE p_type IN (SELECT p_type FROM k)")
 def target_nodes_extract(spark, d):
-    given = table(spark, d, "part").where("p_partkey < 3").select(F.concat(F.lit("<n/"), F.col("p_partkey").cast("string"), F.lit(">")).alias("node"))
+    given = table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("<n/"), F.col("p_partkey").cast("string"), F.lit(">")).alias("node"))
     return onto.target_nodes_extract(things(spark, d), given)
 
 

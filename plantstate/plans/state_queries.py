@@ -174,9 +174,14 @@ def match_triple(spark, d):
     return patterns.match_triple(patterns.match_triple(None, r, "<partOf>", "region", "<urn:world>"), r, "<partOf>", "nation", "region").select("nation", "region")
 
 
-@query("match_triple_bnode", S + f"SELECT a.subject AS s, b.object AS o FROM rdf a JOIN rdf b ON a.object = b.subject WHERE a.predicate = '<label>' AND b.predicate = '{m.RDF_FIRST}' AND a.object LIKE '\\_:%' ESCAPE '\\'")
+@query("match_triple_bnode", S + f"SELECT a.subject AS s, b.object AS o FROM rdf a JOIN rdf b ON a.object = b.subject WHERE a.predicate = '<label>' AND b.predicate = '{m.RDF_FIRST}' AND a.object LIKE '\\_:%' ESCAPE '\\' UNION ALL SELECT '<o/' || o_orderkey || '>', '\"' || o_orderstatus || '\"' FROM orders")
 def match_triple_bnode(spark, d):
-    return patterns.match_triple_bnode(None, adapter.rdf(spark, d), "<label>", m.RDF_FIRST, "s", "o").select("s", "o")
+    """Labels in blank nodes: those of the triples, and one of each order."""
+    o = adapter.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus")
+    row = lambda s, p, v: o.select(s.alias("subject"), F.lit(p).alias("predicate"), v.alias("object"))
+    node = F.concat(F.lit("_:o"), "k")
+    triples = adapter.rdf(spark, d).select("subject", "predicate", "object").unionByName(row(F.concat(F.lit("<o/"), "k", F.lit(">")), "<label>", node)).unionByName(row(node, m.RDF_FIRST, F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))))
+    return patterns.match_triple_bnode(None, triples, "<label>", m.RDF_FIRST, "s", "o").select("s", "o")
 
 
 @query("subclass_of_target", b.with_model(b.ENTITIES, b.RDF, b.CLOSURE) + f"SELECT id AS this, type FROM entities WHERE NOT deleted AND type IN (SELECT replace(replace(subject, '<', ''), '>', '') FROM closure WHERE predicate = '{m.SUBCLASS}' AND object = '<Party>')")
@@ -295,9 +300,9 @@ def trust_level(spark, d):
     return aggregates.trust_level(results, bindings)
 
 
-@query("firmware_pick", "SELECT p_brand AS binding, p_type AS firmware, p_partkey FROM (SELECT *, bool_or(p_type = 'PROMO' AND p_partkey < 100) OVER (PARTITION BY p_brand) AS has, min(p_type) OVER (PARTITION BY p_brand) AS first_ FROM part WHERE p_partkey < 100) WHERE p_type = CASE WHEN has THEN 'PROMO' ELSE first_ END")
+@query("firmware_pick", "SELECT p_brand AS binding, p_type AS firmware, p_partkey FROM (SELECT *, bool_or(p_type = 'PROMO') OVER (PARTITION BY p_brand) AS has, min(p_type) OVER (PARTITION BY p_brand) AS first_ FROM part) WHERE p_type = CASE WHEN has THEN 'PROMO' ELSE first_ END")
 def firmware_pick(spark, d):
-    p = adapter.table(spark, d, "part").where("p_partkey < 100").select(F.col("p_brand").alias("binding"), F.col("p_type").alias("firmware"), "p_partkey")
+    p = adapter.table(spark, d, "part").select(F.col("p_brand").alias("binding"), F.col("p_type").alias("firmware"), "p_partkey")
     return aggregates.firmware_pick(p, "PROMO")
 
 
