@@ -154,12 +154,15 @@ def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
 def _reached(front: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
     e = cut(edges.select("a", "b").distinct())
     known = front = cut(front.distinct())
+    i = 0
     while True:
         step = front.join(e, front["node"] == e["a"]).select(*columns[:-1], F.col("b").alias("node")).distinct()
         front = cut(step.join(known, columns, "left_anti"))
         if front.isEmpty():
             return known
-        known = known.unionByName(front)
+        i += 1
+        # Written together now and then, so that the plan of a long search stays short.
+        known = known.unionByName(front) if i % 8 else cut(known.unionByName(front))
 
 
 def reachable_subgraph(starts: DataFrame, triples: DataFrame) -> DataFrame:

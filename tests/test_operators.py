@@ -128,3 +128,110 @@ def test_all_of_is_followed_to_its_end(spark):
     doc = '[{"$id":"A","allOf":[{"$ref":"B"},{"properties":{"i":{"type":"string"}},"required":["i","c"]}]},{"$id":"B","allOf":[{"$ref":"C"}]},{"$id":"C","properties":{"c":{"type":"string"}}}]'
     got = {(r.id, r.name, r.needed) for r in catalog.schema_properties(spark.createDataFrame([(doc,)], "doc string")).collect()}
     assert got == {("A", "i", True), ("A", "c", True), ("B", "c", False), ("C", "c", False)}
+
+
+def test_attributes_are_flattened_at_any_depth(spark):
+    """A chain of nested attributes, several instances, an object in place of an array, and an unknown kind with something in it."""
+    n = m.NGSI
+    item = lambda v, more="": '{"@type":["%s"],"%shasValue":[{"@value":"%s"}]%s}' % (m.PROPERTY, n, v, more)
+    deep = item("v6")
+    for i in range(5, 0, -1):
+        deep = item(f"v{i}", f',"urn:p{i + 1}":[{deep}]')
+    doc = '{"@id":"e","@type":["T"],"urn:p1":[%s],"urn:many":[%s,%s],"urn:one":%s,"urn:odd":[{"@type":["urn:Unknown"],"urn:in":[%s]}],"%screatedAt":[{"@value":"x"}]}' % (
+        deep, item("a"), item("b", f',"{n}datasetId":[{{"@id":"urn:d"}}],"urn:sub":[{item("s")}]'), item("o"), item("lost"), n,
+    )
+    rows = cdc.cdc_flatten(spark.createDataFrame([("e", doc), ("f", "{}"), ("g", None), ("h", "{broken")], "id string, entity string")).collect()
+    by = {r.attributeValue: r for r in rows}
+    assert set(by) == {f"v{i}" for i in range(1, 7)} | {"a", "b", "s", "o"}
+    for i in range(2, 7):
+        assert by[f"v{i}"].parentId == by[f"v{i - 1}"].id and by[f"v{i}"].name == f"urn:p{i}"
+    assert by["s"].parentId == by["b"].id and by["b"].datasetId == "urn:d" and by["a"].id == "e\\urn:many" and by["v1"].parentId is None
+    assert cdc.cdc_flatten(spark.createDataFrame([], "id string, entity string")).count() == 0
+
+
+def test_chains_have_no_limit(spark):
+    up = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(130)] + [("n130", "n125"), ("x", "x")], "a string, b string")
+    got = {(r.node, r.ancestor): r.depth for r in graph.depths(up).collect()}
+    assert got["n0", "n130"] == 130
+    assert got["n128", "n127"] == 5 and got["n7", "n7"] == 0 and got["x", "x"] == 0 and ("n5", "n4") not in got
+    start = spark.createDataFrame([("n96",), ("n120",)], "start string")
+    assert graph.reached(start, up).count() == 35
+    long = "<urn:a/" + "y" * 20_000
+    df = spark.createDataFrame([(long + ">",), (long + "/z>",)], "iri string")
+    assert [r.iri for r in df.where(graph.in_namespace(F.col("iri"), "urn:a/")).collect()] == [long + ">"]
+
+
+def test_current_state_stream_goes_on_after_a_restart(spark, tmp_path):
+    from plantstate.streaming import flows
+
+    def write(name, rows):
+        spark.createDataFrame(rows, "k string, ts int, o int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("k string, ts int, o int, v string").parquet(str(tmp_path / "in"))
+        got = flows.current_state_stream(stream, ["k"], str(tmp_path / "table"), "ts", "o", state=str(tmp_path / "state"))
+        return sorted((r.k, r.v) for r in got.collect())
+
+    write("1", [("a", 1, 1, "x"), ("b", 1, 1, "y")])
+    assert run() == [("a", "x"), ("b", "y")]
+    write("2", [("a", 2, 1, "z"), ("b", 0, 1, "old")])
+    assert run() == [("a", "z"), ("b", "y")]
+    assert run() == [("a", "z"), ("b", "y")]
+
+
+def suite(spark, constraints, entities, attributes, rdf=()):
+    """Events of all checks for hand-made rows: constraints (id, {..}), entities (id, type), attributes (entity, name, node type, value type, type, value, dataset)."""
+    c = spark.createDataFrame([(i, *(row.get(x) for x in m.CONSTRAINT_COLUMNS)) for i, row in constraints], m.CONSTRAINTS)
+    e = spark.createDataFrame([(i, t, False) for i, t in entities], "id string, type string, deleted boolean")
+    a = spark.createDataFrame(
+        [(f"{x}\\{name}\\{d}", None, x, name, node, vt, t, v, d, False) for x, name, node, vt, t, v, d in attributes],
+        "id string, parentId string, entityId string, name string, nodeType string, valueType string, type string, attributeValue string, datasetId string, deleted boolean",
+    )
+    r = spark.createDataFrame(list(rdf), "subject string, predicate string, object string")
+    props = checks.chk_all_prop(checks.check_base_prop(e, a, c, r))
+    return checks.chk_all_rel(checks.check_base_rel(e, a, c)).unionByName(props), c
+
+
+def test_suite_of_simple_constraints(spark):
+    """Class, count, node kind, enumeration, pattern, length and ranges. A link need only lead to an entity, of whatever type."""
+    text, number = m.XSD + "string", m.XSD + "double"
+    prop = lambda path, **more: {"targetClass": "Cutter", "propertyPath": path, "propertyNodetype": "@value", "attributeType": m.PROPERTY, "severity": "warning"} | more
+    constraints = [
+        (1, prop("temp", minInclusive="10", maxInclusive="50", minCount="1", maxCount="1")), (2, prop("code", pattern="^A", minLength="3", maxLength="5")), (3, prop("mode", ins='"ON","OFF"', severity="minor")),
+        (4, prop("state", propertyNodetype="@id", propertyClass="State", severity="critical")), (5, {"targetClass": "Cutter", "propertyPath": "filter", "propertyClass": "Filter", "attributeType": m.RELATIONSHIP, "minCount": "1", "maxCount": "1", "severity": "major"}),
+    ]
+    value = lambda x, name, v, vt=text, d="@none": (x, name, "@value", vt, m.PROPERTY, v, d)
+    iri = lambda x, name, v, t: (x, name, "@id", None, t, v, "@none")
+    good = [value("ok", "temp", "20", number), value("ok", "code", "Abcd"), value("ok", "mode", "ON"), iri("ok", "state", "s/on", m.PROPERTY), iri("ok", "filter", "f1", m.RELATIONSHIP)]
+    bad = [
+        value("bad", "temp", "60", number), value("bad", "temp", "5", number, "urn:d2"), value("bad", "code", "bx"), value("bad", "mode", "HALF"), iri("bad", "state", "s/none", m.PROPERTY), iri("bad", "filter", "ok", m.RELATIONSHIP),
+        value("kind", "temp", "20", number), value("kind", "state", "s/on"), iri("kind", "filter", "gone", m.RELATIONSHIP),
+    ]
+    got, _ = suite(spark, constraints, [("ok", "Cutter"), ("bad", "Cutter"), ("kind", "Cutter"), ("f1", "Filter")], good + bad, [("<s/on>", m.RDF_TYPE, "<State>")])
+    assert {(r.resource, r.event, r.severity) for r in got.collect()} == {
+        ("bad", "MaxInclusiveConstraintComponent(temp[0])", "warning"), ("bad", "MinInclusiveConstraintComponent(temp[urn:d2])", "warning"), ("bad", "CountConstraintComponent(temp)", "warning"),
+        ("bad", "PatternConstraintComponent(code[0])", "warning"), ("bad", "MinLengthConstraintComponent(code[0])", "warning"), ("bad", "InConstraintComponent(mode[0])", "minor"), ("bad", "DatatypeConstraintComponent(state[0])", "critical"),
+        ("kind", "NodeKindConstraintComponent(state[0])", "critical"), ("kind", "ClassConstraintComponent(filter[0])", "major"),
+    }
+
+
+def test_suite_of_alternatives(spark):
+    """An OR fires if all its members do, and says ok otherwise."""
+    text = m.XSD + "string"
+    prop = lambda **more: {"targetClass": "T", "propertyPath": "v", "propertyNodetype": "@value", "attributeType": m.PROPERTY, "severity": "warning"} | more
+    value = lambda x, v: (x, "v", "@value", text, m.PROPERTY, v, "@none")
+    got, c = suite(spark, [(1, prop(pattern="^A")), (2, prop(minLength="3")), (100, {"targetClass": "T", "severity": "critical"})], [("both", "T"), ("one", "T"), ("none", "T")], [value("both", "x"), value("one", "Ax"), value("none", "Abc")])
+    combos = spark.createDataFrame([(1, "OR", 100), (2, "OR", 100), (100, "PUBLISH", 100)], m.COMBINATIONS)
+    fired = checks.combine_or(got, combos, c)
+    assert {(r.resource, r.event, r.severity) for r in fired.collect()} == {("both", "OR Constraint id 100", "critical"), ("one", "OR Constraint id 100", "ok")}
+    alerts_ = checks.publish_alerts(got.unionByName(fired), combos).collect()
+    assert {(r.resource, r.severity) for r in alerts_} == {("both", "critical"), ("one", "ok")}
+
+
+def test_suite_of_value_types(spark):
+    """Numbers, truth values, JSON objects and lists, each right and wrong."""
+    of = lambda path, t, kind="@value", a=m.PROPERTY: {"targetClass": "T", "propertyPath": path, "propertyNodetype": kind, "attributeType": a, "datatypes": m.XSD + t if t else None, "severity": "warning"}
+    constraints = [(1, of("i", "integer")), (2, of("d", "double")), (3, of("b", "boolean")), (4, of("j", None, "@json", m.JSON_PROPERTY)), (5, of("l", None, "@list", m.LIST_PROPERTY))]
+    rows = lambda x, i, d, b, j, lst: [(x, "i", "@value", m.XSD + "integer", m.PROPERTY, i, "@none"), (x, "d", "@value", m.XSD + "double", m.PROPERTY, d, "@none"), (x, "b", "@value", m.XSD + "boolean", m.PROPERTY, b, "@none"), (x, "j", "@json", None, m.JSON_PROPERTY, j, "@none"), (x, "l", "@list", None, m.LIST_PROPERTY, lst, "@none")]
+    got, _ = suite(spark, constraints, [("ok", "T"), ("bad", "T")], rows("ok", "-7", "1.5", "true", '{"a":1}', "[1,2]") + rows("bad", "7.5", "x", "maybe", "[1]", '{"a":1}'))
+    assert {(r.resource, r.event) for r in got.collect()} == {("bad", f"DatatypeConstraintComponent({p}[0])") for p in "idbjl"}
