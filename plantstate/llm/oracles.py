@@ -133,4 +133,56 @@ SELECT doc_id, w.digest, k.name AS license, coalesce(n, 0)::BIGINT AS n_notices,
 FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN hits h ON w.r = h.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2, "op7_top_k": OP7, "op1_mix_sources": OP1, "op10_quality_rules": OP10}
+OP11 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM cut
+), ranked AS (
+  SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM ranked
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM parts
+"""
+
+OP12 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT r, i, hash(array_to_string(ws[i:i+34], ' ')) AS g, md5_number(array_to_string(ws[i:i+34], ' ')) AS m FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM words WHERE len(ws) >= 35)
+), twice AS (
+  SELECT r, i FROM windows SEMI JOIN (SELECT g, m FROM windows GROUP BY g, m HAVING count(*) > 1) USING (g, m)
+), gone AS (
+  SELECT r, list(i) AS places FROM (SELECT DISTINCT r, i + k AS i FROM twice, range(35) AS z(k)) GROUP BY r
+), kept AS (
+  SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+         CASE WHEN places IS NULL THEN ws WHEN len(places) = len(ws) THEN [] ELSE NULL END AS kept FROM words w LEFT JOIN gone USING (r)
+), rest AS (
+  SELECT r, list(w ORDER BY i) AS left_ FROM (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM words SEMI JOIN kept ON words.r = kept.r AND kept.kept IS NULL)
+  ANTI JOIN (SELECT r, unnest(places) AS i FROM gone) USING (r, i) GROUP BY r
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(coalesce(kept, left_), ' ')) AS kept_sha256 FROM kept LEFT JOIN rest USING (r)
+"""
+
+OP13 = """
+WITH rows AS (
+  SELECT row_number() OVER () AS uid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.uid AS anchor, a.id AS anchor_id, a.label = r.label AS same, r.id, r.uid, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.uid <> r.uid WHERE a.id % 100 = 0
+), good AS (
+  SELECT anchor, anchor_id, id, uid, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, uid) <= 5
+)
+SELECT g.anchor_id, g.id AS positive_id, (row_number() OVER (PARTITION BY g.anchor, g.uid ORDER BY s.score DESC, s.id, s.uid))::INTEGER AS rank,
+       s.id AS negative_id, g.score AS positive_score, s.score AS negative_score
+FROM good g JOIN scored s ON g.anchor = s.anchor AND NOT s.same AND 30 * g.score <= 100 * s.score AND 100 * s.score <= 90 * g.score
+QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2, "op7_top_k": OP7, "op1_mix_sources": OP1, "op10_quality_rules": OP10, "op11_fill_in_middle": OP11, "op12_without_repeats": OP12, "op13_hard_negatives": OP13}

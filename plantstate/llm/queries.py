@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantstate.llm import html, licenses, mixing, omh, pieces, pii, quality, secrets, topk, urls
+from plantstate.llm import fim, html, licenses, mixing, negatives, omh, pieces, pii, quality, repeats, secrets, topk, urls
 from plantstate.llm.oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +79,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fim.transformed(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
+    return t.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return r.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_main_text, op5_near_duplicates, op6_secret_scan, op7_top_k, op8_surrogates, op9_pieces, op10_quality_rules)
+    for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_main_text, op5_near_duplicates, op6_secret_scan, op7_top_k, op8_surrogates, op9_pieces, op10_quality_rules, op11_fill_in_middle, op12_without_repeats, op13_hard_negatives)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
