@@ -86,7 +86,7 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    r = repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return r.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

@@ -12,8 +12,9 @@ share a part: one seed of each such class is extended word by word, as the windo
 its surroundings, and windows that meet are repeats. Overlapping repeats of a text are
 merged, so that what is left are maximal spans.
 
-Classes and windows are counted before they are joined, never paired: rows grow with
-the text, not with the square of a group. Copies of a text meet as one text first.
+Anchors, classes and windows are counted before they are joined, never paired: rows grow
+with the text, not with the square of a group. Copies of a text meet as one text first,
+and only seeds whose anchor occurs again go on.
 """
 
 from __future__ import annotations
@@ -96,16 +97,16 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64) if values.dtype == _U else values, kind))
 
 
-def _node(text):
-    """128 bits of a text: x and y."""
-    return F.xxhash64(text).alias("x"), F.xxhash64(F.lit(5), text).alias("y")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, x and y (128 bits of the text), pick (of the id, to tell copies apart), s (the text)."""
+    d = numbered(docs)
+    d = d.select(d[at(docs, id_col)].cast("long").alias("key"), blank_if_null(d[at(docs, text_col)]).alias("s"))
+    return d.select("key", F.xxhash64("s").alias("x"), F.xxhash64(F.lit(5), "s").alias("y"), F.xxhash64("key").alias("pick"), "s")
 
 
-def profiles(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """key, x, y (of the text t), n_words, kept_sha256 (of all words), and arrays start, last, anchor, c1, c2 of its seeds."""
-    columns = [("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n_words", pa.int64()), ("all_sha256", pa.string())]
-    arrays = [("start", pa.int32()), ("last", pa.int32()), ("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]
-    schema = pa.schema([*columns, *((n, pa.list_(t)) for n, t in arrays)])
+def profiles(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """x, y, pick, n_words, digest (of all words), and arrays start, last, anchor, around of the seeds of each text."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("pick", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("start", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())), ("anchor", pa.list_(pa.int64())), ("around", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,101 +116,108 @@ def profiles(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFr
                 w = Words(part)
                 start, last, anchor = seeds(w, length, seed)
                 owner = w.owner[start]
-                whole = last - start + length
-                found = [(start - w.first[owner]).astype(np.int32), (last - w.first[owner]).astype(np.int32), anchor, w.run(start, whole, 0), w.run(start, whole, 1)]
-                plain = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in part]
+                found = [(start - w.first[owner]).astype(np.int32), (last - w.first[owner]).astype(np.int32), anchor, w.run(start, last - start + length, 0)]
+                digest = [hashlib.sha256(b" ".join(t.split())).digest() for t in part]
                 own = [batch.column(k).slice(i, j - i) for k in range(3)]
-                made = [*own, pa.array(w.count, pa.int64()), pa.array(plain, pa.string()), *(_lists(v, owner, j - i, t) for v, (_, t) in zip(found, arrays))]
+                made = [*own, pa.array(w.count, pa.int64()), pa.array(digest, pa.binary()), *(_lists(v, owner, j - i, f.type.value_type) for v, f in zip(found, list(schema)[5:]))]
                 yield pa.RecordBatch.from_arrays(made, schema=schema)
 
-    ddl = "key long, x long, y long, n_words long, all_sha256 string, start array<int>, last array<int>, anchor array<long>, c1 array<long>, c2 array<long>"
-    return texts.select("key", "x", "y", "t").mapInArrow(run, ddl)
+    ddl = "x long, y long, pick long, n_words long, digest binary, start array<int>, last array<int>, anchor array<long>, around array<long>"
+    return rows.select("x", "y", "pick", F.encode("s", "UTF-8")).mapInArrow(run, ddl)
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """w1, w2, x, y, start, copies: the windows of the seeds (array todo of start, last, copies) of each text t."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("start", pa.int32()), ("copies", pa.int64())])
+    """w1, w2, t, start, copies: the windows of the seeds (array todo of start, last, copies) of each text s."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("copies", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, todo = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            xs, ys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            t, texts, todo = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, j in _parts(texts):
                 w = Words(texts[i:j])
                 asked = np.array([(k, s["start"], s["last"], s["copies"]) for k in range(i, j) for s in todo[k]], np.int64).reshape(-1, 4)
                 sizes = asked[:, 2] - asked[:, 1] + 1
                 row = np.repeat(np.arange(len(asked)), sizes)
                 start = asked[row, 1] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                doc = asked[row, 0]
-                here = w.first[doc - i] + start
-                made = [w.run(here, length, 0).view(np.int64), w.run(here, length, 1).view(np.int64), xs[doc], ys[doc], start.astype(np.int32), asked[row, 3]]
+                here = w.first[asked[row, 0] - i] + start
+                made = [w.run(here, length, 0).view(np.int64), w.run(here, length, 1).view(np.int64), t[asked[row, 0]], start.astype(np.int32), asked[row, 3]]
                 for k in range(0, len(row), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(v[k : k + (1 << 16)], f.type) for v, f in zip(made, schema)], schema=schema)
 
-    return texts.select("x", "y", "t", "todo").mapInArrow(run, "w1 long, w2 long, x long, y long, start int, copies long")
+    return texts.select("t", F.encode("s", "UTF-8"), "todo").mapInArrow(run, "w1 long, w2 long, t long, start int, copies long")
 
 
 def _cleared(texts: DataFrame, length: int) -> DataFrame:
-    """x, y, n_removed, kept: a text t without the words under its windows (array spans of start, last)."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.int32()))])
+    """t, n_removed, digest, kept, spans: a text s without the words under its windows (array spans of start, last)."""
+    schema = pa.schema([("t", pa.int64()), ("n_removed", pa.int64()), ("digest", pa.binary()), ("kept", pa.string()), ("spans", pa.list_(pa.int32()))])
 
-    def one(text: str, spans: list[dict]) -> tuple[int, str, list[int]]:
-        words = text.encode("utf-8", "surrogatepass").split()
+    def one(t: int, text: bytes, spans: list[dict]) -> tuple:
+        words = text.split()
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, [s["start"] for s in spans], 1)
         np.add.at(edge, [s["last"] + length for s in spans], -1)
         gone = np.cumsum(edge[:-1]) > 0
         cut = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
         kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-        return int(gone.sum()), kept.decode("utf-8", "surrogatepass"), cut.tolist()
+        return t, int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace"), cut.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [one(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*done) if done else ((), (), ()), list(schema)[2:]))], schema=schema)
+            done = [one(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-    return texts.select("x", "y", "t", "spans").mapInArrow(run, "x long, y long, n_removed long, kept string, spans array<int>")
+    return texts.select("t", F.encode("s", "UTF-8"), "spans").mapInArrow(run, "t long, n_removed long, digest binary, kept string, spans array<int>")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """key, n_words, n_removed, kept, spans, kept_sha256: a row per document without its words under repeated windows.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = True) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256, kept, spans: a row per document without its words under repeated windows.
 
     spans are maximal (from, to, from, to, ...), by word, end exclusive. kept is null where all
-    words stay (kept_sha256 is that of all words joined by one space) and empty where none do.
-    A window is a repeat if its words also start anywhere else, in another row or in its own,
-    also overlapping; all occurrences go. Repeated rows, and other rows of a text, are copies of
-    it: all their words go if there are `length` or more. Null and empty texts and those shorter
-    than `length` lose nothing. Very long texts are whole, one at a time. An empty table gives no
-    rows. Windows count as equal by 128 bits."""
-    d = numbered(docs)
-    texts = d.select(d[at(docs, id_col)].cast("long").alias("key"), blank_if_null(d[at(docs, text_col)]).alias("s"))
-    texts = texts.select("key", *_node(F.col("s")), F.col("s"))
-    rows = stage(profiles(texts.withColumn("t", F.encode("s", "UTF-8")), length, seed), "profiles")
-
-    # One row per text, with its number of copies; the copies' rows are counted before the shuffle.
-    node = ["x", "y"]
-    copies = stage(rows.where(F.size("start") > 0).groupBy(*node).agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first(F.arrays_zip("start", "last", "anchor", "c1", "c2")).alias("seeds")), "texts")
-    found = copies.select(*node, "copies", F.explode("seeds").alias("s")).select(*node, "copies", "s.*")
-    kind = ["anchor", "c1", "c2"]
-    classes = stage(found.groupBy(*kind).agg(F.sum("copies").alias("copies"), F.min(F.struct(*node, "start", "last")).alias("at")), "classes")
-
-    # Seeds that share an anchor in other surroundings: one of each class is extended word by word.
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    open_ = stage(classes.join(shared, "anchor", "left_semi").select("at.*", "copies"), "open")
-    todo = open_.groupBy(*node).agg(F.collect_list(F.struct("start", "last", "copies")).alias("todo"))
-    asked = texts.join(todo.select(*node), node, "left_semi").select(*node, "s").dropDuplicates(node)
-    windows = stage(_windows(asked.join(todo, node).withColumn("t", F.encode("s", "UTF-8")), length), "windows")
-    met = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    partial = windows.where("copies = 1").join(met, ["w1", "w2"], "left_semi").select(*node, "start", F.col("start").alias("last"))
-
-    # Of texts with copies all words go; the others lose what their classes and windows share.
-    single = copies.where("copies = 1")
-    seeds_ = stage(single.select(*node, F.explode("seeds").alias("s")).select(*node, "s.*"), "seeds")
-    full = seeds_.join(classes.where("copies > 1").select(*kind), kind, "left_semi").select(*node, "start", "last")
-    spans = stage(full.unionByName(partial).groupBy(*node).agg(F.collect_list(F.struct("start", "last")).alias("spans")), "spans")
-    cleared = _cleared(texts.join(spans, node).select(*node, F.col("s").alias("t"), "spans"), length)
-    cleared = stage(cleared.withColumn("kept_sha256", F.sha2(F.encode("kept", "UTF-8"), 256)), "cleared")
-    emptied = copies.where("copies > 1").select(*node, F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.array(F.lit(0), F.col("n_words").cast("int")).alias("spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    changed = stage(cleared.unionByName(emptied), "changed")
-    out = rows.select("key", *node, "n_words", "all_sha256").join(changed, node, "left")
-    return out.select("key", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"))
+    words stay and empty where none do, or if with_text is false; kept_sha256 is that of the
+    kept words joined by one space in any case. A window is a repeat if its words also start
+    anywhere else, in another row or in its own, also overlapping; all occurrences go. Repeated
+    rows, and other rows of a text, are copies of it: all their words go if there are `length`
+    or more. Null and empty texts and those shorter than `length` lose nothing. Very long texts
+    are whole, one at a time. An empty table gives no rows. Surroundings and windows count as
+    equal by 128 bits (surroundings: 64 of the anchor and 64 of their own)."""
+    rows = _rows(docs, id_col, text_col)
+    seen = profiles(rows, length, seed)
+    # One row per text, with its number of copies; copies are counted before the shuffle.
+    one = seen.groupBy("x", "y").agg(F.count("*").alias("copies"), F.min("pick").alias("pick"), F.first(F.struct("n_words", "digest", "start", "last", "anchor", "around")).alias("p"))
+    texts = stage(one.select("x", "y", "pick", "copies", "p.*").withColumn("t", F.monotonically_increasing_id()), "texts")
+    found = texts.select("t", "copies", F.explode(F.arrays_zip("start", "last", "anchor", "around")).alias("s")).select("t", "copies", "s.*")
+
+    # Seeds whose anchor occurs again. Where all its surroundings are equal, each is a repeat in full.
+    anchors = found.groupBy("anchor").agg(F.sum("copies").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
+    anchors = stage(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchors")
+    again = stage(found.join(anchors, "anchor"), "again")
+    classes = stage(again.where("several").groupBy("anchor", "around").agg(F.sum("copies").alias("copies"), F.min(F.struct("t", "start", "last")).alias("at")), "classes")
+    shared = classes.where("copies > 1").select("anchor", "around")
+    single = again.where("copies = 1")
+    full = single.where("not several").select("t", "start", "last").unionByName(single.where("several").join(shared, ["anchor", "around"], "left_semi").select("t", "start", "last"))
+
+    # One seed of each class of the other anchors is extended word by word.
+    named = texts.select("t", "x", "y", "pick")
+    todo = classes.groupBy(F.col("at.t").alias("t")).agg(F.collect_list(F.struct("at.start", "at.last", "copies")).alias("todo")).join(named, "t")
+    source = rows.select("x", "y", "pick", "s")
+    windows = stage(_windows(source.join(stage(todo, "todo"), ["x", "y", "pick"]), length), "windows")
+    place = F.struct("t", "start")
+    met = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("copies").alias("copies")).where("copies > 1 or low <> high")
+    partial = windows.where("copies = 1").join(met.select("w1", "w2"), ["w1", "w2"], "left_semi").select("t", "start", F.col("start").alias("last"))
+
+    # Texts with copies lose all words, the others what lies under their windows.
+    spans = full.unionByName(partial).groupBy("t").agg(F.collect_list(F.struct("start", "last")).alias("spans")).join(named, "t")
+    cleared = _cleared(source.join(stage(spans, "spans"), ["x", "y", "pick"]), length).withColumnRenamed("digest", "left_")
+    nothing = F.lit(hashlib.sha256(b"").digest())
+    copied = (F.col("copies") > 1) & (F.size("start") > 0)
+    info = texts.join(cleared if with_text else cleared.drop("kept"), "t", "left").select(
+        "x", "y", "n_words",
+        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copied, nothing).otherwise(F.coalesce("left_", "digest")).alias("digest"),
+        F.when(copied, F.lit("")).otherwise(F.col("kept") if with_text else F.lit(None).cast("string")).alias("kept"),
+        F.when(copied, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.coalesce("spans", F.array().cast("array<int>"))).alias("spans"),
+    )
+    # Written, so that the join reads two plain exchanges and a text with many copies can be split.
+    out = rows.select("key", "x", "y").join(stage(info, "kept"), ["x", "y"])
+    return out.select("key", "n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256"), "kept", "spans")
