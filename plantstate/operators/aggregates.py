@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantstate.operators.segments import before
+
 
 def group_by_this(df: DataFrame, keys: Sequence[str] = ()):
     """Groups by the keys and always by this."""
@@ -30,10 +32,29 @@ def string_agg(df: DataFrame, keys: Sequence[str], col: str, order: str, sep: st
 def state_time(df: DataFrame, keys: Sequence[str], state: str, ts_ms: str, name: str = "state_ms") -> DataFrame:
     """Milliseconds in state 1: each point holds until the next one. Null if the state was never held.
 
-    Of points of one time the last by state counts; null states and times are left out."""
+    Of points of one time the last by state counts; null states and times are left out. A key's
+    points are spread over tasks by time, and sums are combined before the last shuffle."""
     points = df.where(F.col(state).isNotNull() & F.col(ts_ms).isNotNull()).groupBy(*keys, ts_ms).agg(F.max(state).alias("_state"))
-    nxt = F.lead(ts_ms).over(Window.partitionBy(*keys).orderBy(ts_ms))
-    return points.withColumn("_d", F.when(F.col("_state") == 1, nxt - F.col(ts_ms))).groupBy(*keys).agg(F.sum("_d").alias(name))
+    held = before(points, keys, [ts_ms], {"_s": "_state", "_t": ts_ms})
+    return held.groupBy(*keys).agg(F.sum(F.when(F.col("_s") == 1, F.col(ts_ms) - F.col("_t"))).alias(name))
+
+
+def state_segments(points: DataFrame, keys: Sequence[str], segment: str, state: str, ts_ms: str) -> DataFrame:
+    """What state_time() has to know of each segment of a key's time: its first and last point, and the time held inside.
+
+    points has one row per key and time; a segment is a range of times."""
+    within = Window.partitionBy(*keys, segment).orderBy(ts_ms)
+    inner = F.when(F.col(state) == 1, F.lead(ts_ms).over(within) - F.col(ts_ms))
+    point = F.struct(F.col(ts_ms).alias("ms"), F.col(state).alias("state"))
+    return points.withColumn("_in", inner).groupBy(*keys, segment).agg(F.min(point).alias("first"), F.max(point).alias("last"), F.sum("_in").alias("inner_ms"))
+
+
+def state_of_segments(segments: DataFrame, keys: Sequence[str], segment: str, name: str = "state_ms") -> DataFrame:
+    """state_time() from state_segments(): the time inside, and between a segment and the next."""
+    after = F.lead("first.ms").over(Window.partitionBy(*keys).orderBy(segment))
+    across = F.when(F.col("last.state") == 1, after - F.col("last.ms"))
+    both = F.when(across.isNull() & F.col("inner_ms").isNull(), F.lit(None)).otherwise(F.coalesce(across, F.lit(0)) + F.coalesce("inner_ms", F.lit(0)))
+    return segments.withColumn("_ms", both).groupBy(*keys).agg(F.sum("_ms").alias(name))
 
 
 def last_value_agg(df: DataFrame, keys: Sequence[str], window: str, ts: str = "ts", tie: str | None = None) -> DataFrame:

@@ -49,39 +49,62 @@ def cdc_entity(df: DataFrame, side: str) -> DataFrame:
     return df.where(F.col(side).isNotNull()).select(F.col(f"{side}.id").alias("id"), F.get(F.col(f"{side}.e_types"), F.lit(0)).alias("type"), F.col(f"{side}.entity").alias("entity"))
 
 
-def cdc_flatten(docs: DataFrame) -> DataFrame:
-    """Attribute rows of documents (id, entity JSON), at any depth: a written round per level of nesting.
+FIELDS = ("type", "nodeType", "valueType", "attributeValue", "datasetId", "unitCode", "observedAt")
+FLAT = ("parentId", "entityId", "name", *FIELDS)
 
-    A top attribute's id is entity\\name, of a further dataset the name's hash; a sub-attribute's
-    is entity\\hash of its whole path. Of instances with one id the last wins; unknown kinds go,
-    with what is in them. An instance is read twice: for its own fields, and for its sub-attributes."""
-    names = ("type", "nodeType", "valueType", "attributeValue", "datasetId", "unitCode", "observedAt")
-    columns = ["id", "parentId", "entityId", "name", *names]
-    front = docs.select(F.col("id").alias("entityId"), F.lit(None).cast("string").alias("parentId"), _attributes(F.col("entity")).alias("subs"))
+
+def _instance_rows(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, pos, FLAT and carried columns of every instance in documents (id, entity JSON, carried), several of an id included."""
+    front = docs.select(*carried, F.col("id").alias("entityId"), F.lit(None).cast("string").alias("parentId"), _attributes(F.col("entity")).alias("subs"))
     out = None
     while True:
-        found = front.select("entityId", "parentId", F.explode("subs").alias("e")).select("entityId", "parentId", F.col("e.key").alias("name"), F.posexplode(_instances(F.col("e.value"))).alias("pos", "text"))
+        found = front.select(*carried, "entityId", "parentId", F.explode("subs").alias("e")).select(*carried, "entityId", "parentId", F.col("e.key").alias("name"), F.posexplode(_instances(F.col("e.value"))).alias("pos", "text"))
         found = found.withColumn("s", F.from_json("text", ITEM))
-        found = found.select("entityId", "parentId", "name", "pos", *[c.alias(n) for n, c in _fields(F.col("s")).items()], _attributes(F.col("text")).alias("subs")).where(F.col("nodeType").isNotNull())
+        found = found.select(*carried, "entityId", "parentId", "name", "pos", *[c.alias(n) for n, c in _fields(F.col("s")).items()], _attributes(F.col("text")).alias("subs")).where(F.col("nodeType").isNotNull())
         top = F.when(F.col("datasetId") == "@none", F.col("name")).otherwise(hash_id(F.col("name"), F.col("datasetId")))
         below = hash_id(F.concat_ws("\\", "parentId", "name"), F.col("datasetId"))
         level = cut(found.withColumn("id", F.concat_ws("\\", "entityId", F.when(F.col("parentId").isNull(), top).otherwise(below))))
-        rows = level.select("pos", *columns)
+        rows = level.select("id", "pos", *FLAT, *carried)
         out = rows if out is None else out.unionByName(rows)
-        front = level.where(F.size("subs") > 0).select("entityId", F.col("id").alias("parentId"), "subs")
+        front = level.where(F.size("subs") > 0).select(*carried, "entityId", F.col("id").alias("parentId"), "subs")
         if front.isEmpty():
-            break
-    last = out.groupBy("id").agg(F.max(F.struct("pos", *[c for c in columns if c != "id"])).alias("l"))
-    return last.select("id", *[F.col(f"l.{c}").alias(c) for c in columns if c != "id"])
+            return out
+
+
+def cdc_flatten(docs: DataFrame) -> DataFrame:
+    """Attribute rows of documents (id, entity JSON), at any depth: a written round per level of nesting.
+
+    A top attribute's id is entity\\name, of a further dataset the name's hash; a sub-attribute's
+    is entity\\hash of its whole path. Of instances with one id the last wins; unknown kinds go,
+    with what is in them. An instance is read twice: for its own fields, and for its sub-attributes."""
+    last = _instance_rows(docs).groupBy("id").agg(F.max(F.struct("pos", *FLAT)).alias("l"))
+    return last.select("id", *[F.col(f"l.{c}").alias(c) for c in FLAT])
+
+
+def cdc_changes(df: DataFrame) -> DataFrame:
+    """cdc_diff() of change records (before, after): both images are flattened in one pass and compared in one grouping by id."""
+    image = lambda side: df.where(F.col(side).isNotNull()).select(F.lit(side).alias("side"), F.col(f"{side}.id").alias("id"), F.col(f"{side}.entity").alias("entity"))
+    rows = _instance_rows(image("before").unionByName(image("after")), ("side",))
+    last = lambda side: F.max(F.when(F.col("side") == side, F.struct("pos", *FLAT))).alias(side)
+    both = rows.groupBy("id").agg(last("before"), last("after"))
+    same = F.lit(True)
+    for c in COMPARED:
+        same = same & F.col(f"after.{c}").eqNullSafe(F.col(f"before.{c}"))
+    op = F.when(F.col("after").isNull(), "deleted").when(F.col("before").isNull(), "inserted").when(~same, "updated")
+    kept = [F.coalesce("after", "before")[c].alias(c) for c in ("entityId", "name", "parentId", "type", "datasetId")]
+    return both.withColumn("op", op).where(F.col("op").isNotNull()).select("id", "op", *kept, *[F.col(f"after.{c}").alias(c) for c in ("nodeType", "valueType", "attributeValue", "unitCode", "observedAt")])
+
+
+#: What an attribute is compared by.
+COMPARED = ("type", "nodeType", "valueType", "attributeValue", "datasetId", "unitCode")
 
 
 def cdc_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Attribute rows of the after image with op inserted or updated, and those that are gone with op deleted."""
-    compared = ("type", "nodeType", "valueType", "attributeValue", "datasetId", "unitCode")
-    b = before.select(F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in (*compared, "entityId", "name", "parentId")])
+    b = before.select(F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in (*COMPARED, "entityId", "name", "parentId")])
     j = after.join(b, after["id"] == b["b_id"], "full_outer")
     same = F.lit(True)
-    for c in compared:
+    for c in COMPARED:
         same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
     op = F.when(F.col("id").isNull(), "deleted").when(F.col("b_id").isNull(), "inserted").when(~same, "updated")
     keep = lambda c: F.when(F.col("id").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c)

@@ -51,10 +51,12 @@ def _base(entities: DataFrame, attributes: DataFrame, constraints: DataFrame, li
     return rows.drop("b_entity", "b_name", "b_id", "e_entity", "e_name", "e_parent", "e_id", *[f"{p}_{x}" for p in "be" for x in fields])
 
 
-def check_base_rel(entities: DataFrame, attributes: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Each entity and relationship constraint of its type, with the live attribute and the live entity that it points to (found)."""
+def check_base_rel(entities: DataFrame, attributes: DataFrame, constraints: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Each entity and relationship constraint of its type, with the live attribute and the live entity that it points to (found).
+
+    targets: the entities that may be pointed to, if others than those that are checked."""
     rows = _base(entities, attributes, constraints.where(F.col("attributeType") == m.RELATIONSHIP), live_only=True)
-    there = entities.where(~F.coalesce("deleted", F.lit(False))).select(F.col("id").alias("attributeValue"), F.col("type").alias("found"))
+    there = (entities if targets is None else targets).where(~F.coalesce("deleted", F.lit(False))).select(F.col("id").alias("attributeValue"), F.col("type").alias("found"))
     return rows.join(there, "attributeValue", "left")
 
 
@@ -137,10 +139,11 @@ def relationship_checks() -> dict[str, tuple[Column, Column, Column]]:
 def row_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]], names: Sequence[str] | None = None) -> DataFrame:
     """resource, event, constraint_id, triggered, severity, text for the violations of some checks, in one pass over base."""
     asked = [checks[n] for n in (names or checks)]
-    # Exploded with nulls that the filter drops: conditions and texts stay in generated code.
-    fired = F.explode(F.array(*[F.when(cond, F.struct(event.alias("event"), text.alias("text"))) for cond, event, text in asked])).alias("v")
-    rows = base.select(F.col("this").alias("resource"), "constraint_id", "severity", fired).where(F.col("v").isNotNull())
-    return rows.select("resource", "v.event", "constraint_id", F.lit(True).alias("triggered"), "severity", "v.text")
+    # The numbers of the checks that fire; events and texts are made of the rows that are left.
+    fired = base.withColumn("_fired", F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _, _) in enumerate(asked)]))).where(F.size("_fired") > 0)
+    rows = fired.withColumn("_n", F.explode("_fired"))
+    event, text = (F.coalesce(*[F.when(F.col("_n") == i, c[k]) for i, c in enumerate(asked)]) for k in (1, 2))
+    return rows.select(F.col("this").alias("resource"), event.alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
 
 
 def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:

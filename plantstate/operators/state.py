@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantstate.functions.terms import json_array_test, json_object_test
+from plantstate.operators.segments import before
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], ts: str = "ts", tie: str | None = None) -> DataFrame:
@@ -92,9 +93,8 @@ def retention_trim(df: DataFrame, now: Column, seconds: int, ts: str = "ts") ->
 
 def value_change_rows(df: DataFrame, key: str, value: str, ts: str, tie: str) -> DataFrame:
     """Rows whose value differs from the one before (null-safe); the first row of a key counts."""
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    d = df.withColumns({"_first": F.lag(F.lit(1)).over(order).isNull(), "_before": F.lag(value).over(order)})
-    return d.where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_first", "_before")
+    d = before(df, [key], [ts, tie], {"_v": value})
+    return d.where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_v"))).drop("_first", "_v")
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import hash_id
+from plantstate.operators.segments import before
 
 #: The first part of a metric's name and what it stands for.
 KINDS = {"Relationship": (m.RELATIONSHIP, "@id"), "Property": (m.PROPERTY, "@value"), "LiteralProperty": (m.PROPERTY, "@value"), "IriProperty": (m.PROPERTY, "@id"), "JsonProperty": (m.JSON_PROPERTY, "@json"), "ListProperty": (m.LIST_PROPERTY, "@list")}
@@ -32,10 +35,11 @@ def seq_valid(seq: Column, before: Column, birth: Column) -> Column:
     return F.when(birth, seq == 0).otherwise(before.isNotNull() & ((seq > before) | ((before == 255) & (seq == 0))))
 
 
-def seq_check(messages: DataFrame, key: str, seq: str, order: str, birth: Column) -> DataFrame:
-    """messages with valid. Advisory: no row is dropped."""
-    before = F.lag(seq).over(Window.partitionBy(key).orderBy(order))
-    return messages.withColumn("_before", before).withColumn("valid", F.coalesce(seq_valid(F.col(seq), F.col("_before"), birth), F.lit(False))).drop("_before")
+def seq_check(messages: DataFrame, key: str, seq: str, order: str | Sequence[str], birth: Column) -> DataFrame:
+    """messages with valid. Advisory: no row is dropped. order: a column or several, which tell all rows of a key apart."""
+    names = [order] if isinstance(order, str) else list(order)
+    d = before(messages.withColumn("_birth", birth), [key], names, {"_before": seq})
+    return d.withColumn("valid", F.coalesce(seq_valid(F.col(seq), F.col("_before"), F.col("_birth")), F.lit(False))).drop("_before", "_first", "_birth")
 
 
 def telemetry_to_attributes(valid: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 
-from plantstate.operators import aggregates, alerts, cdc, history, state, telemetry, updates
+from plantstate.operators import aggregates, alerts, cdc, checks, graph, history, telemetry, updates
 from plantstate.plans import base_sql as b
 from plantstate.plans.registry import query
 from plantstate.plans.state_queries import LATEST, STATE_SQL
 from plantstate.sources import adapter, logs
 from plantstate.sources.adapter import table
 from plantstate.streaming import flows
+from plantstate.streaming.views import AlertView
 
 S = b.STATE
 USER = "'urn:user:' || user_id"
@@ -113,7 +114,7 @@ def order_doc(price: Column, sync: Column) -> Column:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = adapter.spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     image = lambda price, sync: F.struct(F.concat(F.lit("urn:order:"), k.cast("string")).alias("id"), F.array(F.lit("Order")).alias("e_types"), order_doc(price, sync).alias("entity"))
     old, new = adapter.decimal_text("o_totalprice"), adapter.decimal_text(F.when(k % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
@@ -157,7 +158,7 @@ DIFF_SQL = f"""diff AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NUL
 
 @query("cdc_diff", f"WITH {DIFF_SQL} SELECT * FROM diff WHERE op IS NOT NULL")
 def cdc_diff(spark, d):
-    return cdc.cdc_diff(flat(spark, d, "before"), flat(spark, d, "after")).select("id", "op", "entityId", "attributeValue")
+    return cdc.cdc_changes(changes(spark, d)).select("id", "op", "entityId", "attributeValue")
 
 
 ENTITY_OPS = "SELECT 'urn:order:' || o_orderkey AS id, 'Order' AS type, CASE WHEN o_orderkey % 5 = 0 THEN 'created' WHEN o_orderkey % 7 = 0 THEN 'deleted' ELSE 'updated' END AS op FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0) AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 11 = 0)"
@@ -175,7 +176,7 @@ def cdc_loop_guard(spark, d):
 
 @query("cdc_route", f"WITH {DIFF_SQL} SELECT 'attribute' AS kind, id, op = 'deleted' AS deleted FROM diff WHERE op IS NOT NULL UNION ALL SELECT 'entity', id, op = 'deleted' FROM ({ENTITY_OPS}) WHERE op <> 'updated'")
 def cdc_route(spark, d):
-    diff = cdc.cdc_diff(flat(spark, d, "before"), flat(spark, d, "after"))
+    diff = cdc.cdc_changes(changes(spark, d))
     entities, attributes = cdc.cdc_route(diff, cdc.cdc_entity_diff(changes(spark, d)), F.current_timestamp())
     return attributes.select(F.lit("attribute").alias("kind"), "id", "deleted").unionByName(entities.select(F.lit("entity").alias("kind"), "id", "deleted"))
 
@@ -207,7 +208,7 @@ def normalized_to_concise(spark, d):
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    e = adapter.spread(table(spark, d, "events"))
     k = F.col("event_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("Property", "Relationship", "JsonProperty", "Other")]), (k % 4 + 1).cast("int"))
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
@@ -238,7 +239,7 @@ SEQ_SQL = "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN seq = 0 ELSE coales
 @query("seq_check", SEQ_SQL)
 def seq_check(spark, d):
     e = table(spark, d, "events").withColumn("seq", F.col("event_id") % 256)
-    return telemetry.seq_check(e, "user_id", "seq", "ts", F.col("event_id") % 97 == 0).select("event_id", "valid")
+    return telemetry.seq_check(e, "user_id", "seq", ["ts", "event_id"], F.col("event_id") % 97 == 0).select("event_id", "valid")
 
 
 # Updates and alerts
@@ -269,19 +270,22 @@ def update_normalize(spark, d):
 def raised(e: DataFrame) -> DataFrame:
     """Events as alerts of their users."""
     severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "signup", "flush").when(F.col("event_type") == "purchase", "ok").otherwise("warning")
-    return e.select(user().alias("resource"), severity.alias("severity"), "event_type", F.col("event_type").alias("text"), "ts", "event_id")
+    event = F.when(F.col("event_id") % 13 == 0, "heartbeat").otherwise("state")
+    return e.select(user().alias("resource"), event.alias("event"), F.when(F.col("event_id") % 11 != 0, severity).alias("severity"), "event_type", F.col("event_type").alias("text"), "ts", "event_id")
 
 
-_ALERT = f"alert AS (SELECT {USER} AS resource, CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'flush' WHEN 'purchase' THEN 'ok' ELSE 'warning' END AS severity, event_type AS text, ts, event_id FROM events)"
+_ALERT = f"alert AS (SELECT {USER} AS resource, event_id % 13 = 0 AS heartbeat, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'flush' WHEN 'purchase' THEN 'ok' ELSE 'warning' END END AS severity, event_type AS text, ts, event_id FROM events)"
+_CHANGED = "n = 1 OR text IS DISTINCT FROM before OR severity IS DISTINCT FROM before_s"
+_BEFORE = "row_number() OVER w AS n, lag(text) OVER w AS before, lag(severity) OVER w AS before_s"
 
 
-@query("alert_changes", f"WITH {_ALERT} SELECT resource, severity, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before")
+@query("alert_changes", f"WITH {_ALERT} SELECT resource, severity, text, event_id FROM (SELECT *, {_BEFORE} FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE {_CHANGED}")
 def alert_changes(spark, d):
     return alerts.alert_changes(raised(table(spark, d, "events")), ["resource"], "ts", "event_id").select("resource", "severity", "text", "event_id")
 
 
-SESSION_SQL = f"""WITH {_ALERT}, s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY resource ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY resource ORDER BY ts, event_id) AS before FROM alert WHERE severity <> 'flush'))
-SELECT resource, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, max_by(severity, (ts, event_id)) AS severity, max(event_id) FILTER (true) AS n_last FROM s GROUP BY resource, k"""
+SESSION_SQL = f"""WITH {_ALERT}, s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY resource ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY resource ORDER BY ts, event_id) AS before FROM alert WHERE NOT heartbeat))
+SELECT resource, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, arg_max_null(severity, (ts, event_id)) AS severity, max(event_id) FILTER (true) AS n_last FROM s GROUP BY resource, k"""
 
 
 @query("session_debounce", SESSION_SQL.replace(", max(event_id) FILTER (true) AS n_last", ""))
@@ -333,28 +337,40 @@ def stream_last_value(spark, d):
 
 @query("stream_session_debounce", f"SELECT resource, session_start, session_end, severity FROM ({SESSION_SQL}) WHERE session_end {_CLOSED}")
 def stream_session_debounce(spark, d):
-    s = flows.watermark_delay(raised(flows.event_stream(spark, d)), "0 seconds").select("resource", "severity", "text", "ts", "event_id")
+    s = flows.watermark_delay(raised(flows.event_stream(spark, d)), "0 seconds").select("resource", "event", "severity", "text", "ts", "event_id")
     return flows.run_available(alerts.session_debounce(s, ["resource"], "6 hours", "ts", "event_id").select("resource", "session_start", "session_end", "severity"), "session")
 
 
-@query("stream_alert_changes", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before")
+@query("stream_alert_changes", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, {_BEFORE} FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE {_CHANGED}")
 def stream_alert_changes(spark, d):
-    s = raised(flows.event_stream(spark, d)).select("resource", "text", "ts", "event_id")
-    return flows.run_available(flows.alert_changes_stream(s, "resource", "text", ["ts", "event_id"]), "changes").select("resource", "text", "event_id")
+    s = raised(flows.event_stream(spark, d)).select("resource", "severity", "text", "ts", "event_id")
+    return flows.run_available(flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"]), "changes").select("resource", "text", "event_id")
+
+
+def _points(stream: DataFrame) -> DataFrame:
+    return stream.select("user_id", "event_id", F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis("ts").alias("ms"))
 
 
 @query("state_time_stream", STATE_SQL)
 def state_time_stream(spark, d):
-    """The totals after the last batch that a user took part in."""
-    spark_stream = flows.event_stream(spark, d).select("user_id", F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    path = flows.folder(spark, "totals")
+    """Points come in batches that have nothing to do with their times."""
+    return flows.state_time_stream(_points(flows.event_stream(spark, d, mixed=True)), flows.folder(spark, "totals"), "user_id", "state", "ms")
+
+
+@query("state_time_ends", STATE_SQL)
+def state_time_ends(spark, d):
+    """Points in order of time, by the rule that only looks at the ends of what is known."""
+    return flows.state_time_stream(_points(flows.event_stream(spark, d)), flows.folder(spark, "totals"), "user_id", "state", "ms", compat=True)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/b{number}")
 
-    totals = flows.state_time_stream(spark_stream, "user_id", "state", "ms")
-    totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return state.latest_by_key(spark.read.option("recursiveFileLookup", "true").schema("user_id bigint, state_ms bigint, batch int").parquet(path), ["user_id"], "batch").select("user_id", "state_ms")
+@query("state_time_retract", STATE_SQL.replace("FROM events)", "FROM events WHERE event_id % 10 <> 3)"))
+def state_time_retract(spark, d):
+    """Every tenth point is taken back, in a batch of its own choice."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    both = e.withColumn("removed", F.lit(False)).unionByName(e.where("event_id % 10 = 3").withColumn("removed", F.lit(True)))
+    stream = flows.replayed(both, F.xxhash64("event_id", "removed"))
+    points = stream.select("user_id", F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis("ts").alias("ms"), "removed")
+    return flows.state_time_stream(points, flows.folder(spark, "totals"), "user_id", "state", "ms", "removed")
 
 
 @query("current_state_stream", S + f", {LATEST} SELECT id, attributeValue, ts FROM latest")
@@ -395,8 +411,41 @@ def idle_sources(spark, d):
         return _hours(flows.watermark_monotone(_stream_log(spark, d)).unionByName(idle), "idle")
 
 
-@query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, row_number() OVER w AS n, lag(text) OVER w AS before, lag(ts) OVER w AS since FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE n = 1 OR text <> before OR ts - since > INTERVAL 12 HOUR")
+@query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, {_BEFORE}, lag(ts) OVER w AS since FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE {_CHANGED} OR ts - since > INTERVAL 12 HOUR")
 def state_ttl(spark, d):
-    """State that is twelve hours old has expired."""
-    s = raised(flows.event_stream(spark, d)).select("resource", "text", "ts", "event_id")
-    return flows.run_available(flows.alert_changes_stream(s, "resource", "text", ["ts", "event_id"], ttl="12 hours"), "ttl").select("resource", "text", "event_id")
+    """State that is twelve hours old has expired, and its timer removes it."""
+    s = raised(flows.event_stream(spark, d)).select("resource", "severity", "text", "ts", "event_id")
+    return flows.run_available(flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"], ttl="12 hours"), "ttl").select("resource", "text", "event_id")
+
+
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Entities and attributes as changes in three batches. A third of the attributes and a fifth of the entities come first
+    in another state, a day before."""
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)) == 0
+    before = F.col("ts") - F.expr("INTERVAL 1 DAY")
+    e, a = adapter.entities(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), adapter.attributes(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    entity = lambda df, batch: df.select(batch.alias("batch"), F.struct("id", "type", "deleted", "ts").alias("entity"), F.lit(None).cast(f"struct<{m.ATTRIBUTES.replace(' ', ':').replace(',:', ',')}>").alias("attribute"))
+    attribute = lambda df, batch: df.select(batch.alias("batch"), F.lit(None).cast("struct<id:string,type:string,deleted:boolean,ts:timestamp>").alias("entity"), F.struct(*[c.split(" ")[0] for c in m.ATTRIBUTES.split(", ")]).alias("attribute"))
+    later = F.when(some("id", 15), 2).otherwise(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(3)))
+    return (
+        entity(e.where(some("id", 5)).withColumns({"deleted": ~F.col("deleted"), "ts": before}), F.lit(0))
+        .unionByName(entity(e, F.when(some("id", 5), 2).otherwise(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(3)))))
+        .unionByName(attribute(a.where(some("id", 3)).withColumns({"attributeValue": F.lit("1"), "ts": before}), F.lit(0)))
+        .unionByName(attribute(a, F.when(some("id", 3), F.greatest(F.lit(1), later)).otherwise(later)))
+    )
+
+
+@query("alerts_incremental", b.CHECKS + f", {b.TRIGGERS}, {b.COMBINED} {b.PUBLISHED}")
+def alerts_incremental(spark, d):
+    """The alerts after three batches of changes, each of which made only what it touched anew."""
+    classes = adapter.rdf(spark, d).where(F.col("predicate") == m.SUBCLASS)
+    shapes = graph.cut(checks.inherited(adapter.constraints(spark), graph.transitive_closure(classes)))
+    view = AlertView(spark, flows.folder(spark, "alerts"), lambda: shapes, adapter.combinations(spark), adapter.constraints(spark), graph.cut(adapter.rdf(spark, d)))
+    log = change_log(spark, d)
+
+    def each(batch: DataFrame, number: int) -> None:
+        one = lambda name: batch.where(F.col(name).isNotNull()).select(f"{name}.*")
+        view.apply(one("entity"), one("attribute"), number)
+
+    flows.run_batches(flows.replayed(log, F.col("batch"), 3), "alerts", each)
+    return view.alerts()

@@ -15,10 +15,20 @@ from plantstate import model as m
 START = "2020-01-01 00:00:00"
 
 
+#: A table of fewer splits than this (under a gigabyte) is dealt out, so that one file keeps all cores busy.
+FEW_SPLITS = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out if it has few splits. Larger tables are left as they are: they have splits enough, and a shuffle would cost."""
+    n = min(FEW_SPLITS, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def decimal_text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)").cast("string")
 
@@ -26,7 +36,8 @@ def decimal_text(c: str | Column) -> Column:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current entities. Customers with a negative balance are logically deleted."""
     start, live = F.lit(START).cast("timestamp"), F.lit(False)
-    one = lambda name, id_, type_, deleted=live, ts=start: table(spark, sf_dir, name).select(id_.alias("id"), type_.alias("type"), deleted.alias("deleted"), ts.alias("ts"))
+    wide = lambda name: spread(table(spark, sf_dir, name)) if name in ("orders", "customer", "part") else table(spark, sf_dir, name)
+    one = lambda name, id_, type_, deleted=live, ts=start: wide(name).select(id_.alias("id"), type_.alias("type"), deleted.alias("deleted"), ts.alias("ts"))
     urn = lambda kind, key: F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))
     parts = [
         one("orders", urn("order", "o_orderkey"), F.lit("Order"), ts=F.col("o_orderdate")),
@@ -57,19 +68,19 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     no, start = F.lit(False), F.lit(START).cast("timestamp")
     xsd = lambda t: m.XSD + t
     urn = lambda kind, key: F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))
-    orders = _attributes(table(spark, sf_dir, "orders"), "order", "o_orderkey", F.col("o_orderdate"), [
+    orders = _attributes(spread(table(spark, sf_dir, "orders")), "order", "o_orderkey", F.col("o_orderdate"), [
         ("totalPrice", "@value", xsd("double"), m.PROPERTY, decimal_text("o_totalprice"), no, None),
         ("currency", "@value", xsd("string"), m.PROPERTY, F.element_at(F.array(F.lit("EUR"), F.lit("USD"), F.lit("usd")), (F.col("o_orderkey") % 3 + 1).cast("int")), no, "totalPrice"),
         ("status", "@value", xsd("string"), m.PROPERTY, F.col("o_orderstatus"), no, None),
         ("priority", "@value", xsd("string"), m.PROPERTY, F.col("o_orderpriority"), F.col("o_orderkey") % 10 == 9, None),
         ("placedBy", "@id", None, m.RELATIONSHIP, urn("customer", "o_custkey"), no, None),
     ])
-    customers = _attributes(table(spark, sf_dir, "customer"), "customer", "c_custkey", start, [
+    customers = _attributes(spread(table(spark, sf_dir, "customer")), "customer", "c_custkey", start, [
         ("acctBal", "@value", xsd("double"), m.PROPERTY, decimal_text("c_acctbal"), no, None),
         ("segment", "@id", None, m.PROPERTY, F.concat(F.lit("seg/"), "c_mktsegment"), no, None),
         ("livesIn", "@id", None, m.RELATIONSHIP, urn("nation", "c_nationkey"), no, None),
     ])
-    parts = _attributes(table(spark, sf_dir, "part"), "part", "p_partkey", start, [
+    parts = _attributes(spread(table(spark, sf_dir, "part")), "part", "p_partkey", start, [
         ("size", "@value", xsd("integer"), m.PROPERTY, F.when(F.col("p_partkey") % 9 == 8, F.lit("big")).otherwise(F.col("p_size").cast("string")), no, None),
         ("brand", F.when(F.col("p_partkey") % 13 == 0, F.lit("@id")).otherwise(F.lit("@value")), xsd("string"), m.PROPERTY, F.col("p_brand"), no, None),
         ("meta", "@json", None, m.JSON_PROPERTY, F.when(F.col("p_partkey") % 7 == 0, F.lit("[1]")).otherwise(F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}"))), no, None),

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from plantstate.operators.cdc import cdc_flatten
 from plantstate.operators.history import attribute_history, entity_history
 from plantstate.operators.state import latest_by_key
+from plantstate.sources.buckets import read as read_upserted
+from plantstate.sources.buckets import upsert
+
+__all__ = ["cdc_table", "entity_documents", "json_log", "kafka_stream", "nodeset_references", "nodeset_rows", "read_upserted", "upsert", "upsert_log", "write_history"]
 
 
 def json_log(lines: DataFrame, schema: str, value: str = "value", ts: str = "timestamp") -> DataFrame:
@@ -44,32 +48,6 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str], ts: str = "ts", tie: str | None = None) -> None:
-    """Merge rows into a Parquet table, one row per key: a new version is written beside the old one.
-
-    Versions are numbered; readers take the last whole one, so a lost executor or driver leaves the old version in force."""
-    spark = df.sparkSession
-    version = current_version(spark, path)
-    old = spark.read.parquet(f"{path}/v{version}") if version else None
-    rows = df if old is None else old.unionByName(df, allowMissingColumns=True)
-    latest_by_key(rows, keys, ts, tie).write.mode("overwrite").parquet(f"{path}/v{version + 1}")
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    """The last version whose success marker is there; 0 for none. Uses the store's own file system."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return 0
-    found = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(found, default=0)
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{current_version(spark, path)}")
-
-
 def write_history(changes: DataFrame, path: str, entity: bool = False) -> None:
     """Merge history points into Parquet by day: of points with one key that of the later batch stays.
 

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plantstate.operators.graph import shared_folder
-from plantstate.sources.logs import current_version, read_upserted, upsert
+from plantstate.sources import buckets
+from plantstate.streaming.views import StateTimeView
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def replayed(table: DataFrame, order: Column, batches: int = 4, files: int = 1) -> DataFrame:
+    """A table as a stream of micro-batches: order (a number) is cut into ranges, and each range is a batch of so many files."""
+    spark = table.sparkSession
+    path = folder(spark, "replay")
+    d = table.withColumn("_o", order.cast("long"))
+    cuts = d.agg(F.percentile_approx("_o", [i / batches for i in range(1, batches)], 10000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = d if low is None else d.where(F.col("_o") > low)
+        part = part if high is None else part.where(F.col("_o") <= high)
+        # One after the other, as a stream takes files by their time.
+        part.drop("_o").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def event_stream(spark: SparkSession, sf_dir: str, batches: int = 4, mixed: bool = False) -> DataFrame:
+    """The events table as a stream of micro-batches, by time or (mixed) in an order that has nothing to do with it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return replayed(e, F.xxhash64("event_id") if mixed else F.unix_micros("ts"), batches)
 
 
 def watermark_monotone(stream: DataFrame, ts: str = "ts") -> DataFrame:
@@ -52,36 +68,47 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], N
 
 
 def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str, tie: str, state: str | None = None) -> DataFrame:
-    """Each batch is merged into the upserted table at path, whose current version is looked up there.
+    """Each batch is merged into the bucketed table at path: it writes the buckets of its keys.
 
     So a stream that starts again from its checkpoint (state) goes on from the table, and a
     batch that is run again changes nothing: the newest row of a key stays."""
     spark = stream.sparkSession
-    run_batches(stream, "merge", lambda batch, number: upsert(batch, path, keys, ts, tie), state)
-    return read_upserted(spark, path) if current_version(spark, path) else spark.createDataFrame([], stream.schema)
+    run_batches(stream, "merge", lambda batch, number: buckets.upsert(batch, path, keys, ts, tie), state)
+    return buckets.read(spark, path) if buckets.version(spark, path) else spark.createDataFrame([], stream.schema)
 
 
-def alert_changes_stream(stream: DataFrame, key: str, value: str, order: list[str], ttl: str | None = None) -> DataFrame:
-    """Rows whose value differs from the last one passed on, per key. State: that value, and the time of the key's last row.
+def alert_changes_stream(stream: DataFrame, key: str, values: str | Sequence[str], order: list[str], ttl: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Rows of which one of some values (for alerts: severity and text) differs from the last row's, per key; the first row passes.
 
-    ttl: state older than this, in event time of the first order column, has expired: the next
-    row of its key passes. A key's few bytes of state stay until then."""
+    State: the values, and the time of the key's last row. ttl: state that is older in event time
+    (the first order column) has expired: the next row of its key passes, and a timer removes the
+    state when the watermark (delay behind the newest row) has passed that time, even if the key
+    never comes again. A task holds the rows that one batch has of a key: bound batches by
+    maxFilesPerTrigger or maxOffsetsPerTrigger."""
+    names = [values] if isinstance(values, str) else list(values)
     columns = [f.name for f in stream.schema.fields]
-    age = None if ttl is None else pd.Timedelta(ttl)
+    age = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
+    timed = stream if age is None else stream.withWatermark(order[0], delay)
+    timed = timed.withColumn("_ms", F.lit(0).cast("long") if age is None else F.unix_millis(order[0]))
 
     def changed(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen, at = state.get if state.exists else (None, False, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, at = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         keep = []
-        for v, t in zip(rows[value], rows[order[0]]):
-            v = None if pd.isna(v) else v
-            old = age is not None and at is not None and pd.Timestamp(t) - pd.Timestamp(at) > age
-            keep.append(not seen or v != last or old)
-            last, seen, at = v, True, t
-        state.update((last, seen, pd.Timestamp(at).to_pydatetime()))
+        for ms, *now in zip(rows["_ms"], *[rows[n] for n in names]):
+            text = json.dumps([None if pd.isna(v) else str(v) for v in now])
+            keep.append(text != last or (age is not None and ms - at > age))
+            last, at = text, int(ms) if at is None else max(at, int(ms))
+        state.update((last, at))
+        if age is not None:
+            state.setTimeoutTimestamp(at + age)
         yield rows.loc[keep, columns]
 
-    return stream.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, seen boolean, at timestamp", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if age is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy(key).applyInPandasWithState(changed, stream.schema, "last string, at bigint", "append", timeout)
 
 
 @contextmanager
@@ -96,7 +123,26 @@ def idle_sources(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def state_time_stream(stream: DataFrame, key: str, state_col: str, ts_ms: str) -> DataFrame:
+def state_time_stream(stream: DataFrame, path: str, key: str, state_col: str, ts_ms: str, removed: str | None = None, compat: bool = False, state: str | None = None) -> DataFrame:
+    """key, state_ms after all that there is now: milliseconds in state 1, of points in any order.
+
+    removed: a column that says that a row takes back an earlier point. path holds the points and
+    the segments they make (see StateTimeView), and the totals. compat: points inside the known
+    span are ignored and nothing can be taken back (see state_time_ends). state: the checkpoint."""
+    spark = stream.sparkSession
+    gone = F.col(removed) if removed else F.lit(False)
+    view = StateTimeView(spark, path)
+    if compat:
+        totals = state_time_ends(stream, key, state_col, ts_ms)
+        put = lambda batch, number: buckets.upsert(batch.withColumn("batch", F.lit(number).cast("long")), f"{path}/totals", [key], "batch")
+        totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state or f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        return buckets.read(spark, f"{path}/totals").select(key, "state_ms")
+    points = stream.select(F.col(key).alias("key"), F.col(ts_ms).alias("ms"), F.col(state_col).alias("state"), gone.alias("removed"))
+    run_batches(points, "points", lambda batch, number: view.apply(batch, number) and None, state or f"{path}/state")
+    return view.totals().withColumnRenamed("key", key)
+
+
+def state_time_ends(stream: DataFrame, key: str, state_col: str, ts_ms: str) -> DataFrame:
     """key, state_ms after each batch: milliseconds in state 1, of points that extend the known span at either end.
 
     State: total, and state and time of the first and the last point. Points inside the
