@@ -195,7 +195,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(again.where("several").groupBy("anchor", "around").agg(F.sum("copies").alias("copies"), F.min(F.struct("t", "start", "last")).alias("at")), "classes")
     shared = classes.where("copies > 1").select("anchor", "around")
     single = again.where("copies = 1")
-    full = single.where("not several").select("t", "start", "last").unionByName(single.where("several").join(shared, ["anchor", "around"], "left_semi").select("t", "start", "last"))
+    # Each join is written by itself: its two exchanges are then read by nothing else, and a hot key's partition can be split.
+    alike = stage(single.where("several").join(shared, ["anchor", "around"], "left_semi").select("t", "start", "last"), "alike")
+    full = single.where("not several").select("t", "start", "last").unionByName(alike)
 
     # One seed of each class of the other anchors is extended word by word.
     named = texts.select("t", "x", "y", "pick")
@@ -204,7 +206,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = stage(_windows(source.join(stage(todo, "todo"), ["x", "y", "pick"]), length), "windows")
     place = F.struct("t", "start")
     met = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("copies").alias("copies")).where("copies > 1 or low <> high")
-    partial = windows.where("copies = 1").join(met.select("w1", "w2"), ["w1", "w2"], "left_semi").select("t", "start", F.col("start").alias("last"))
+    met = stage(met.select("w1", "w2"), "met")
+    partial = stage(windows.where("copies = 1").join(met, ["w1", "w2"], "left_semi").select("t", "start", F.col("start").alias("last")), "partial")
 
     # Texts with copies lose all words, the others what lies under their windows.
     spans = full.unionByName(partial).groupBy("t").agg(F.collect_list(F.struct("start", "last")).alias("spans")).join(named, "t")
