@@ -1,14 +1,20 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page is a list of tokens: its tags, each with the path of blocks that it stands in, and
-its text blocks. Tokens that occur equally often on every page of a host, as several of its
-pages hold them, form an equivalence class; the classes whose tags nest make the host's
-template. Text between its tags lies in slots. The template decides which slots go: those
-whose text is part of it, those that are mostly links, those outside the deepest tag that
-holds most of the host's free text, and those that a class, id or role word marks as
-boilerplate on several pages of the host. Such words alone decide on hosts with too few
-pages only. Elements that are boilerplate by name (nav, form, ...) always go; a page's
-article or main element, if it has one, is its main slot.
+its text blocks. Tokens that occur equally often on every page of a host form an equivalence
+class, by their occurrence vectors. A tag that comes once on a page now and then by chance
+has a vector of its own; so a class needs two members, or a tag that repeats on a page. As a
+token is a tag with its whole path, members nest in the same way on all pages; a class hangs
+below the class of the tag around it. Text between the tags of the classes lies in slots.
+
+The classes decide which slots go. Static: a text that has the vector of the tag right around
+it is part of the template, even in an article; one that comes with only some of its tag's
+occurrences is not. Records: a class of three tags or more that repeats together, below a tag
+of another class, is a list of comments, teasers or the like. Then slots that are mostly
+links, those outside the deepest tag that holds most of the host's free text, and those that a
+class, id or role word marks as boilerplate on several pages of the host. Such words alone
+decide on hosts with too few pages only. Elements that are boilerplate by name (nav, form,
+...) always go; a page's article or main element, if it has one, is its main slot.
 
 Counts by (host, token) are summed before the shuffle, with a hash of each (page, count)
 that adds up to a fingerprint of the occurrence vector: no task holds all pages of a host.
@@ -36,6 +42,8 @@ RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "title",
 DROPPED = frozenset(
     "head nav header footer aside form menu dialog button label input fieldset datalist select option optgroup canvas audio video map object svg annotation annotation-xml".split()
 )
+#: Kinds of tags: 1 for those that hold a text as such, 2 for the forms that a text takes, 0 for all others.
+KINDS = {n: 1 for n in "html body main article p".split()} | {n: 2 for n in "h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr th td caption figure figcaption blockquote pre details summary".split()}
 #: Elements in which tags can close themselves; a block that starts in one ends it.
 FOREIGN = ("svg", "math")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -99,9 +107,12 @@ def text_key(up: int, block: str) -> int:
 
 @dataclass(frozen=True)
 class Template:
-    """tags and texts of a host's pages, tags of link slots, the tag of the main slot (or None) and whether there were pages enough."""
+    """tags and texts of a host's classes, its static texts, tags of records and of link slots, the tag of the main slot
+    (or None) and whether there were pages enough."""
 
     tokens: frozenset[int] = frozenset()
+    static: frozenset[int] = frozenset()
+    records: frozenset[int] = frozenset()
     links: frozenset[int] = frozenset()
     main: int | None = None
     known: bool = False
@@ -113,7 +124,7 @@ NO_TEMPLATE = Template()
 class Frame:
     """An open element: what its blocks need to know of the elements around it, each looked up once."""
 
-    __slots__ = ("name", "block", "key", "depth", "marked", "nested", "article", "hard", "soft", "gone", "link", "inside", "linked", "chars", "link_chars")
+    __slots__ = ("name", "block", "key", "depth", "marked", "nested", "article", "hard", "soft", "gone", "link", "inside", "linked", "record", "chars", "link_chars")
 
     def __init__(self, up: Frame | None, name: str, node: str, template: Template):
         self.marked = is_marked(node)
@@ -128,7 +139,7 @@ class Frame:
         marked = self.marked and (not template.known or self.key in template.tokens)
         named = name in DROPPED
         if up is None:
-            self.article, self.hard, self.soft, self.gone, self.link, self.linked = 0, False, False, False, False, False
+            self.article, self.hard, self.soft, self.gone, self.link, self.linked, self.record = 0, False, False, False, False, False, False
             self.inside = template.main is None
             return
         # 0 outside, 1 in a main element, 2 in an article. What one stands in counts by hard and soft; gone starts anew in it.
@@ -139,6 +150,7 @@ class Frame:
         self.link = up.link or name == "a"
         self.inside = up.inside or self.key == template.main
         self.linked = up.linked or self.key in template.links
+        self.record = up.record or self.key in template.records
 
     @property
     def place(self) -> str:
@@ -153,9 +165,9 @@ WALLS = frozenset(("ul", "ol", "table", "article", "div", "section", "dl", "nav"
 
 
 class Walk:
-    """One pass over a page: (frame, text) of each block in page order by blocks(); every closed frame goes to closed()."""
+    """One pass over a page: (frame, text) of each block in page order by blocks(); every closed frame goes to closed(), with the one around it."""
 
-    def __init__(self, text: str, template: Template = NO_TEMPLATE, closed: Callable[[Frame], None] | None = None):
+    def __init__(self, text: str, template: Template = NO_TEMPLATE, closed: Callable[[Frame, Frame], None] | None = None):
         self.text, self.template, self.closed = text, template, closed
         self.stack = [Frame(None, "", "", template)]
         # Places in the stack by name, and of blocks and walls, so that deep pages need no search.
@@ -183,7 +195,7 @@ class Walk:
             self.stack[-1].chars += f.chars
             self.stack[-1].link_chars += f.link_chars
             if self.closed:
-                self.closed(f)
+                self.closed(f, self.stack[-1])
         if k <= self.foreign:
             self.foreign = 0
 
@@ -261,12 +273,12 @@ class Walk:
 
 
 def page_tokens(text: str) -> dict[int, list[int]]:
-    """token: times, free characters, link characters, depth and mark of a page's tags and text blocks."""
+    """token: times, free characters, link characters, depth (-1 for text), mark, token around it and kind of a page's tags and text blocks."""
     out: dict[int, list[int]] = {}
 
-    def closed(f: Frame) -> None:
+    def closed(f: Frame, up: Frame) -> None:
         if f.name in BLOCKS or f.marked:
-            x = out.setdefault(f.key, [0, 0, 0, f.depth, 0])
+            x = out.setdefault(f.key, [0, 0, 0, f.depth, 0, up.key, KINDS.get(f.name, 0)])
             x[0] += 1
             x[1] += f.chars
             x[2] += f.link_chars
@@ -280,13 +292,13 @@ def page_tokens(text: str) -> dict[int, list[int]]:
             frame.block.link_chars += len(block)
         else:
             frame.block.chars += len(block)
-        x = out.setdefault(text_key(frame.key, block), [0, 0, 0, -1, 0])
+        x = out.setdefault(text_key(frame.key, block), [0, 0, 0, -1, 0, frame.key, 0])
         x[0] += 1
     return out
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, page, token, n, chars, links, depth, marked: how often each token occurs on each page, and for tags
+    """host, page, token, n, chars, links, depth, marked, up, kind: how often each token occurs on each page, and for tags
     the characters of free and of link text in them. Only 64-bit hashes leave the task; copies of a page count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,34 +307,55 @@ def tokens(pages: DataFrame) -> DataFrame:
                 out = []
                 for host, page, text in zip(*(batch[c].iloc[i : i + 200] for c in ("host", "page", "html"))):
                     out += [(host, page, t, *x) for t, x in page_tokens(text).items()]
-                yield pd.DataFrame(out, columns=["host", "page", "token", "n", "chars", "links", "depth", "marked"])
+                yield pd.DataFrame(out, columns=["host", "page", "token", "n", "chars", "links", "depth", "marked", "up", "kind"])
 
-    found = pages.select("host", "page", "html").mapInPandas(run, "host string, page long, token long, n long, chars long, links long, depth long, marked long")
-    return found.groupBy("host", "page", "token").agg(*[F.max(c).alias(c) for c in ("n", "chars", "links", "depth", "marked")])
+    found = pages.select("host", "page", "html").mapInPandas(run, "host string, page long, token long, n long, chars long, links long, depth long, marked long, up long, kind long")
+    return found.groupBy("host", "page", "token").agg(*[F.max(c).alias(c) for c in ("n", "chars", "links", "depth", "marked", "up", "kind")])
 
 
-def templates(pages: DataFrame, least_pages: int = 2, least_share: float = 0.5, main_share: float = 0.6) -> DataFrame:
-    """host, tokens, links, main: the template of each host with at least least_pages different pages.
+def classes(pages: DataFrame, least_pages: int = 2, least_share: float = 0.5) -> DataFrame:
+    """host, token, support, vector, depth, chars, links, up, kind, times, size, tags, form: the members of the classes of each
+    host with at least least_pages different pages.
 
     A class is the set of tokens with one occurrence vector, whose fingerprint is a sum of
-    hashes of (page, count). It is kept if at least least_pages pages and least_share of the
-    host's pages hold it; tags with a mark need no share. So a host has at most 1 / least_share
-    times as many template tokens as its pages have on average (and marked tags), whatever the
-    number of its pages. links: kept tags most of whose text is links. main: the deepest kept
-    tag that holds main_share of the host's free text."""
+    hashes of (page, count), on at least least_pages pages and least_share of the host's; it has
+    two members, or one tag that repeats on a page. Tags with a mark need neither. size, tags:
+    its members, and those that are tags; times: the most often that it comes on a page; form:
+    whether one of its tags is a form that text takes (a heading, list, table or figure)."""
     vector = F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 40)))
-    seen = tokens(pages.where("host <> ''")).groupBy("host", "token").agg(F.count("*").alias("support"), vector.alias("vector"), *[F.sum(c).alias(c) for c in ("chars", "links")], *[F.max(c).alias(c) for c in ("depth", "marked")])
+    seen = tokens(pages.where("host <> ''")).groupBy("host", "token").agg(F.count("*").alias("support"), vector.alias("vector"), F.max("n").alias("times"), *[F.sum(c).alias(c) for c in ("chars", "links")], *[F.max(c).alias(c) for c in ("depth", "marked", "up", "kind")])
     size = pages.where("host <> ''").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     # Tokens of one page go before the join; what it keeps is written, so that a hot host's part of the join can be split.
     often = seen.where(F.col("support") >= least_pages).join(stage(size, "sizes"), "host").where((F.col("support") >= least_share * F.col("pages")) | (F.col("marked") > 0))
     often = stage(often.drop("pages"), "often")
+    by = ["host", "support", "vector"]
+    alike = often.groupBy(*by).agg(F.count("*").alias("size"), F.count(F.when(F.col("depth") >= 0, 1)).alias("tags"), F.max(F.col("kind") == 2).alias("form"))
+    whole = (F.col("size") > 1) | ((F.col("depth") >= 0) & (F.col("times") > 1)) | (F.col("marked") > 0)
+    return often.join(alike, by).where(whole)
+
+
+def templates(pages: DataFrame, least_pages: int = 2, least_share: float = 0.5, main_share: float = 0.6) -> DataFrame:
+    """host, tokens, static, records, links, main: the template of each host, from its classes().
+
+    static: texts of the class of the tag right around them, if that is not a form that text
+    takes. records: the outermost tags of classes of three tags or more that repeat on a page and
+    hold no headings, lists, tables or figures, below a tag of another class. links: tags most of
+    whose text is links. main: the deepest tag that holds main_share of the host's free text. A
+    host has at most 1 / least_share times as many tokens as its pages have on average (and
+    marked tags), whatever the number of its pages."""
+    member = stage(classes(pages, least_pages, least_share), "classes")
+    around = member.where("depth >= 0").select("host", F.col("token").alias("up"), F.struct("support", "vector").alias("around"), F.col("kind").alias("up_kind"))
+    m = member.join(around, ["host", "up"], "left")
+    same = F.coalesce(F.col("around") == F.struct("support", "vector"), F.lit(False))
+    static = (F.col("depth") < 0) & same & (F.col("up_kind") == 0)
+    record = (F.col("depth") >= 0) & (F.col("times") > 1) & (F.col("tags") >= 3) & ~F.col("form") & ~same & (F.col("up_kind") == 0)
     body = F.struct("chars", "links", "depth", "token")
-    classes = often.groupBy("host", "support", "vector").agg(F.sort_array(F.collect_list(F.col("token"))).alias("members"), F.collect_list(F.when(F.col("depth") >= 0, body)).alias("tags"))
-    host = classes.groupBy("host").agg(F.sort_array(F.collect_list("members")).alias("classes"), F.flatten(F.collect_list("tags")).alias("tags"))
-    links = F.transform(F.filter("tags", lambda x: x["links"] > x["chars"]), lambda x: x["token"])
-    whole = F.array_max(F.transform("tags", lambda x: x["chars"]))
-    main = F.array_max(F.transform(F.filter("tags", lambda x: (x["chars"] > 0) & (x["chars"] >= main_share * whole)), lambda x: F.struct(x["depth"].alias("depth"), x["chars"].alias("chars"), x["token"].alias("token"))))
-    return host.select("host", F.flatten("classes").alias("tokens"), links.alias("links"), main["token"].alias("main"))
+    of = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("token"))))
+    host = m.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("tokens"), of(static).alias("static"), of(record).alias("records"), F.collect_list(F.when(F.col("depth") >= 0, body)).alias("bodies"))
+    links = F.transform(F.filter("bodies", lambda x: x["links"] > x["chars"]), lambda x: x["token"])
+    whole = F.array_max(F.transform("bodies", lambda x: x["chars"]))
+    main = F.array_max(F.transform(F.filter("bodies", lambda x: (x["chars"] > 0) & (x["chars"] >= main_share * whole)), lambda x: F.struct(x["depth"].alias("depth"), x["chars"].alias("chars"), x["token"].alias("token"))))
+    return host.select("host", "tokens", "static", "records", links.alias("links"), main["token"].alias("main"))
 
 
 def main_text(text: str, template: Template = NO_TEMPLATE) -> str:
@@ -330,25 +363,31 @@ def main_text(text: str, template: Template = NO_TEMPLATE) -> str:
 
     Slots in an article or main element are the text; marks of the elements around it don't
     count, unless another article or main has no marks around it. A page without one has the
-    slots of the template's main tag, less link slots and text that is part of the template."""
-    in_main: list[str] = []
-    wrapped: list[str] = []
-    others: list[str] = []
-    outside: list[str] = []
+    slots of the template's main tag, less link slots and text that is part of the template.
+    Static texts and records of the template go, unless nothing else is left."""
+    in_main: list[tuple[str, bool]] = []
+    wrapped: list[tuple[str, bool]] = []
+    others: list[tuple[str, bool]] = []
+    outside: list[tuple[str, bool]] = []
     walk = Walk(text, template)
     for frame, block in walk.blocks():
         place = frame.place
+        if place == "dropped":
+            continue
+        key = text_key(frame.key, block) if template.known else 0
+        found = block, not (frame.record or key in template.static)
         if place == "main":
-            in_main.append(block)
+            in_main.append(found)
         elif place == "wrapped":
-            wrapped.append(block)
-        elif place == "other" and not (frame.linked and frame.nested) and not (frame.nested and text_key(frame.key, block) in template.tokens):
-            (others if frame.inside else outside).append(block)
+            wrapped.append(found)
+        elif not (frame.linked and frame.nested) and not (frame.nested and key in template.tokens):
+            (others if frame.inside else outside).append(found)
+    own = lambda blocks: [b for b, kept in blocks if kept] or [b for b, _ in blocks]
     has_main = walk.has_main
     if in_main or (has_main and not wrapped):
-        return "\n".join(in_main)
-    others = others or outside
-    return "\n".join(wrapped if has_main or sum(map(len, wrapped)) >= sum(map(len, others)) else others)
+        return "\n".join(own(in_main))
+    rest = own(others or outside)
+    return "\n".join(own(wrapped) if has_main or sum(len(b) for b, _ in wrapped) >= sum(map(len, rest)) else rest)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 2, least_share: float = 0.5) -> DataFrame:
@@ -362,7 +401,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     named = p.select("host", "html", F.xxhash64("html").alias("page"))
     # Written, so that Spark knows their size: pages stay where they are if the templates are few, else a hot host's partition can be split.
     known = stage(templates(named, least_pages, least_share).withColumnRenamed("host", "t_host"), "templates")
-    joined = p.join(known, p["host"] == known["t_host"], "left").select("key", "url", "html", "tokens", "links", "main")
+    joined = p.join(known, p["host"] == known["t_host"], "left").select("key", "url", "html", "tokens", "static", "records", "links", "main")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -370,13 +409,13 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for i in range(0, len(batch), 200):
                 part = batch.iloc[i : i + 200]
                 out = []
-                for text, found, links, main in zip(part["html"], part["tokens"], part["links"], part["main"]):
+                for text, found, static, records, links, main in zip(*(part[c] for c in ("html", "tokens", "static", "records", "links", "main"))):
                     if found is None:
                         out.append(main_text(text))
                         continue
                     mark = found.tobytes()
                     if mark not in made:
-                        made[mark] = Template(frozenset(found.tolist()), frozenset(links.tolist()), None if pd.isna(main) else int(main), True)
+                        made[mark] = Template(*(frozenset(x.tolist()) for x in (found, static, records, links)), None if pd.isna(main) else int(main), True)
                     out.append(main_text(text, made[mark]))
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "url": part["url"].to_numpy(), "text": out, "n_chars": list(map(len, out))})
 
