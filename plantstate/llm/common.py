@@ -31,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def row_id(*columns: Column) -> Column:
-    """128 bits of a row's values, as text: rows are told apart by them."""
-    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("."), F.hex(F.xxhash64(F.lit(7), *columns)))
+    """128 bits of a row's values, as text: rows are told apart by them. A null counts, and where it stands."""
+    parts = [p for c in columns for p in (c, c.isNull())]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("."), F.hex(F.xxhash64(F.lit(7), *parts)))
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plantstate.llm.license_digests import DIGESTS
 from plantstate.llm.licenses import KNOWN, SPELLINGS
-from plantstate.llm.quality import ENOUGH, FEATURES, REACH
+from plantstate.llm.quality import FEATURES, PRIOR, REACH
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -75,16 +75,16 @@ WITH words AS (
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, src, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, src, feature) AS total FROM merged
 ), quartiles AS (
-  SELECT level, lang, src, feature, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM ranked GROUP BY level, lang, src, feature
-), groups AS (
-  SELECT lang, src, feature, CASE WHEN total >= {ENOUGH} THEN 0 WHEN sum(total) OVER (PARTITION BY lang, feature) >= {ENOUGH} THEN 1 ELSE 2 END AS level
-  FROM (SELECT lang, src, feature, sum(n) AS total FROM sketch GROUP BY lang, src, feature)
+  SELECT level, lang, src, feature, max(total)::BIGINT AS n, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM ranked GROUP BY level, lang, src, feature
+), fences AS (
+  SELECT level, lang, src, feature, n, (CASE WHEN {_LOW} THEN greatest(q1 - {REACH} * greatest(q3 - q1, {_WIDE}), 0) ELSE 0 END)::BIGINT AS lo, (CASE WHEN {_HIGH} THEN q3 + {REACH} * greatest(q3 - q1, {_WIDE}) ELSE 1099511627776 END)::BIGINT AS hi FROM quartiles
+), langs AS (
+  SELECT l.lang, l.feature, (l.n * l.lo + {PRIOR} * a.lo) // (l.n + {PRIOR}) AS lo, (l.n * l.hi + {PRIOR} * a.hi) // (l.n + {PRIOR}) AS hi FROM fences l JOIN fences a ON l.level = 1 AND a.level = 2 AND l.feature = a.feature
 ), cuts AS (
-  SELECT g.lang, g.src, g.feature, q1 - {REACH} * greatest(q3 - q1, {_WIDE.replace('feature', 'g.feature', 1)}) AS lo, q3 + {REACH} * greatest(q3 - q1, {_WIDE.replace('feature', 'g.feature', 1)}) AS hi
-  FROM groups g JOIN quartiles q ON g.level = q.level AND g.feature = q.feature AND (g.level = 2 OR g.lang IS NOT DISTINCT FROM q.lang) AND (g.level > 0 OR g.src IS NOT DISTINCT FROM q.src)
+  SELECT g.lang, g.src, g.feature, (g.n * g.lo + {PRIOR} * l.lo) // (g.n + {PRIOR}) AS lo, (g.n * g.hi + {PRIOR} * l.hi) // (g.n + {PRIOR}) AS hi FROM fences g JOIN langs l ON g.level = 0 AND g.feature = l.feature AND g.lang IS NOT DISTINCT FROM l.lang
 ), failing AS (
   SELECT DISTINCT r FROM (SELECT p.r, p.feature, p.bucket, lo, hi FROM pairs p JOIN cuts c ON p.feature = c.feature AND p.lang IS NOT DISTINCT FROM c.lang AND p.src IS NOT DISTINCT FROM c.src)
-  WHERE ({_LOW} AND bucket < lo) OR ({_HIGH} AND bucket > hi)
+  WHERE bucket < lo OR bucket > hi
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failing.r IS NULL AS kept
 FROM judged LEFT JOIN failing ON judged.r = failing.r

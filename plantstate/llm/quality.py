@@ -2,8 +2,9 @@
 
 Each feature of a document falls into an integer bucket; a sketch is the count of documents
 by bucket, so that sketches of any parts of the data merge by adding counts. The
-sketch of a (language, source) sets the cuts; one of too few documents is merged with its
-language, then with everything. Only DataFrame functions are used.
+sketch of a (language, source) sets its cuts, drawn to those of its language by the weight of
+PRIOR documents, as these are to those of everything: a small group follows its language, a
+large one its own documents, and none changes all at once. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ FEATURES = (
     Feature("echoes", "n_echo_words", "n_words", 100, 10, False, True),
     Feature("shouting", "n_loud", "word_chars", 200, 10, False, True),
 )
-#: Spreads beyond the quartiles at which a document is cut; documents that a sketch needs to stand alone.
-REACH, ENOUGH = 3, 200
+#: Spreads beyond the quartiles at which a document is cut; documents that the wider group counts as.
+REACH, PRIOR = 3, 200
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -115,26 +116,31 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.where("n_words > 0").select("lang", "src", pairs.alias("p")).groupBy("lang", "src", "p.feature", "p.bucket").agg(F.count("*").alias("n"))
 
 
+def _fences(sketch: DataFrame, by: list[str], level: str) -> DataFrame:
+    """by, feature, and n, lo, hi of a level: its documents, and its own cuts. lo is 0 where nothing is too low, else one more
+    than the highest bucket that is."""
+    own = Window.partitionBy(*by, "feature")
+    ranked = sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(own.orderBy("bucket")), "total": F.sum("n").over(own)})
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
+    q = ranked.groupBy(*by, "feature").agg(F.max("total").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    wide, low, high = (F.create_map(*[F.lit(x) for f in FEATURES for x in (f.name, getattr(f, side))])[F.col("feature")] for side in ("wide", "low", "high"))
+    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), wide)
+    lo = F.when(low, F.greatest(F.col("q1") - reach, F.lit(0))).otherwise(F.lit(0))
+    hi = F.when(high, F.col("q3") + reach).otherwise(F.lit(1 << 40))
+    return q.select(*[F.col(b).alias(f"{level}_{b}") for b in by], F.col("feature").alias(f"{level}_feature"), F.col("n").alias(f"{level}_n"), lo.alias(f"{level}_lo"), hi.alias(f"{level}_hi"))
+
+
 def cuts(sketch: DataFrame) -> DataFrame:
-    """lang, src and an array cut of (feature, lo, hi), from quartiles of the narrowest sketch of enough documents."""
-    by = ("lang", "src", "feature")
-    wider = Window.partitionBy("lang", "feature")
-    group = sketch.groupBy(*by).agg(F.sum("n").alias("total"))
-    level = group.withColumns({"of_lang": F.sum("total").over(wider)}).withColumn("level", F.when(F.col("total") >= ENOUGH, 0).when(F.col("of_lang") >= ENOUGH, 1).otherwise(2))
-    merged = (
-        sketch.select(F.lit(0).alias("level"), "lang", "src", "feature", "bucket", "n")
-        .unionByName(sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("src"), "feature", "bucket", "n"))
-        .unionByName(sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("src"), "feature", "bucket", "n"))
-    )
-    own = Window.partitionBy("level", "lang", "src", "feature")
-    ranked = merged.withColumns({"upto": F.sum("n").over(own.orderBy("bucket")), "total": F.sum("n").over(own)})
-    quartiles = ranked.groupBy("level", "lang", "src", "feature").agg(F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
-    q = quartiles.select(F.col("level").alias("q_level"), F.col("lang").alias("q_lang"), F.col("src").alias("q_src"), F.col("feature").alias("q_feature"), "q1", "q3")
-    fits = (F.col("level") == F.col("q_level")) & (F.col("feature") == F.col("q_feature")) & ((F.col("level") == 2) | F.col("lang").eqNullSafe(F.col("q_lang"))) & ((F.col("level") > 0) | F.col("src").eqNullSafe(F.col("q_src")))
-    wide, low, high = (F.create_map(*[F.lit(x) for f in FEATURES for x in (f.name, getattr(f, side))]) for side in ("wide", "low", "high"))
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), wide[F.col("feature")])
-    return level.join(q, fits).groupBy("lang", "src").agg(
-        F.collect_list(F.struct("feature", F.when(low[F.col("feature")], F.col("q1") - reach).otherwise(F.lit(-1)).alias("lo"), F.when(high[F.col("feature")], F.col("q3") + reach).otherwise(F.lit(1 << 40)).alias("hi"))).alias("cut")
+    """lang, src and an array cut of (feature, lo, hi): buckets below lo or above hi are cut.
+
+    Each level is joined by its own keys: groups to their language, languages to everything."""
+    g, l, a = _fences(sketch, ["lang", "src"], "g"), _fences(sketch, ["lang"], "l"), _fences(sketch, [], "a")  # noqa: E741
+    langs = l.join(a, F.col("l_feature") == F.col("a_feature"))
+    drawn = lambda n, own, wider: F.expr(f"({n} * {own} + {PRIOR} * {wider}) div ({n} + {PRIOR})")
+    langs = langs.select("l_lang", "l_feature", drawn("l_n", "l_lo", "a_lo").alias("w_lo"), drawn("l_n", "l_hi", "a_hi").alias("w_hi"))
+    both = g.join(langs, (F.col("g_feature") == F.col("l_feature")) & F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    return both.groupBy(F.col("g_lang").alias("lang"), F.col("g_src").alias("src")).agg(
+        F.collect_list(F.struct(F.col("g_feature").alias("feature"), drawn("g_n", "g_lo", "w_lo").alias("lo"), drawn("g_n", "g_hi", "w_hi").alias("hi"))).alias("cut")
     )
 
 
