@@ -199,21 +199,26 @@ def entities(texts: DataFrame) -> DataFrame:
 def attempts(found: DataFrame, key: str, most: int = 200) -> DataFrame:
     """kind, normal, attempt for those entities whose first surrogate collides (attempt > 0).
 
-    A surrogate collides if an earlier entity (by order) has it too, or if it is an entity
-    of the corpus. Each round draws anew for those that collide; an entity keeps the
-    attempt at which it is alone. Only a kind whose forms are nearly all taken can need
-    more than `most` rounds; that is an error, never a shared surrogate."""
-    mine = stage(found.select("kind", "normal", F.lit(0).alias("attempt")), "entities")
-    known = mine.select(F.col("kind").alias("k_kind"), F.col("normal").alias("k_normal"))
+    A surrogate collides if another entity has it, or if it is an entity of the corpus, of
+    whatever kind: a given name's surrogate is no surname of anybody. Each round draws anew for
+    those that collide only, and checks them against all that are settled. Only a kind whose
+    forms are nearly all taken can need more than `most` rounds; that is an error, never a
+    shared surrogate."""
+    todo = stage(found.select("kind", "normal", F.lit(0).alias("attempt")), "entities")
+    known = todo.select(F.col("normal").alias("k_normal")).distinct()
+    settled = None
     for _ in range(most):
-        drawn = mine.withColumn("to", drawn_form(F.col("kind"), F.col("normal"), F.col("attempt"), key))
-        taken = drawn.join(known, (F.col("kind") == F.col("k_kind")) & (F.col("to") == F.col("k_normal")), "left").drop("k_kind")
-        place = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "normal"))
-        bad = taken.withColumn("bad", F.col("k_normal").isNotNull() | (place > 1))
-        now = stage(bad.select("kind", "normal", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
-        mine = now.drop("bad")
-        if now.where("bad").isEmpty():
-            return mine.where("attempt > 0").select("kind", "normal", "attempt")
+        drawn = todo.withColumn("to", drawn_form(F.col("kind"), F.col("normal"), F.col("attempt"), key))
+        taken = drawn.join(known, F.col("to") == F.col("k_normal"), "left").withColumn("bad", F.col("k_normal").isNotNull()).drop("k_normal")
+        if settled is not None:
+            taken = taken.join(settled.select(F.col("to").alias("s_to")), F.col("to") == F.col("s_to"), "left").withColumn("bad", F.col("bad") | F.col("s_to").isNotNull()).drop("s_to")
+        place = F.row_number().over(Window.partitionBy("to").orderBy("kind", "normal"))
+        now = stage(taken.withColumn("bad", F.col("bad") | (place > 1)), "drawn")
+        good = now.where("not bad").select("kind", "normal", "attempt", "to")
+        settled = good if settled is None else settled.unionByName(good)
+        todo = now.where("bad").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
+        if todo.isEmpty():
+            return settled.where("attempt > 0").select("kind", "normal", "attempt")
     raise ValueError(f"surrogates still collide after {most} rounds")
 
 
@@ -234,12 +239,20 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
         by_row = held.groupBy("row").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("again"))
         t = t.join(by_row, "row", "left").withColumn("again", F.coalesce("again", F.array().cast("array<struct<kind:string,normal:string,attempt:int>>")))
 
-    def one(x: Column) -> Column:
-        tried = F.coalesce(F.get(F.filter("again", lambda a: (a["kind"] == x["kind"]) & (a["normal"] == x["normal"])), F.lit(0))["attempt"], F.lit(0)) if collided else F.lit(0)
-        to = formatted(x["kind"], x["value"], drawn_form(x["kind"], x["normal"], tried, key))
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), to.alias("to"))
+    def drawn(e: Column) -> Column:
+        tried = F.coalesce(F.get(F.filter("again", lambda a: (a["kind"] == e["kind"]) & (a["normal"] == e["normal"])), F.lit(0))["attempt"], F.lit(0)) if collided else F.lit(0)
+        return F.struct(e["kind"].alias("kind"), e["normal"].alias("normal"), drawn_form(e["kind"], e["normal"], tried, key).alias("form"))
 
-    t = t.withColumn("hits", F.transform(hits(blank_if_null(F.col("t"))), one))
+    def placed_all(found: Column, forms: Column) -> Column:
+        def one(x: Column) -> Column:
+            form = F.get(F.filter(forms, lambda f: (f["kind"] == x["kind"]) & (f["normal"] == x["normal"])), F.lit(0))["form"]
+            return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), formatted(x["kind"], x["value"], form).alias("to"))
+
+        return F.transform(found, one)
+
+    # A surrogate is drawn once for each entity of a text, and then written for each mention.
+    own = lambda found: F.transform(F.array_distinct(F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["normal"].alias("normal")))), drawn)
+    t = t.withColumn("hits", let(hits(blank_if_null(F.col("t"))), lambda found: let(own(found), lambda forms: placed_all(found, forms))))
     text = F.when(F.size("hits") > 0, rewritten(F.col("t"), F.col("hits"))).otherwise(F.col("t"))
     shown = F.transform("hits", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["value"].alias("value"), x["to"].alias("surrogate")))
     return t.select("key", text.alias("text"), F.size("hits").cast("long").alias("n_entities"), shown.alias("found"))
