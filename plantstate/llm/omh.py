@@ -4,8 +4,9 @@ A document is its sequence of shingles of five words, each labelled with its occ
 number, so that a label is unique in its document. A sketch takes, for each of BANDS
 hash functions, the PICKED smallest labels and hashes them in text order: two documents
 share it if they share these labels in this order. Documents that share one are
-candidates. Similarity is aligned / (labels of either): aligned is the longest common
-subsequence of their labels inside the band of shifts that LEAST allows.
+candidates. They are verified by alignment: the longest common subsequence of their labels
+inside the band of shifts that LEAST allows. Similarity is the words that it covers, over
+the words of either: a changed word costs one word, not the five shingles it is in.
 
 Candidates are not expanded into pairs. First every document meets one leader of each
 of its buckets; links make components. A bucket whose other members still lie in
@@ -103,31 +104,50 @@ def sketch(label: np.ndarray) -> np.ndarray:
     return mixed((picked * _STEPS[:k][None, :]).sum(axis=1, dtype=_U) + np.arange(BANDS).astype(_U)).view(np.int64)
 
 
+def words(labels: int | np.ndarray) -> int | np.ndarray:
+    """Words of a text by its labels; one of less than SHINGLE words counts as SHINGLE."""
+    return labels + SHINGLE - 1
+
+
+def chain(j: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing subsequence."""
+    if (np.diff(j) > 0).all():
+        return np.arange(len(j))
+    tails: list[int] = []
+    at_: list[int] = []
+    before = np.full(len(j), -1)
+    for place, x in enumerate(j.tolist()):
+        k = bisect_left(tails, x)
+        before[place] = at_[k - 1] if k else -1
+        tails[k : k + 1], at_[k : k + 1] = [x], [place]
+    out = [at_[-1]]
+    while before[out[-1]] >= 0:
+        out.append(int(before[out[-1]]))
+    return np.array(out[::-1])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Similarity of two label sequences, or 0 where a bound shows that it is below least."""
-    n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
+    if not len(a) or not len(b):
+        return 0.0
+    n, m = words(len(a)), words(len(b))
+    common = least * (n + m) / (1 + least) - 1e-9
+    if min(n, m) < least * max(n, m):
         return 0.0
     _, i, j = np.intersect1d(a, b, return_indices=True)
-    if len(i) < least * (n + m - len(i)):
+    if SHINGLE * len(i) < common:
         return 0.0
     order = np.argsort(i)
     i, j = i[order], j[order]
-    # Labels that the best alignment leaves out on both sides bound the shift of any two aligned ones.
-    width = int((n + m) - 2 * least * (n + m) / (1 + least)) + 1
-    j = j[np.abs(i - j) <= width]
-    if len(j) and not (np.diff(j) > 0).all():
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        common = len(tails)
-    else:
-        common = len(j)
-    return common / (n + m - common)
+    # Words that the best alignment leaves out on both sides bound the shift of any two aligned ones.
+    near = np.abs(i - j) <= int(n + m - 2 * common) + 1
+    i, j = i[near], j[near]
+    if not len(j):
+        return 0.0
+    kept = chain(j)
+    i, j = i[kept], j[kept]
+    covered = SHINGLE + int(np.minimum(np.minimum(np.diff(i), np.diff(j)), SHINGLE).sum())
+    return covered / (n + m - covered)
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,7 +203,7 @@ def _compared(left: list, right: list | None, band: int, least: float) -> Iterat
     sizes = np.array([len(m[3]) for m in others])
     for i, (node, start, own, x) in enumerate(left):
         first = (sketches == own[None, :]).argmax(axis=1) == band
-        fits = first & (np.minimum(sizes, len(x)) >= least * np.maximum(sizes, len(x)))
+        fits = first & (np.minimum(words(sizes), words(len(x))) >= least * np.maximum(words(sizes), words(len(x))))
         for j in np.flatnonzero(fits).tolist():
             if right is None and j <= i:
                 continue

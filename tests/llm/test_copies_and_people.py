@@ -23,16 +23,24 @@ def shingles(text):
 
 
 def similarity(a, b):
+    """Words that the longest common subsequence of labelled shingles covers, over the words of either."""
     a, b = shingles(a), shingles(b)
     if not a or not b:
         return float(a == b)
     at = {x: i for i, x in enumerate(b)}
+    pairs = [(i, at[x]) for i, x in enumerate(a) if x in at]
+    if not pairs:
+        return 0.0
+    # The best chain up to each pair: its length, and the words it covers.
     best = []
-    for j in (at[x] for x in a if x in at):
-        best.append(1 + max([n for k, n in zip(order, best) if k < j], default=0)) if best else best.append(1)
-        order = (order + [j]) if len(best) > 1 else [j]  # noqa: F821
-    common = max(best, default=0)
-    return common / (len(a) + len(b) - common)
+    for n, (i, j) in enumerate(pairs):
+        if n and j > pairs[n - 1][1] and best[n - 1][0] == max(x[0] for x in best):
+            before = [n - 1]
+        else:
+            before = [k for k in range(n) if pairs[k][1] < j]
+        best.append(max(((best[k][0] + 1, best[k][1] + min(5, i - pairs[k][0], j - pairs[k][1])) for k in before), default=(1, 5)))
+    common = max(best)[1]
+    return common / (len(a) + len(b) + 8 - common)
 
 
 def texts():
@@ -109,7 +117,7 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     t = []
     for g in range(4):
         own = list(base)
-        for k in rng.sample(range(120), 8):
+        for k in rng.sample(range(120), 14):
             own[k] = f"g{g}x{k}"
         for c in range(6):
             copy = list(own)
@@ -120,6 +128,20 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(t))] == brute(t)
 
 
+def test_copies_with_every_twentieth_word_changed_are_found(spark):
+    rng = random.Random(12)
+    common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for i in range(300):
+        base = [rng.choice(common) for _ in range(rng.randint(60, 400))]
+        start = rng.randrange(20)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join("zz" + w if k % 20 == start else w for k, w in enumerate(base)))]
+    df = spark.createDataFrame([(i, x, "en", "r") for i, x in rows], SCHEMA)
+    got = {r.key: r.class_id for r in omh.classes(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 0.9 * 300
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(150)] + [(900, i) for i in range(901, 1000)] + [(5, 5)]
@@ -234,3 +256,23 @@ def test_collisions_are_drawn_again(spark):
     got = pii.replaced(df, "k").collect()
     made = [r.found[0].surrogate for r in got]
     assert len(set(made)) == len(mails) and not set(made) & set(mails)
+
+
+def test_no_surrogate_is_an_entity_of_another_kind(spark):
+    first = pii.replaced(spark.createDataFrame([(0, "Mrs. Anna Nowak and Peter Falk met.", "en", "r")], SCHEMA), "k").first()
+    given = next(f.surrogate for f in first.found if f.kind == "given_f")
+    df = spark.createDataFrame([(0, "Mrs. Anna Nowak and Peter Falk met.", "en", "r"), (1, f"Mr. {given} called.", "en", "r"), (2, f"Mrs. {given} Nowak", "en", "r")], SCHEMA)
+    got = pii.replaced(df, "k").collect()
+    entities = {f.value.lower() for r in got for f in r.found}
+    made = {}
+    for r in got:
+        for f in r.found:
+            assert made.setdefault((f.kind, f.value), f.surrogate) == f.surrogate and f.surrogate.lower() not in entities
+    assert len(set(made.values())) == len(made)
+
+
+def test_many_mentions_of_few_persons(spark):
+    long = "Mr. Ab " + "Ab " * 50_000
+    started = time.time()
+    got = pii.replaced(spark.createDataFrame([(0, long, "en", "r")], SCHEMA), "k").first()
+    assert got.n_entities == 50_001 and time.time() - started < 60
