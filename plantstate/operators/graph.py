@@ -85,64 +85,40 @@ def is_subclass(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(c.distinct(), ["sub", "super"], "left_semi")
 
 
-def depths(edges: DataFrame) -> DataFrame:
-    """node, ancestor, depth: the shortest way up edges (a below b), with the node itself at 0.
-
-    The ways known double each round: one of up to 2 n steps has a node n steps up, and the
-    rest of it is known. So chains may have any length, and cycles end."""
-    e = edges.select(F.col("a").alias("node"), F.col("b").alias("ancestor")).distinct()
-    known = cut(e.where("node <> ancestor").withColumn("depth", F.lit(1)))
+def depths(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """node, ancestor, depth: the shortest way up edges (a below b) from each start (node; none given: from all), itself at 0.
+
+    The ways from the starts double each round: what is within n steps, and what is up to n
+    steps further, by the table of what lies n steps above each node. So only pairs of starts
+    and their ancestors are built. Chains may have any length, and cycles end. Starts that the
+    edges don't have go."""
+    e = edges.select("a", "b").distinct()
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    jump = cut(e.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("up")))
+    begin = nodes if starts is None else nodes.join(starts.select("node"), "node", "left_semi")
+    known = cut(begin.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
     reach = 1
     while True:
-        far = known.where(F.col("depth") == reach)
-        rest = known.select(F.col("node").alias("x"), F.col("ancestor").alias("up"), F.col("depth").alias("more"))
-        step = far.join(rest, far["ancestor"] == rest["x"]).where("node <> up").groupBy("node", F.col("up").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        step = known.join(jump, known["ancestor"] == jump["x"]).groupBy("node", F.col("up").alias("ancestor")).agg((F.min("depth") + reach).alias("depth"))
         new = cut(step.join(known, ["node", "ancestor"], "left_anti"))
         if new.isEmpty():
-            break
+            return known
         known = known.unionByName(new)
+        jump = cut(jump.join(jump.select(F.col("x").alias("up"), F.col("up").alias("next")), "up").select("x", F.col("next").alias("up")).distinct())
         reach *= 2
-    nodes = e.select("node").union(e.select("ancestor")).distinct()
-    return known.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
 
 
 def subclass_edges(triples: DataFrame, predicate: str = m.SUBCLASS) -> DataFrame:
     return triples.where((F.col("predicate") == predicate) & (F.col("subject") != F.col("object"))).select(F.col("subject").alias("a"), F.col("object").alias("b"))
 
 
-def supertype_chain(types: DataFrame, triples: DataFrame) -> DataFrame:
-    """type, ancestor, depth for the types asked for, by depth (0 is the type)."""
-    return depths(subclass_edges(triples)).join(types.select(F.col("type").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "type")
-
-
-def common_supertype(pairs: DataFrame, triples: DataFrame) -> DataFrame:
-    """x, y, super, steps: the common ancestor with the smallest sum of depths; of equals the first by name."""
-    d = depths(subclass_edges(triples))
-    up = lambda side: d.select(F.col("node").alias(side), F.col("ancestor").alias("super"), F.col("depth").alias(f"d_{side}"))
-    both = pairs.select("x", "y").distinct().join(up("x"), "x").join(up("y"), ["y", "super"])
-    best = both.groupBy("x", "y").agg(F.min(F.struct((F.col("d_x") + F.col("d_y")).alias("steps"), "super")).alias("b"))
-    return best.select("x", "y", "b.super", "b.steps")
-
-
 def in_namespace(iris: Column, prefix: str) -> Column:
     """IRIs directly below a prefix: no further / or #."""
     return iris.startswith("<" + prefix) & ~F.substr(iris, F.lit(len(prefix) + 2)).rlike("[/#]")
 
 
-def types_in_namespace(triples: DataFrame, base: str, prefix: str) -> DataFrame:
-    d = depths(subclass_edges(triples))
-    return d.where((F.col("ancestor") == base) & in_namespace(F.col("node"), prefix)).select(F.col("node").alias("iri")).distinct()
-
-
-def objects_in_namespace(triples: DataFrame, base: str, prefix: str) -> DataFrame:
-    """Individuals of base or a subclass of it whose IRI is directly below the prefix."""
-    d = depths(subclass_edges(triples)).where(F.col("ancestor") == base).select(F.col("node").alias("object"))
-    classes = d.unionByName(d.sparkSession.createDataFrame([(base,)], "object string")).distinct()
-    return triples.where(F.col("predicate") == m.RDF_TYPE).join(classes, "object", "left_semi").where(in_namespace(F.col("subject"), prefix)).select(F.col("subject").alias("iri")).distinct()
-
-
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """start, node: all nodes that edges (a, b) reach from each start, the start included. A round per step, however many."""
+    """start, node: all nodes that edges (a, b) reach from each start, the start included. Trees and chains are contracted first; then a round per step, however many."""
     return _reached(starts.select(F.col("start"), F.col("start").alias("node")), edges, ["start", "node"])
 
 
@@ -151,18 +127,56 @@ def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return _reached(starts.select(F.col("start").alias("node")), edges, ["node"])
 
 
+def _contracted(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, node to head): a node that is no start and has one edge into it is reached just when the other end is.
+
+    So it is one with that end, and with what that end is one with: whole trees and chains become
+    their heads, by ways that double each round. Joined nodes share their edges, so more may have
+    one edge into them: this goes on as long as it halves the edges. Edges inside a head go, and
+    cycles that nothing enters."""
+    edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    heads, n = None, edges.count()
+    while n:
+        into = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"), F.count("*").alias("n")).where("n = 1")
+        way = cut(into.join(starts, "node", "left_anti").select("node", "to"))
+        most, steps = way.count(), 1
+        while steps <= most:
+            on = way.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            far = cut(way.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("on")))
+            way, steps = far.select("node", "to"), 2 * steps
+            if far.where("on").isEmpty():
+                break
+        # Ways that still lead on go round in a cycle that no start reaches.
+        ends = cut(way.join(way.select(F.col("node").alias("to")), "to", "left_anti").select("node", F.col("to").alias("head")))
+        if heads is None:
+            heads = ends
+        else:
+            moved = heads.withColumnRenamed("head", "mid").join(ends.withColumnRenamed("node", "mid"), "mid", "left")
+            heads = cut(moved.select("node", F.coalesce("head", "mid").alias("head")).unionByName(ends))
+        at = edges.join(ends.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("head", "a").alias("a"), "b")
+        at = at.join(ends.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("head", "b").alias("b"))
+        edges = cut(at.where("a <> b").distinct())
+        before, n = n, edges.count()
+        if 2 * n > before:
+            break
+    return edges, heads
+
+
 def _reached(front: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
-    e = cut(edges.select("a", "b").distinct())
     known = front = cut(front.distinct())
+    e, heads = _contracted(edges, front.select("node").distinct())
     i = 0
     while True:
         step = front.join(e, front["node"] == e["a"]).select(*columns[:-1], F.col("b").alias("node")).distinct()
         front = cut(step.join(known, columns, "left_anti"))
         if front.isEmpty():
-            return known
+            break
         i += 1
         # Written together now and then, so that the plan of a long search stays short.
         known = known.unionByName(front) if i % 8 else cut(known.unionByName(front))
+    if heads is None:
+        return known
+    return known.unionByName(known.join(heads.select("head", F.col("node").alias("under")), F.col("node") == F.col("head")).select(*columns[:-1], F.col("under").alias("node")))
 
 
 def reachable_subgraph(starts: DataFrame, triples: DataFrame) -> DataFrame:
@@ -178,13 +192,6 @@ def subcomponent_closure(roots: DataFrame, attributes: DataFrame, names: list[st
     return found.select(F.col("start").alias("root"), F.col("node").alias("id"))
 
 
-def sub_references(edges: DataFrame, triples: DataFrame, predicate: str) -> DataFrame:
-    """Those triples whose predicate is the given one or a sub-property of it."""
-    d = depths(subclass_edges(triples, m.SUBPROPERTY)).where(F.col("ancestor") == predicate).select(F.col("node").alias("predicate"))
-    which = d.unionByName(d.sparkSession.createDataFrame([(predicate,)], "predicate string")).distinct()
-    return edges.join(which, "predicate", "left_semi")
-
-
 def rdf_list_to_array(triples: DataFrame, heads: DataFrame) -> DataFrame:
     """head, items: the list that starts at each head, in order; the end and missing heads give an empty list.
 

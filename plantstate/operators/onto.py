@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import map_datatype
-from plantstate.operators import graph
+from plantstate.operators import classtree, graph
 
 IGNORED = ("HasSubtype", "HasTypeDefinition")
 TYPE_KINDS = ("UAObjectType", "UAVariableType", "UADataType", "UAReferenceType")
@@ -98,7 +98,7 @@ def type_contracts(types: DataFrame, members: DataFrame, triples: DataFrame) ->
 
     members: owner, path, target, kind, datatype, rank, optional, placeholder, known. The most
     special definition of a path wins; members without a modelling rule are skipped."""
-    chain = graph.supertype_chain(types, triples)
+    chain = classtree.supertype_chain(types, triples)
     rows = chain.join(members.where("known"), chain["ancestor"] == members["owner"])
     first = Window.partitionBy("type", "path").orderBy("depth", "owner", "target")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -110,16 +110,6 @@ def type_contracts(types: DataFrame, members: DataFrame, triples: DataFrame) ->
     )
 
 
-def contract_consistency(contracts: DataFrame, closure: DataFrame) -> DataFrame:
-    """x, y, path: classes of one type's path of which neither is a subclass of the other. contracts: type, path, cls."""
-    a, b = contracts.select("type", "path", F.col("cls").alias("x")), contracts.select("type", "path", F.col("cls").alias("y"))
-    pairs = a.join(b, ["type", "path"]).where("x < y")
-    c = closure.where(F.col("predicate") == m.SUBCLASS)
-    up = c.select(F.col("subject").alias("x"), F.col("object").alias("y"))
-    down = c.select(F.col("object").alias("x"), F.col("subject").alias("y"))
-    return pairs.join(up.unionByName(down).distinct(), ["x", "y"], "left_anti").select("type", "path", "x", "y").distinct()
-
-
 def instances_to_attributes(root: DataFrame, refs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, attributes) of all that forward references reach from the roots (start): objects are
     entities and relationships, variables typed attributes."""
@@ -147,13 +137,6 @@ def machines_and_types(triples: DataFrame, folder: str, prefix: str) -> tuple[Da
     return typed.join(listed, "machine", "left_semi"), typed.where(F.col("type").startswith("<" + prefix)).select("type").distinct()
 
 
-def subclass_extract(triples: DataFrame, base: str) -> DataFrame:
-    """The subclass edges below a type, the type's own included."""
-    edges = graph.subclass_edges(triples)
-    below = graph.depths(edges).where(F.col("ancestor") == base).select(F.col("node").alias("a"))
-    return edges.join(below, "a", "left_semi").where(F.col("a") != base).select(F.col("a").alias("subject"), F.lit(m.SUBCLASS).alias("predicate"), F.col("b").alias("object"))
-
-
 def target_nodes_extract(triples: DataFrame, given: DataFrame) -> DataFrame:
     """Triples of all nodes that share a type, other than a node class, with the given nodes (node)."""
     typed = triples.where((F.col("predicate") == m.RDF_TYPE) & ~F.col("object").startswith("<opcua:UA")).select(F.col("subject").alias("node"), F.col("object").alias("type"))

@@ -32,3 +32,24 @@ def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: di
         cond = cond & s
     joined = local.join(ends, cond, "left").select(*[local[c] for c in df.columns], F.coalesce(local["_lag"], ends["_border"]).alias("_before"))
     return joined.select(*df.columns, F.col("_before").isNull().alias(first), *[F.col(f"_before.{name}").alias(name) for name in columns])
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | None, name: str, segments: int | None = None) -> DataFrame:
+    """df with name: the sum of value (None: the number) of the rows before of the same key, in an order; 0 for the first.
+
+    Rows are dealt into ranges as in before(); a range's rows start from the sums of the key's
+    ranges before it, which are one row per key and range. Without keys these are one row per range."""
+    spark = df.sparkSession
+    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *keys, *order).withColumn("_seg", F.spark_partition_id()))
+    each = F.lit(1) if value is None else F.col(value)
+    sums = dealt.groupBy("_seg", *keys).agg(F.sum(each).alias("_sum"))
+    above = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.sum("_sum").over(above)).where("_start is not null").select("_seg", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
+    within = Window.partitionBy("_seg", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_here", F.sum(each).over(within))
+    cond = local["_seg"] == starts["_seg"]
+    for i, k in enumerate(keys):
+        cond = cond & local[k].eqNullSafe(starts[f"_k{i}"])
+    total = F.coalesce(local["_here"], F.lit(0)) + F.coalesce(starts["_start"], F.lit(0))
+    return local.join(starts, cond, "left").select(*[local[c] for c in df.columns], total.alias(name))

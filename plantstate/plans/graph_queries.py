@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantstate import model as m
-from plantstate.operators import catalog, graph, onto
+from plantstate.operators import catalog, classtree, graph, onto
 from plantstate.plans import base_sql as b
 from plantstate.plans.registry import query
 from plantstate.sources import adapter
@@ -50,7 +50,7 @@ def triples_index(spark, d):
 @query("is_subclass", b.with_model(b.ENTITIES, b.RDF, b.CLOSURE) + f"SELECT DISTINCT '<' || type || '>' AS sub, '<Thing>' AS super FROM entities WHERE '<' || type || '>' IN (SELECT subject FROM closure WHERE predicate = '{SUB}' AND object = '<Thing>')")
 def is_subclass(spark, d):
     pairs = adapter.entities(spark, d).select(F.concat(F.lit("<"), "type", F.lit(">")).alias("sub"), F.lit("<Thing>").alias("super")).distinct()
-    return graph.is_subclass(pairs, graph.transitive_closure(rdf(spark, d)))
+    return classtree.are_below(pairs, classtree.labels(graph.subclass_edges(rdf(spark, d)))).select("sub", "super")
 
 
 _UP = f"""up AS (SELECT DISTINCT x AS node, x AS ancestor, 0 AS depth FROM (SELECT subject AS x FROM rdf WHERE predicate = '{SUB}' UNION SELECT object FROM rdf WHERE predicate = '{SUB}')
@@ -61,21 +61,23 @@ _UP = f"""up AS (SELECT DISTINCT x AS node, x AS ancestor, 0 AS depth FROM (SELE
 def supertype_chain(spark, d):
     t = rdf(spark, d)
     types = t.where((F.col("predicate") == SUB) & F.col("subject").rlike("^<(Part|Customer)/")).select(F.col("subject").alias("type"))
-    return graph.supertype_chain(types, t)
+    return classtree.supertype_chain(types, t)
 
 
 @query("common_supertype", G + f", {_UP} SELECT a.node AS x, b.node AS y, arg_min(a.ancestor, (a.depth + b.depth, a.ancestor)) AS super, min(a.depth + b.depth) AS steps FROM up a JOIN up b ON a.ancestor = b.ancestor WHERE a.node LIKE '<Part/%' AND b.node LIKE '<%' AND a.node < b.node GROUP BY a.node, b.node")
 def common_supertype(spark, d):
     t = rdf(spark, d)
-    up = graph.cut(graph.depths(graph.subclass_edges(t)).select("node", "ancestor"))
-    x, y = up.where("node LIKE '<Part/%'").select(F.col("node").alias("x"), "ancestor"), up.select(F.col("node").alias("y"), "ancestor")
-    pairs = x.join(y, "ancestor").where("x < y").select("x", "y").distinct()
-    return graph.common_supertype(pairs, t)
+    known = classtree.labels(graph.subclass_edges(t))
+    # Pairs with an ancestor in common: the part types, and all below what is above them.
+    above = graph.cut(classtree.supertype_chain(known.nodes.where("node LIKE '<Part/%'").select(F.col("node").alias("type")), t))
+    under = classtree.below(above.select(F.col("ancestor").alias("base")), known)
+    pairs = above.join(under, F.col("ancestor") == F.col("base")).where("type < node").select(F.col("type").alias("x"), F.col("node").alias("y")).distinct()
+    return classtree.common_supertype(pairs, t)
 
 
 @query("types_in_namespace", G + f", {_UP} SELECT DISTINCT node AS iri FROM up WHERE ancestor = '<Item>' AND regexp_matches(node, '^<Part/[^/#]*$')")
 def types_in_namespace(spark, d):
-    return graph.types_in_namespace(rdf(spark, d), "<Item>", "Part/")
+    return classtree.types_in_namespace(rdf(spark, d), "<Item>", "Part/")
 
 
 def things(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +89,7 @@ def things(spark: SparkSession, d: str) -> DataFrame:
 
 @query("objects_in_namespace", "SELECT '<n/' || p_partkey || '>' AS iri FROM part")
 def objects_in_namespace(spark, d):
-    return graph.objects_in_namespace(things(spark, d), "<Item>", "n/")
+    return classtree.objects_in_namespace(things(spark, d), "<Item>", "n/")
 
 
 @query("retype_nodes", "SELECT count(*) AS n FROM part")
@@ -118,7 +120,7 @@ def subcomponent_closure(spark, d):
 def sub_references(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.concat(F.lit("<r/"), "l_returnflag", F.lit(">")).alias("predicate"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()
     t = spark.createDataFrame([("<r/A>", m.SUBPROPERTY, "<r/R>"), ("<r/N>", m.SUBPROPERTY, "<r/X>")], "subject string, predicate string, object string")
-    return graph.sub_references(edges, t, "<r/R>").select("node", "predicate", "target")
+    return classtree.sub_references(edges, t, "<r/R>").select("node", "predicate", "target")
 
 
 @query("rdf_list_to_array", "SELECT user_id AS head, string_agg(event_type, '|' ORDER BY ts, event_id) AS items FROM events GROUP BY user_id")
@@ -249,7 +251,7 @@ def type_contracts(spark, d):
 @query("contract_consistency", "SELECT DISTINCT a.p_brand AS type, a.p_size::VARCHAR AS path, '<Part/' || a.p_type || '>' AS x, '<Part/' || b.p_type || '>' AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type < b.p_type")
 def contract_consistency(spark, d):
     c = table(spark, d, "part").select(F.col("p_brand").alias("type"), F.col("p_size").cast("string").alias("path"), F.concat(F.lit("<Part/"), "p_type", F.lit(">")).alias("cls")).distinct()
-    return onto.contract_consistency(c, graph.transitive_closure(rdf(spark, d)))
+    return classtree.contract_consistency(c, rdf(spark, d))
 
 
 @query("instances_to_attributes", f"WITH {_LINKS} SELECT s || chr(92) || p_name || chr(92) || p AS id, s AS \"entityId\", p_name AS name, '@value' AS \"nodeType\", (['{m.XSD}double', '{m.XSD}integer', 'json'])[p_partkey % 3 + 1] AS \"attributeValue\" FROM links JOIN part ON p = '<p/' || p_partkey || '>' WHERE p_partkey % 2 = 0")
@@ -275,7 +277,7 @@ def machines_and_types(spark, d):
 
 @query("subclass_extract", G + f", {_UP} SELECT DISTINCT r.subject, r.predicate, r.object FROM rdf r JOIN up u ON u.node = r.subject AND u.ancestor = '<Party>' WHERE r.predicate = '{SUB}' AND r.subject <> '<Party>'")
 def subclass_extract(spark, d):
-    return onto.subclass_extract(rdf(spark, d), "<Party>")
+    return classtree.subclass_extract(rdf(spark, d), "<Party>")
 
 
 @query("target_nodes_extract", "WITH k AS (SELECT DISTINCT p_type FROM part WHERE p_size = 1) SELECT '<n/' || p_partkey || '>' AS subject, '" + m.RDF_TYPE + "' AS predicate, '<Part/' || p_type || '>' AS object FROM part WHERE p_type IN (SELECT p_type FROM k)")
