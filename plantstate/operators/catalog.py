@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.operators import graph
+from plantstate.operators.segments import running
 
 #: Shape predicates and the constraint columns that they fill.
 SH = "http://www.w3.org/ns/shacl#"
@@ -40,9 +41,9 @@ def constraint_catalog(normalized: DataFrame, compat: bool = False) -> tuple[Dat
     facts = facts.select("branch", *[_bare(f"`{p}`").alias(c) for p, c in FIELDS.items()])
     rows = shapes.join(facts, "branch", "left")
     n = Window.partitionBy("shape")
-    # Constraints are few: they are data about classes, not about entities.
-    order = Window.orderBy("targetClass", "shape", "branch")
-    rows = rows.withColumns({"id": F.row_number().over(order), "branches": F.count("*").over(n)})
+    # Numbered in ranges: only the sums of the ranges meet in one task.
+    rows = running(rows, [], ["targetClass", "shape", "branch"], None, "before")
+    rows = rows.withColumns({"id": F.col("before") + 1, "branches": F.count("*").over(n)}).drop("before")
     target = F.when(F.col("branches") > 1, F.min("id").over(n) + 1_000_000).otherwise(F.col("id"))
     rows = rows.withColumn("target", target).withColumn("severity", F.coalesce("severity", F.lit("warning")))
     if compat:
