@@ -73,8 +73,8 @@ def sink_attribute_history(spark, d):
     log = adapter.attribute_log(spark, d)
     for part in (0, 1):
         # By key, so that points of one key keep the order of their offsets.
-        logs.write_history(log.where(F.pmod(F.xxhash64("id", "ts", "datasetId"), F.lit(2)) == part), path)
-    return spark.read.parquet(path).select("id", "observedAt", "attributeId", "value", "deleted")
+        logs.merge_history(log.where(F.pmod(F.xxhash64("id", "ts", "datasetId"), F.lit(2)) == part), path)
+    return logs.read_history(spark, path).select("id", "observedAt", "attributeId", "value", "deleted")
 
 
 @query("attribute_history", HISTORY_SQL)
@@ -87,8 +87,8 @@ def sink_entity_history(spark, d):
     """Two batches of the entities that share days merged into one history."""
     path = flows.folder(spark, "history")
     for part in (0, 1):
-        logs.write_history(adapter.entities(spark, d).where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path, entity=True)
-    return spark.read.parquet(path).select("id", "observedAt", "type", "deleted")
+        logs.merge_history(adapter.entities(spark, d).where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path, entity=True)
+    return logs.read_history(spark, path).select("id", "observedAt", "type", "deleted")
 
 
 @query("src_nodeset_xml", "SELECT 'ns=1;i=' || p_partkey AS node, 'HasTypeDefinition' AS type, true AS forward, 'ns=1;s=' || p_type AS target FROM part UNION ALL SELECT 'ns=1;i=' || p_partkey, 'HasComponent', false, 'ns=1;s=' || p_brand FROM part")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from plantstate.operators.cdc import cdc_flatten
 from plantstate.operators.history import attribute_history, entity_history
 from plantstate.operators.state import latest_by_key
+from plantstate.sources import buckets
 from plantstate.sources.buckets import read as read_upserted
 from plantstate.sources.buckets import upsert
 
-__all__ = ["cdc_table", "entity_documents", "json_log", "kafka_stream", "nodeset_references", "nodeset_rows", "read_upserted", "upsert", "upsert_log", "write_history"]
+__all__ = ["cdc_table", "entity_documents", "json_log", "kafka_stream", "merge_history", "nodeset_references", "nodeset_rows", "read_history", "read_upserted", "upsert", "upsert_log", "write_history"]
 
 
 def json_log(lines: DataFrame, schema: str, value: str = "value", ts: str = "timestamp") -> DataFrame:
@@ -75,6 +76,24 @@ def write_history(changes: DataFrame, path: str, entity: bool = False) -> None:
     fs.delete(jvm.org.apache.hadoop.fs.Path(merged), True)
 
 
+def merge_history(changes: DataFrame, path: str, entity: bool = False, batch: int | None = None) -> bool:
+    """Merge history points into a versioned table: of points with one key that of the later batch stays.
+
+    A batch adds a file to the buckets of its days; no day is read or rewritten by it, but for
+    buckets of many deltas. Readers see the points before the batch or with all of it, wherever
+    a writer stops. batch: numbered batches are applied once (the result says whether it was)."""
+    old = buckets.version(changes.sparkSession, path)
+    keys = ["id", "observedAt"] if entity else ["id", "observedAt", "datasetId"]
+    points = (entity_history(changes) if entity else attribute_history(changes)).withColumn("day", F.to_date("observedAt"))
+    number = F.lit(old.number + 1 if old else 1).cast("long")
+    return upsert(points.withColumn("_written", number), path, keys, "_written", by=["day"], batch=batch)
+
+
+def read_history(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
+    """The points of merge_history(); with days (one column of dates), of these only, read from their buckets."""
+    return (read_upserted(spark, path) if days is None else buckets.read_keys(days, path)).drop("_written")
+
+
 def nodeset_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Rows of one tag of node set XML, by Spark's XML source: _NodeId, _BrowseName, References, ..."""
     return spark.read.format("xml").option("rowTag", tag).load(path)
