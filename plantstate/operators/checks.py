@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import json_array_test, json_object_test
-from plantstate.operators.graph import cut
 
 PROPERTY_KINDS = (m.PROPERTY, m.LIST_PROPERTY, m.JSON_PROPERTY)
 
@@ -146,6 +145,12 @@ def row_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]]
     return rows.select(F.col("this").alias("resource"), event.alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
 
 
+def _count_said(kind: str) -> tuple[Column, Column]:
+    """Event and text of a number of values out of its bounds."""
+    text = _text(f"'Model validation for {kind} ", "path", "' failed for ", "this", "'. Found ", F.col("found").cast("string"), "' instead of [", F.coalesce("minCount", F.lit("0")), "', ", F.coalesce("maxCount", F.lit("*")), "'].")
+    return _event("CountConstraintComponent", "path"), text
+
+
 def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:
     """Violations of minCount (0 if missing) and maxCount per entity and path."""
     counted = base.where((F.col("minCount").isNotNull() | F.col("maxCount").isNotNull()) & ~F.col("edeleted"))
@@ -153,20 +158,42 @@ def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:
     found = (F.sum_distinct(one) if compat else F.sum(one)).alias("found")
     groups = counted.groupBy("this", "path", "minCount", "maxCount", "severity", "constraint_id", "parentPath").agg(found)
     bad = groups.where((F.col("found") > F.col("maxCount").cast("int")) | (F.col("found") < F.coalesce(F.col("minCount").cast("int"), F.lit(0))))
-    text = _text(f"'Model validation for {kind} ", "path", "' failed for ", "this", "'. Found ", F.col("found").cast("string"), "' instead of [", F.coalesce("minCount", F.lit("0")), "', ", F.coalesce("maxCount", F.lit("*")), "'].")
-    return bad.select(F.col("this").alias("resource"), _event("CountConstraintComponent", "path").alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
+    event, text = _count_said(kind)
+    return bad.select(F.col("this").alias("resource"), event.alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
+
+
+def _all_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]], kind: str, compat: bool = False) -> DataFrame:
+    """row_checks() and count_check() of base in one pass and one grouping; nothing is written in between.
+
+    A row of base gives a row for each check that fires, and one to be counted. Both are summed
+    before the shuffle: violations by their event and text, counts by entity, path and constraint."""
+    asked = list(checks.values())
+    bounds = (F.col("minCount").isNotNull() | F.col("maxCount").isNotNull()) & ~F.col("edeleted")
+    numbers = [F.when(cond, F.lit(i)) for i, (cond, _, _) in enumerate(asked)]
+    rows = base.withColumn("_n", F.explode(F.array_compact(F.array(F.when(bounds, F.lit(-1)), *numbers))))
+    counts = F.col("_n") == -1
+    event, text = (F.coalesce(*[F.when(F.col("_n") == i, c[k]) for i, c in enumerate(asked)]) for k in (1, 2))
+    one = F.when(counts & ~F.coalesce("deleted", F.lit(False)) & F.col("type").isNotNull(), 1).otherwise(0)
+    of_counts = ("path", "parentPath", "minCount", "maxCount")
+    rows = rows.select("this", "constraint_id", "severity", "_n", event.alias("_event"), text.alias("_text"), one.alias("_one"), *[F.when(counts, F.col(c)).alias(c) for c in of_counts])
+    keys = ("this", "constraint_id", "severity", "_n", "_event", "_text", *of_counts)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("times"), (F.sum_distinct("_one") if compat else F.sum("_one")).alias("found"))
+    bad = (F.col("found") > F.col("maxCount").cast("int")) | (F.col("found") < F.coalesce(F.col("minCount").cast("int"), F.lit(0)))
+    # Violations that are alike stay as many rows as they were.
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.when(counts, 1).otherwise(F.col("times"))))
+    rows = sums.where(~counts | bad).withColumn("_each", each)
+    count_event, count_text = _count_said(kind)
+    return rows.select(F.col("this").alias("resource"), F.when(counts, count_event).otherwise(F.col("_event")).alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", F.when(counts, count_text).otherwise(F.col("_text")).alias("text"))
 
 
 def chk_all_rel(base: DataFrame) -> DataFrame:
-    """All relationship checks; the base is written once and read by the row checks and the counts."""
-    base = cut(base)
-    return row_checks(base, relationship_checks()).unionByName(count_check(base, "relationship"))
+    """All relationship checks and the counts, in one pass over the base."""
+    return _all_checks(base, relationship_checks(), "relationship")
 
 
 def chk_all_prop(base: DataFrame, compat: bool = False) -> DataFrame:
     """All property checks, likewise."""
-    base = cut(base)
-    return row_checks(base, property_checks(compat)).unionByName(count_check(base, "property", compat))
+    return _all_checks(base, property_checks(compat), "property", compat)
 
 
 def combine_or(triggers: DataFrame, combinations: DataFrame, constraints: DataFrame) -> DataFrame:

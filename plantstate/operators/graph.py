@@ -48,7 +48,8 @@ def closure_pairs(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def transitive_closure(triples: DataFrame) -> DataFrame:
     """triples with the closure of subClassOf and of every property that is typed transitive."""
-    t = triples.select("subject", "predicate", "object")
+    # Written, as it is read for the properties, for the edges and for the result.
+    t = cut(triples.select("subject", "predicate", "object"))
     named = t.where((F.col("predicate") == m.RDF_TYPE) & (F.col("object") == m.TRANSITIVE)).select(F.col("subject").alias("predicate"))
     which = named.unionByName(t.sparkSession.createDataFrame([(m.SUBCLASS,)], "predicate string")).distinct()
     edges = t.join(which, "predicate", "left_semi").select("predicate", F.col("subject").alias("a"), F.col("object").alias("b"))
