@@ -109,7 +109,7 @@ def test_nearest_common_supertypes(spark):
 
 
 def test_searches_equal_plain_ones(spark):
-    for seed in (11, 12, 13):
+    for seed in (11, 12):
         edges = some(seed, 30, 38, True) + [("n1", "n2"), ("n1", "n2"), ("n3", "n3")]
         want = below_of([(b, a) for a, b in edges])
         starts = ["n1", "n2", "n7", "none"]

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each kind; the driver runs all of them.
 NAMES = [
     "latest_by_key", "match_relationship_fwd", "optional_join", "not_exists", "chk_all_rel", "chk_all_prop", "combine_or", "publish_alerts", "sparql_constraint", "construct_rule", "state_time", "udaf_state_time", "cast_int", "hash_id", "iso_millis",
-    "transitive_closure", "common_supertype", "type_contracts", "constraint_catalog", "schema_catalog", "violation_context", "cdc_flatten", "cdc_diff", "cdc_route", "telemetry_to_attributes", "sink_upsert", "sink_attribute_history", "src_nodeset_xml",
+    "transitive_closure", "common_supertype", "is_subclass", "types_in_namespace", "contract_consistency", "subcomponent_closure", "type_contracts", "constraint_catalog", "schema_catalog", "violation_context", "cdc_flatten", "cdc_diff", "cdc_route", "telemetry_to_attributes", "sink_upsert", "sink_attribute_history", "sink_entity_history", "src_nodeset_xml",
     "tumble_updates", "session_debounce", "stream_last_value", "stream_session_debounce", "stream_alert_changes", "state_time_stream", "current_state_stream", "seq_check_stream", "alert_changes", "value_change_rows", "seq_check", "state_ttl", "state_time_ends", "state_time_retract",
 ]
 
