@@ -44,8 +44,7 @@ def _base(entities: DataFrame, attributes: DataFrame, constraints: DataFrame, li
     rows = rows.where(F.col("subpropertyPath").isNull() | F.col("e_id").isNotNull())
     path = F.coalesce("subpropertyPath", "propertyPath")
     rows = rows.withColumn("parentPath", F.when(F.col("subpropertyPath").isNull(), "").otherwise(F.concat("propertyPath", F.lit("["), _index("b_datasetId"), F.lit("] ==> "))))
-    for x in fields:
-        rows = rows.withColumn(x, F.coalesce(f"e_{x}", f"b_{x}"))
+    rows = rows.withColumns({x: F.coalesce(f"e_{x}", f"b_{x}") for x in fields})
     rows = rows.withColumns({"path": path, "printPath": F.concat(path, F.lit("["), _index("datasetId"), F.lit("]"))})
     return rows.drop("b_entity", "b_name", "b_id", "e_entity", "e_name", "e_parent", "e_id", *[f"{p}_{x}" for p in "be" for x in fields])
 

@@ -33,62 +33,81 @@ def decimal_text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)").cast("string")
 
 
+def _urn(kind: str, key: str) -> str:
+    return f"concat('urn:{kind}:', cast({key} AS string))"
+
+
+def _text(value: str | None) -> str:
+    """A SQL string; none: null."""
+    return "cast(NULL AS string)" if value is None else f"'{value}'"
+
+
+def _decimal(column: str) -> str:
+    return f"cast(cast({column} AS decimal(18,2)) AS string)"
+
+
+_START = f"cast('{START}' AS timestamp)"
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current entities. Customers with a negative balance are logically deleted."""
-    start, live = F.lit(START).cast("timestamp"), F.lit(False)
-    wide = lambda name: spread(table(spark, sf_dir, name)) if name in ("orders", "customer", "part") else table(spark, sf_dir, name)
-    one = lambda name, id_, type_, deleted=live, ts=start: wide(name).select(id_.alias("id"), type_.alias("type"), deleted.alias("deleted"), ts.alias("ts"))
-    urn = lambda kind, key: F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))
-    parts = [
-        one("orders", urn("order", "o_orderkey"), F.lit("Order"), ts=F.col("o_orderdate")),
-        one("customer", urn("customer", "c_custkey"), F.concat(F.lit("Customer/"), "c_mktsegment"), F.col("c_acctbal") < 0),
-        one("part", urn("part", "p_partkey"), F.concat(F.lit("Part/"), "p_type")),
-        one("supplier", urn("supplier", "s_suppkey"), F.lit("Supplier")),
-        one("nation", urn("nation", "n_nationkey"), F.lit("Nation")),
-        one("region", urn("region", "r_regionkey"), F.lit("Region")),
+    wide = ("orders", "customer", "part")
+    rows = [
+        ("orders", "order", "o_orderkey", "'Order'", "false", "o_orderdate"),
+        ("customer", "customer", "c_custkey", "concat('Customer/', c_mktsegment)", "c_acctbal < 0", _START),
+        ("part", "part", "p_partkey", "concat('Part/', p_type)", "false", _START),
+        ("supplier", "supplier", "s_suppkey", "'Supplier'", "false", _START),
+        ("nation", "nation", "n_nationkey", "'Nation'", "false", _START),
+        ("region", "region", "r_regionkey", "'Region'", "false", _START),
     ]
+    read = lambda name: spread(table(spark, sf_dir, name)) if name in wide else table(spark, sf_dir, name)
+    parts = [read(name).selectExpr(f"{_urn(kind, key)} AS id", f"{type_} AS type", f"{deleted} AS deleted", f"{ts} AS ts") for name, kind, key, type_, deleted, ts in rows]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _attributes(df: DataFrame, kind: str, key: str, ts: Column, rows: list[tuple]) -> DataFrame:
-    """Unpivot: one pass over df. rows: (name, node type, value type, attribute type, value, deleted, parent)."""
-    urn = F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))
-    text = lambda v: F.lit(v).cast("string") if v is None or isinstance(v, str) else v
-    made = [F.struct(F.lit(n).alias("name"), text(node).alias("nodeType"), text(vt).alias("valueType"), F.lit(t).alias("type"), v.alias("attributeValue"), d.alias("deleted"), F.lit(p).cast("string").alias("parent")) for n, node, vt, t, v, d, p in rows]
-    d = df.select(urn.alias("entityId"), ts.alias("ts"), F.explode(F.array(*made)).alias("a"))
-    id_ = F.when(F.col("a.parent").isNull(), F.concat_ws("\\", "entityId", "a.name")).otherwise(F.concat_ws("\\", "entityId", "a.parent", "a.name"))
-    return d.select(
-        id_.alias("id"), F.when(F.col("a.parent").isNotNull(), F.concat_ws("\\", "entityId", "a.parent")).alias("parentId"), "entityId", "a.name", "a.nodeType", "a.valueType", "a.type", "a.attributeValue",
-        F.lit("@none").alias("datasetId"), F.lit(None).cast("string").alias("unitCode"), F.lit(None).cast("string").alias("lang"), "a.deleted", F.lit(True).alias("synced"), "ts",
+def _attributes(df: DataFrame, kind: str, key: str, ts: str, rows: list[tuple]) -> DataFrame:
+    """Unpivot: one pass over df. rows: (name, node type, value type, attribute type, value, deleted, parent).
+
+    Value and deleted are SQL, and so is a node type that isn't one name. SQL, because hundreds of
+    column objects take seconds to build."""
+    made = []
+    for name, node, value_type, type_, value, deleted, parent in rows:
+        node_type = _text(node) if node.startswith("@") else node
+        made.append(f"named_struct('name', '{name}', 'nodeType', {node_type}, 'valueType', {_text(value_type)}, 'type', '{type_}', 'attributeValue', {value}, 'deleted', {deleted}, 'parent', {_text(parent)})")
+    d = df.selectExpr(f"{_urn(kind, key)} AS entityId", f"{ts} AS ts", f"explode(array({', '.join(made)})) AS a")
+    sep = r"'\\'"
+    return d.selectExpr(
+        f"CASE WHEN a.parent IS NULL THEN concat_ws({sep}, entityId, a.name) ELSE concat_ws({sep}, entityId, a.parent, a.name) END AS id",
+        f"CASE WHEN a.parent IS NOT NULL THEN concat_ws({sep}, entityId, a.parent) END AS parentId", "entityId", "a.name", "a.nodeType", "a.valueType", "a.type", "a.attributeValue",
+        "'@none' AS datasetId", "cast(NULL AS string) AS unitCode", "cast(NULL AS string) AS lang", "a.deleted", "true AS synced", "ts",
     )
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current attributes, in the columns of model.ATTRIBUTES."""
-    no, start = F.lit(False), F.lit(START).cast("timestamp")
-    xsd = lambda t: m.XSD + t
-    urn = lambda kind, key: F.concat(F.lit(f"urn:{kind}:"), F.col(key).cast("string"))
-    orders = _attributes(spread(table(spark, sf_dir, "orders")), "order", "o_orderkey", F.col("o_orderdate"), [
-        ("totalPrice", "@value", xsd("double"), m.PROPERTY, decimal_text("o_totalprice"), no, None),
-        ("currency", "@value", xsd("string"), m.PROPERTY, F.element_at(F.array(F.lit("EUR"), F.lit("USD"), F.lit("usd")), (F.col("o_orderkey") % 3 + 1).cast("int")), no, "totalPrice"),
-        ("status", "@value", xsd("string"), m.PROPERTY, F.col("o_orderstatus"), no, None),
-        ("priority", "@value", xsd("string"), m.PROPERTY, F.col("o_orderpriority"), F.col("o_orderkey") % 10 == 9, None),
-        ("placedBy", "@id", None, m.RELATIONSHIP, urn("customer", "o_custkey"), no, None),
+    double, integer, string = (m.XSD + t for t in ("double", "integer", "string"))
+    no = "false"
+    orders = _attributes(spread(table(spark, sf_dir, "orders")), "order", "o_orderkey", "o_orderdate", [
+        ("totalPrice", "@value", double, m.PROPERTY, _decimal("o_totalprice"), no, None),
+        ("currency", "@value", string, m.PROPERTY, "element_at(array('EUR', 'USD', 'usd'), cast(o_orderkey % 3 + 1 AS int))", no, "totalPrice"),
+        ("status", "@value", string, m.PROPERTY, "o_orderstatus", no, None),
+        ("priority", "@value", string, m.PROPERTY, "o_orderpriority", "o_orderkey % 10 = 9", None),
+        ("placedBy", "@id", None, m.RELATIONSHIP, _urn("customer", "o_custkey"), no, None),
     ])
-    customers = _attributes(spread(table(spark, sf_dir, "customer")), "customer", "c_custkey", start, [
-        ("acctBal", "@value", xsd("double"), m.PROPERTY, decimal_text("c_acctbal"), no, None),
-        ("segment", "@id", None, m.PROPERTY, F.concat(F.lit("seg/"), "c_mktsegment"), no, None),
-        ("livesIn", "@id", None, m.RELATIONSHIP, urn("nation", "c_nationkey"), no, None),
+    customers = _attributes(spread(table(spark, sf_dir, "customer")), "customer", "c_custkey", _START, [
+        ("acctBal", "@value", double, m.PROPERTY, _decimal("c_acctbal"), no, None),
+        ("segment", "@id", None, m.PROPERTY, "concat('seg/', c_mktsegment)", no, None),
+        ("livesIn", "@id", None, m.RELATIONSHIP, _urn("nation", "c_nationkey"), no, None),
     ])
-    parts = _attributes(spread(table(spark, sf_dir, "part")), "part", "p_partkey", start, [
-        ("size", "@value", xsd("integer"), m.PROPERTY, F.when(F.col("p_partkey") % 9 == 8, F.lit("big")).otherwise(F.col("p_size").cast("string")), no, None),
-        ("brand", F.when(F.col("p_partkey") % 13 == 0, F.lit("@id")).otherwise(F.lit("@value")), xsd("string"), m.PROPERTY, F.col("p_brand"), no, None),
-        ("meta", "@json", None, m.JSON_PROPERTY, F.when(F.col("p_partkey") % 7 == 0, F.lit("[1]")).otherwise(F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}"))), no, None),
-        ("dims", "@list", None, m.LIST_PROPERTY, F.when(F.col("p_partkey") % 11 == 0, F.lit('{"a":1}')).otherwise(F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(",2]"))), no, None),
+    parts = _attributes(spread(table(spark, sf_dir, "part")), "part", "p_partkey", _START, [
+        ("size", "@value", integer, m.PROPERTY, "CASE WHEN p_partkey % 9 = 8 THEN 'big' ELSE cast(p_size AS string) END", no, None),
+        ("brand", "CASE WHEN p_partkey % 13 = 0 THEN '@id' ELSE '@value' END", string, m.PROPERTY, "p_brand", no, None),
+        ("meta", "@json", None, m.JSON_PROPERTY, "CASE WHEN p_partkey % 7 = 0 THEN '[1]' ELSE concat('{\"size\":', cast(p_size AS string), '}') END", no, None),
+        ("dims", "@list", None, m.LIST_PROPERTY, "CASE WHEN p_partkey % 11 = 0 THEN '{\"a\":1}' ELSE concat('[', cast(p_size AS string), ',2]') END", no, None),
     ])
-    suppliers = _attributes(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", start, [
-        ("acctBal", "@value", xsd("double"), m.PROPERTY, decimal_text("s_acctbal"), no, None),
-        ("livesIn", "@id", None, m.RELATIONSHIP, urn("nation", "s_nationkey"), no, None),
+    suppliers = _attributes(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", _START, [
+        ("acctBal", "@value", double, m.PROPERTY, _decimal("s_acctbal"), no, None),
+        ("livesIn", "@id", None, m.RELATIONSHIP, _urn("nation", "s_nationkey"), no, None),
     ])
     return reduce(DataFrame.unionByName, [orders, customers, parts, suppliers])
 
@@ -106,17 +125,20 @@ def attribute_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge triples: class trees of the entity types, segments, and nations as parts of regions."""
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    row = lambda df, s, p, o: df.select(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
-    part, customer = (table(spark, sf_dir, t) for t in ("part", "customer"))
-    types = row(part.select(F.concat(F.lit("Part/"), "p_type").alias("x")).distinct(), iri(F.col("x")), m.SUBCLASS, F.lit("<Part>"))
+    iri = lambda x: f"concat('<', {x}, '>')"
+    row = lambda df, s, p, o: df.selectExpr(f"{s} AS subject", f"'{p}' AS predicate", f"{o} AS object")
+    part, customer, nation, region = (table(spark, sf_dir, t) for t in ("part", "customer", "nation", "region"))
     segments = customer.select("c_mktsegment").distinct()
-    classes = row(segments, iri(F.concat(F.lit("Customer/"), "c_mktsegment")), m.SUBCLASS, F.lit("<Customer>"))
-    kinds = row(segments.where("c_mktsegment <> 'FURNITURE'"), iri(F.concat(F.lit("seg/"), "c_mktsegment")), m.RDF_TYPE, F.lit("<Segment>"))
-    inside = row(table(spark, sf_dir, "nation"), iri(F.concat(F.lit("urn:nation:"), F.col("n_nationkey").cast("string"))), "<partOf>", iri(F.concat(F.lit("urn:region:"), F.col("n_regionkey").cast("string"))))
-    world = row(table(spark, sf_dir, "region"), iri(F.concat(F.lit("urn:region:"), F.col("r_regionkey").cast("string"))), "<partOf>", F.lit("<urn:world>"))
-    fixed = spark.createDataFrame(FIXED_TRIPLES, "subject string, predicate string, object string")
-    return reduce(DataFrame.unionByName, [types, classes, kinds, inside, world, fixed]).withColumn("index", F.lit(0))
+    of_nation, of_region = (iri(_urn(kind, key)) for kind, key in (("nation", "n_nationkey"), ("region", "n_regionkey")))
+    rows = [
+        row(part.select("p_type").distinct(), iri("concat('Part/', p_type)"), m.SUBCLASS, "'<Part>'"),
+        row(segments, iri("concat('Customer/', c_mktsegment)"), m.SUBCLASS, "'<Customer>'"),
+        row(segments.where("c_mktsegment <> 'FURNITURE'"), iri("concat('seg/', c_mktsegment)"), m.RDF_TYPE, "'<Segment>'"),
+        row(nation, of_nation, "<partOf>", of_region),
+        row(region, iri(_urn("region", "r_regionkey")), "<partOf>", "'<urn:world>'"),
+        spark.createDataFrame(FIXED_TRIPLES, "subject string, predicate string, object string"),
+    ]
+    return reduce(DataFrame.unionByName, rows).withColumn("index", F.lit(0))
 
 
 #: The upper classes, and a label list over blank nodes.
