@@ -395,7 +395,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null html is empty. Pages whose url has no host, and hosts with too few pages for a
     template, go by tags and marks alone. Repeated rows give repeated rows and count once.
-    Nested articles are part of their article; comments inside one go by their marks."""
+    Nested articles are part of their article; comments inside one go by their marks. Pages of
+    any length are read whole, one at a time. An empty table gives no rows."""
     d = numbered(pages)
     p = d.select(d[at(pages, id_col)].alias("key"), d[at(pages, url_col)].alias("url"), host_of(blank_if_null(d[at(pages, url_col)])).alias("host"), blank_if_null(d[at(pages, html_col)]).alias("html"))
     named = p.select("host", "html", F.xxhash64("html").alias("page"))

@@ -147,7 +147,9 @@ def scanned(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_
 
     Null and empty texts, and texts of punctuation only, have the digest of an empty text
     and no license. Repeated rows give repeated rows. The join's other side is the table of
-    known digests; whether it is broadcast is Spark's choice by its size."""
+    known digests; whether it is broadcast is Spark's choice by its size. Texts of any length
+    are read whole, and an empty table gives no rows. A text that two names are known for has
+    the smaller name."""
     d = numbered(docs)
     found = digests(known_texts(docs)).unionByName(known_digests(docs)) if known is None else digests(known)
     found = found.select(F.unhex("digest").alias("k_digest"), "name")

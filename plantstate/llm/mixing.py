@@ -88,6 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """key, src, size, source_size, target, copies (0 to most) and taken (copies x size), a row per document.
 
     Null text and text without words: size 0. Null source: a source of its own, last.
+    A source without any words is taken whole, once: its target of 0 is met in any case.
     Rows with the same id share a hash, so they are taken or left together. An empty
     table gives no rows. Other columns of docs play no part."""
     rows = stage(sized(docs, id_col, text_col, source_col, seed), "mix")

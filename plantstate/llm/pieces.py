@@ -322,7 +322,8 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """key, ids (binary: little-endian unsigned 32-bit), n_tokens and decoded, a row per document.
 
     Null text is empty: only begin and end ids. Repeated rows give repeated rows. Whole
-    texts are encoded whatever their length; other columns play no part."""
+    texts are encoded whatever their length; other columns play no part. An empty table gives
+    no rows."""
     vocabulary = Vocabulary.read(model_path)
     d = numbered(docs)
     d = d.select(d[at(docs, id_col)].alias("key"), blank_if_null(d[at(docs, text_col)]).alias("t"))

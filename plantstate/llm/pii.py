@@ -229,7 +229,8 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     rows give the same text. Distinct entities of the corpus get distinct surrogates, that no
     entity of the corpus equals; spellings of one entity (case of an email, spaces of a
     phone) get one surrogate in their own format. Titles stay; a word that is a part of a
-    person's name in a document is replaced wherever it stands in it as a capital word."""
+    person's name in a document is replaced wherever it stands in it as a capital word. Texts of
+    any length are read whole. An empty table gives no rows."""
     d = numbered(docs)
     t = d.select(d[at(docs, id_col)].alias("key"), d[at(docs, text_col)].alias("t"), F.xxhash64(d[at(docs, id_col)], d[at(docs, text_col)]).alias("row"))
     again = stage(attempts(entities(t.select(blank_if_null(F.col("t")).alias("t"))), key), "attempts")

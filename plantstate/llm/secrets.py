@@ -105,7 +105,7 @@ def scanned(docs: DataFrame, model: list[float] | None = None, id_col: str = "do
 
     spans: the base spans and those strings that the models judge random and no base span
     overlaps. Null text is empty; a text without secrets has empty arrays. Repeated rows
-    give repeated rows."""
+    give repeated rows. Texts of any length are scanned whole. An empty table gives no rows."""
     model = train(labelled(docs, id_col, text_col)) if model is None else model
     d = numbered(docs)
     d = d.withColumn("base", base_spans(blank_if_null(d[at(docs, text_col)])))

@@ -107,7 +107,9 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, id_co
     subdomains and paths that start with /en/; without a slash it fits all paths. verdict is the longest fitting rule's; else
     block if the host's distrust is above LEAST and above its trust, and allow otherwise
     (also for an empty host). A seed is the share of a host's pages that rules allow, or
-    block. Null urls have an empty host and path. Repeated rows count and are judged each."""
+    block. Null urls have an empty host and path, null html no links. Repeated rows count and are
+    judged each. Of fitting rules of one length the first by code point wins. Pages of any
+    length are searched whole. An empty table gives no rows."""
     d = numbered(pages)
     url = d[at(pages, url_col)]
     p = d.select(d[at(pages, id_col)].alias("key"), host_of(url).alias("host"), path_of(url).alias("path"), d[at(pages, html_col)].alias("html"))
