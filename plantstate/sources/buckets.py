@@ -14,6 +14,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 from plantstate.operators.state import latest_by_key
 
 BUCKETS, DELTAS, KEPT = 16, 4, 2
+#: A task gets about so many bytes of files, where rows are dealt by size.
+TASK_BYTES = 1 << 20
 
 
 @dataclass
@@ -52,6 +55,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files that df reads."""
+    spark = df.sparkSession
+    return sum(_system(spark, f).getFileStatus(_path(spark, f)).getLen() for f in map(unquote, df.inputFiles()))
+
+
+def tasks(df: DataFrame) -> int:
+    """A number of partitions that follows the size of df's files, so that a task's share does not grow with them."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, stored_bytes(df) // TASK_BYTES)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     return [int(n[:-5]) for n in names(spark, f"{path}/versions") if n.endswith(".json") and n[:-5].isdigit()]
 
