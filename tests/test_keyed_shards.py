@@ -43,6 +43,16 @@ def test_alert_changes_in_shards(spark, points, tmp_path):
     assert sorted(map(repr, (r[1:] for r in got))) == sorted(map(repr, want))
 
 
+def test_expiring_alert_changes_in_shards(spark, points, tmp_path):
+    stream, rows = points
+    got = ran(flows.alert_changes_stream(stream.withColumn("n", F.col("n") % 2), "k", "n", ["ts"], ttl="2 hours", shards=SHARDS), tmp_path)
+    last, want = {}, []
+    for k, n, ts in rows:
+        want += [(k, n % 2, ts)] if k not in last or last[k][0] != n % 2 or ts - last[k][1] > timedelta(hours=2) else []
+        last[k] = n % 2, ts
+    assert sorted(map(repr, (r[1:] for r in got))) == sorted(map(repr, want))
+
+
 def test_replayed_batches_have_more_files_where_the_input_is_larger(spark, tmp_path, monkeypatch):
     spark.range(5000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(str(tmp_path / "in"))
     table = spark.read.parquet(str(tmp_path / "in"))
