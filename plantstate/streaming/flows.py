@@ -202,22 +202,24 @@ def state_time_ends(stream: DataFrame, key: str, state_col: str, ts_ms: str) ->
     return stream.groupBy(key).applyInPandasWithState(totals, f"{key} {key_type}, state_ms bigint", "total bigint, first_state int, first_ms bigint, last_state int, last_ms bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def seq_check_stream(stream: DataFrame, key: str, seq: str, birth: str, order: list[str]) -> DataFrame:
-    """Rows with valid, as the batch form has it. State: the last number of the key."""
+def seq_check_stream(stream: DataFrame, key: str, seq: str, birth: str, order: list[str], shards: int = SHARDS) -> DataFrame:
+    """Rows with valid, as the batch form has it. State: the last number of each key of a shard (see alert_changes_stream)."""
     names = [f.name for f in stream.schema.fields]
 
     def check(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
+        keys, last = state.get if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        valid = []
-        for n, b in zip(rows[seq], rows[birth]):
-            valid.append(bool(n == 0) if b else before is not None and bool(n > before or (before == 255 and n == 0)))
-            before = int(n)
-        state.update((before,))
-        yield rows.assign(valid=valid)[[*names, "valid"]]
+        both = pd.concat([pd.DataFrame({"_key": pd.Series(keys, dtype=object), "_n": pd.Series(last, dtype="int64")}), rows[["_key"]].assign(_n=rows[seq].astype("int64"))], ignore_index=True)
+        ids, _ = pd.factorize(both["_key"], use_na_sentinel=False)
+        before = both["_n"].groupby(ids).shift().to_numpy()[len(keys):]
+        now = both["_n"].to_numpy()[len(keys):]
+        follows = (now > before) | ((before == 255) & (now == 0))
+        new = both[~pd.Series(ids).duplicated(keep="last").to_numpy()]
+        state.update((new["_key"].tolist(), new["_n"].tolist()))
+        yield rows.assign(valid=np.where(rows[birth].astype(bool), now == 0, follows))[[*names, "valid"]]
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return stream.groupBy(key).applyInPandasWithState(check, f"{ddl}, valid boolean", "before int", "append", GroupStateTimeout.NoTimeout)
+    return _sharded(stream, key, shards).groupBy("_shard").applyInPandasWithState(check, f"{ddl}, valid boolean", "keys array<string>, last array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def alert_state(previous: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

@@ -53,6 +53,17 @@ def test_expiring_alert_changes_in_shards(spark, points, tmp_path):
     assert sorted(map(repr, (r[1:] for r in got))) == sorted(map(repr, want))
 
 
+def test_sequence_numbers_in_shards(spark, points, tmp_path):
+    stream, rows = points
+    got = ran(flows.seq_check_stream(stream.withColumn("b", F.col("n") % 7 == 0), "k", "n", "b", ["ts"], shards=SHARDS), tmp_path)
+    last, want = {}, []
+    for k, n, ts in rows:
+        before = last.get(k)
+        want.append((k, n, ts, n % 7 == 0, n == 0 if n % 7 == 0 else before is not None and (n > before or (before == 255 and n == 0))))
+        last[k] = n
+    assert sorted(map(repr, (r[1:] for r in got))) == sorted(map(repr, want))
+
+
 def test_replayed_batches_have_more_files_where_the_input_is_larger(spark, tmp_path, monkeypatch):
     spark.range(5000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(str(tmp_path / "in"))
     table = spark.read.parquet(str(tmp_path / "in"))
