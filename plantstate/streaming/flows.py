@@ -174,32 +174,58 @@ def state_time_stream(stream: DataFrame, path: str, key: str, state_col: str, ts
     return view.totals().withColumnRenamed("key", key)
 
 
-def state_time_ends(stream: DataFrame, key: str, state_col: str, ts_ms: str) -> DataFrame:
+def state_time_ends(stream: DataFrame, key: str, state_col: str, ts_ms: str, shards: int = SHARDS) -> DataFrame:
     """key, state_ms after each batch: milliseconds in state 1, of points that extend the known span at either end.
 
-    State: total, and state and time of the first and the last point. Points inside the
-    span are ignored; of points of one time in a batch the largest state counts."""
+    State: total, and state and time of the first and the last point, of the keys of a shard (see
+    alert_changes_stream). Points inside the span are ignored; of points of one time in a batch the
+    largest state counts."""
+    fields = ("total", "first_state", "first_ms", "last_state", "last_ms")
 
     def totals(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, first_state, first_ms, last_state, last_ms = state.get if state.exists else (None, None, None, None, None)
-        points = pd.concat(list(batches)).dropna(subset=[state_col, ts_ms]).groupby(ts_ms)[state_col].max().sort_index()
-        for ms, s in points.items():
-            if last_ms is None:
-                first_state, first_ms, last_state, last_ms = int(s), int(ms), int(s), int(ms)
-            elif ms > last_ms:
-                if last_state == 1:
-                    total = (total or 0) + int(ms) - last_ms
-                last_state, last_ms = int(s), int(ms)
-        for ms, s in points[::-1].items():
-            if first_ms is not None and ms < first_ms:
-                if s == 1:
-                    total = (total or 0) + first_ms - int(ms)
-                first_state, first_ms = int(s), int(ms)
-        state.update((total, first_state, first_ms, last_state, last_ms))
-        yield pd.DataFrame({key: [k[0]], "state_ms": pd.array([total], "Int64")})
+        keys, *known = state.get if state.exists else ([], *([] for _ in fields))
+        old = pd.DataFrame({f: pd.array(v, "Int64") for f, v in zip(fields, known)})
+        rows = pd.concat(list(batches))
+        ids, names = pd.factorize(pd.concat([pd.Series(keys, dtype=object), rows["_key"]], ignore_index=True), use_na_sentinel=False)
+        old = old.reindex(range(len(names)))
+        points = rows.assign(i=ids[len(keys):]).dropna(subset=[state_col, ts_ms]).groupby(["i", ts_ms])[state_col].max().reset_index()
+        i, ms, s = (points[c].astype("int64").to_numpy() for c in ("i", ts_ms, state_col))
+        end = lambda f: old[f].fillna(0).astype("int64").to_numpy()[i]
+        new_key = old["last_ms"].isna().to_numpy()[i]
+        held = np.zeros(len(names), "int64")
+        added = np.zeros(len(names), bool)
+        # Behind the last point: each stretch has the state of the point before it.
+        late = new_key | (ms > end("last_ms"))
+        li, lms, ls = i[late], ms[late], s[late]
+        starts = np.r_[True, li[1:] != li[:-1]] if len(li) else np.zeros(0, bool)
+        before_ms, before_s = np.where(starts, end("last_ms")[late], np.r_[0, lms[:-1]] if len(li) else lms), np.where(starts, end("last_state")[late], np.r_[0, ls[:-1]] if len(li) else ls)
+        on = (before_s == 1) & ~(starts & new_key[late])
+        np.add.at(held, li[on], (lms - before_ms)[on])
+        added[li[on]] = True
+        ends = np.r_[starts[1:], True] if len(li) else starts
+        # Before the first one: each stretch has the state of the point it begins with.
+        early = ~new_key & (ms < end("first_ms"))
+        ei, ems, es = i[early], ms[early], s[early]
+        stop = np.r_[ei[1:] != ei[:-1], True] if len(ei) else np.zeros(0, bool)
+        on = es == 1
+        np.add.at(held, ei[on], (np.where(stop, end("first_ms")[early], np.r_[ems[1:], 0] if len(ei) else ems) - ems)[on])
+        added[ei[on]] = True
+        begins = np.r_[True, ei[1:] != ei[:-1]] if len(ei) else stop
+        fresh = starts & new_key[late]
+        columns = {f: old[f].to_numpy(dtype=object, na_value=None) for f in fields}
+        columns["total"] = np.where(added, end_sum(old["total"], held), columns["total"])
+        for f, where, what in (("first_ms", li[fresh], lms[fresh]), ("first_state", li[fresh], ls[fresh]), ("first_ms", ei[begins], ems[begins]), ("first_state", ei[begins], es[begins]), ("last_ms", li[ends], lms[ends]), ("last_state", li[ends], ls[ends])):
+            columns[f][where] = what
+        state.update(([None if pd.isna(n) else n for n in names], *([None if v is None else int(v) for v in columns[f]] for f in fields)))
+        here, at = np.unique(ids[len(keys):], return_index=True)
+        yield pd.DataFrame({key: rows[key].iloc[at].to_numpy(), "state_ms": pd.array([columns["total"][x] for x in here], "Int64")})
+
+    def end_sum(total: pd.Series, held: np.ndarray) -> np.ndarray:
+        return total.fillna(0).astype("int64").to_numpy() + held
 
     key_type = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(totals, f"{key} {key_type}, state_ms bigint", "total bigint, first_state int, first_ms bigint, last_state int, last_ms bigint", "update", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"{f} array<{'int' if f.endswith('state') else 'bigint'}>" for f in fields)
+    return _sharded(stream, key, shards).groupBy("_shard").applyInPandasWithState(totals, f"{key} {key_type}, state_ms bigint", f"keys array<string>, {schema}", "update", GroupStateTimeout.NoTimeout)
 
 
 def seq_check_stream(stream: DataFrame, key: str, seq: str, birth: str, order: list[str], shards: int = SHARDS) -> DataFrame:

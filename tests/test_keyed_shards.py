@@ -64,6 +64,35 @@ def test_sequence_numbers_in_shards(spark, points, tmp_path):
     assert sorted(map(repr, (r[1:] for r in got))) == sorted(map(repr, want))
 
 
+def test_ends_of_state_time_in_shards(spark, tmp_path):
+    rng, batches = random.Random(4), []
+    for _ in range(4):
+        batches.append([(rng.choice(KEYS[:30]), rng.randint(0, 1000), rng.choice([0, 1, None])) for _ in range(80)])
+        spark.createDataFrame(batches[-1], "k string, ms bigint, s int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ms bigint, s int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r[0], r[1]): r[2] for r in ran(flows.state_time_ends(stream, "k", "s", "ms", shards=SHARDS), tmp_path, "update")}
+    known, want = {}, {}
+    for number, batch in enumerate(batches):
+        for k in {r[0] for r in batch}:
+            total, first, last = known.get(k, (None, None, None))
+            at = {}
+            for _, ms, s in (r for r in batch if r[0] == k and r[2] is not None):
+                at[ms] = max(s, at.get(ms, s))
+            for ms in sorted(at):
+                if last is None:
+                    first = last = (at[ms], ms)
+                elif ms > last[1]:
+                    total = (total or 0) + ms - last[1] if last[0] == 1 else total
+                    last = (at[ms], ms)
+            for ms in sorted(at, reverse=True):
+                if ms < first[1]:
+                    total = (total or 0) + first[1] - ms if at[ms] == 1 else total
+                    first = (at[ms], ms)
+            known[k] = total, first, last
+            want[number, k] = total
+    assert got == want
+
+
 def test_replayed_batches_have_more_files_where_the_input_is_larger(spark, tmp_path, monkeypatch):
     spark.range(5000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(str(tmp_path / "in"))
     table = spark.read.parquet(str(tmp_path / "in"))
