@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plantstate import model as m
 from plantstate.functions.terms import hash_id
 from plantstate.operators.graph import cut
+from plantstate.sources import buckets
 
 #: Reserved names inside an attribute.
 RESERVED = ("@type", *(m.NGSI + x for x in ("hasValue", "hasObject", "hasJSON", "hasValueList", "datasetId", "unitCode", "observedAt", "createdAt", "modifiedAt")))
@@ -58,9 +59,12 @@ def _instance_rows(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     front = docs.select(*carried, F.col("id").alias("entityId"), F.lit(None).cast("string").alias("parentId"), _attributes(F.col("entity")).alias("subs"))
     out = None
     while True:
-        found = front.select(*carried, "entityId", "parentId", F.explode("subs").alias("e")).select(*carried, "entityId", "parentId", F.col("e.key").alias("name"), F.posexplode(_instances(F.col("e.value"))).alias("pos", "text"))
-        found = found.withColumn("s", F.from_json("text", ITEM))
-        found = found.select(*carried, "entityId", "parentId", "name", "pos", *[c.alias(n) for n, c in _fields(F.col("s")).items()], _attributes(F.col("text")).alias("subs")).where(F.col("nodeType").isNotNull())
+        # Texts are read inside the generators: conditions on what these make are not pushed below them, where each would read the text anew.
+        found = front.select(*carried, "entityId", "parentId", F.explode_outer("subs").alias("e"))
+        read = F.transform(_instances(F.col("e.value")), lambda text: F.struct(text.alias("text"), F.from_json(text, ITEM).alias("s")))
+        found = found.select(*carried, "entityId", "parentId", F.col("e.key").alias("name"), F.posexplode_outer(read).alias("pos", "i"))
+        found = found.where(F.col("i").isNotNull() & _fields(F.col("i.s"))["nodeType"].isNotNull())
+        found = found.select(*carried, "entityId", "parentId", "name", "pos", *[c.alias(n) for n, c in _fields(F.col("i.s")).items()], _attributes(F.col("i.text")).alias("subs"))
         top = F.when(F.col("datasetId") == "@none", F.col("name")).otherwise(hash_id(F.col("name"), F.col("datasetId")))
         below = hash_id(F.concat_ws("\\", "parentId", "name"), F.col("datasetId"))
         level = cut(found.withColumn("id", F.concat_ws("\\", "entityId", F.when(F.col("parentId").isNull(), top).otherwise(below))))
@@ -71,13 +75,18 @@ def _instance_rows(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             return out
 
 
+def _by_id(rows: DataFrame) -> DataFrame:
+    """Dealt by id into as many partitions as the written rows need: a task's share stays the same, and is sorted once."""
+    return rows.repartition(buckets.tasks(rows), "id")
+
+
 def cdc_flatten(docs: DataFrame) -> DataFrame:
     """Attribute rows of documents (id, entity JSON), at any depth: a written round per level of nesting.
 
     A top attribute's id is entity\\name, of a further dataset the name's hash; a sub-attribute's
     is entity\\hash of its whole path. Of instances with one id the last wins; unknown kinds go,
     with what is in them. An instance is read twice: for its own fields, and for its sub-attributes."""
-    last = _instance_rows(docs).groupBy("id").agg(F.max(F.struct("pos", *FLAT)).alias("l"))
+    last = _by_id(_instance_rows(docs)).groupBy("id").agg(F.max(F.struct("pos", *FLAT)).alias("l"))
     return last.select("id", *[F.col(f"l.{c}").alias(c) for c in FLAT])
 
 
@@ -86,7 +95,7 @@ def cdc_changes(df: DataFrame) -> DataFrame:
     image = lambda side: df.where(F.col(side).isNotNull()).select(F.lit(side).alias("side"), F.col(f"{side}.id").alias("id"), F.col(f"{side}.entity").alias("entity"))
     rows = _instance_rows(image("before").unionByName(image("after")), ("side",))
     last = lambda side: F.max(F.when(F.col("side") == side, F.struct("pos", *FLAT))).alias(side)
-    both = rows.groupBy("id").agg(last("before"), last("after"))
+    both = _by_id(rows).groupBy("id").agg(last("before"), last("after"))
     same = F.lit(True)
     for c in COMPARED:
         same = same & F.col(f"after.{c}").eqNullSafe(F.col(f"before.{c}"))

@@ -114,7 +114,7 @@ def order_doc(price: Column, sync: Column) -> Column:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    o = adapter.spread(table(spark, d, "orders"))
+    o = adapter.spread(table(spark, d, "orders"), "o_orderkey")
     k = F.col("o_orderkey")
     image = lambda price, sync: F.struct(F.concat(F.lit("urn:order:"), k.cast("string")).alias("id"), F.array(F.lit("Order")).alias("e_types"), order_doc(price, sync).alias("entity"))
     old, new = adapter.decimal_text("o_totalprice"), adapter.decimal_text(F.when(k % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
@@ -208,7 +208,7 @@ def normalized_to_concise(spark, d):
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    e = adapter.spread(table(spark, d, "events"))
+    e = adapter.spread(table(spark, d, "events"), "event_id")
     k = F.col("event_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("Property", "Relationship", "JsonProperty", "Other")]), (k % 4 + 1).cast("int"))
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")

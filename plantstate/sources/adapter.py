@@ -11,22 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantstate import model as m
+from plantstate.sources import buckets
 
 START = "2020-01-01 00:00:00"
 
 
-#: A table of fewer splits than this (under a gigabyte) is dealt out, so that one file keeps all cores busy.
-FEW_SPLITS = 8
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out if it has few splits. Larger tables are left as they are: they have splits enough, and a shuffle would cost."""
-    n = min(FEW_SPLITS, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """df, dealt out by a key into parts of a size, so that one file keeps all cores busy and no task's share grows with the table."""
+    n = buckets.tasks(df)
+    return df.repartition(n, by) if df.rdd.getNumPartitions() < n else df
 
 
 def decimal_text(c: str | Column) -> Column:
@@ -60,8 +57,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("nation", "nation", "n_nationkey", "'Nation'", "false", _START),
         ("region", "region", "r_regionkey", "'Region'", "false", _START),
     ]
-    read = lambda name: spread(table(spark, sf_dir, name)) if name in wide else table(spark, sf_dir, name)
-    parts = [read(name).selectExpr(f"{_urn(kind, key)} AS id", f"{type_} AS type", f"{deleted} AS deleted", f"{ts} AS ts") for name, kind, key, type_, deleted, ts in rows]
+    read = lambda name, by: spread(table(spark, sf_dir, name), by) if name in wide else table(spark, sf_dir, name)
+    parts = [read(name, key).selectExpr(f"{_urn(kind, key)} AS id", f"{type_} AS type", f"{deleted} AS deleted", f"{ts} AS ts") for name, kind, key, type_, deleted, ts in rows]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -87,19 +84,19 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current attributes, in the columns of model.ATTRIBUTES."""
     double, integer, string = (m.XSD + t for t in ("double", "integer", "string"))
     no = "false"
-    orders = _attributes(spread(table(spark, sf_dir, "orders")), "order", "o_orderkey", "o_orderdate", [
+    orders = _attributes(spread(table(spark, sf_dir, "orders"), "o_orderkey"), "order", "o_orderkey", "o_orderdate", [
         ("totalPrice", "@value", double, m.PROPERTY, _decimal("o_totalprice"), no, None),
         ("currency", "@value", string, m.PROPERTY, "element_at(array('EUR', 'USD', 'usd'), cast(o_orderkey % 3 + 1 AS int))", no, "totalPrice"),
         ("status", "@value", string, m.PROPERTY, "o_orderstatus", no, None),
         ("priority", "@value", string, m.PROPERTY, "o_orderpriority", "o_orderkey % 10 = 9", None),
         ("placedBy", "@id", None, m.RELATIONSHIP, _urn("customer", "o_custkey"), no, None),
     ])
-    customers = _attributes(spread(table(spark, sf_dir, "customer")), "customer", "c_custkey", _START, [
+    customers = _attributes(spread(table(spark, sf_dir, "customer"), "c_custkey"), "customer", "c_custkey", _START, [
         ("acctBal", "@value", double, m.PROPERTY, _decimal("c_acctbal"), no, None),
         ("segment", "@id", None, m.PROPERTY, "concat('seg/', c_mktsegment)", no, None),
         ("livesIn", "@id", None, m.RELATIONSHIP, _urn("nation", "c_nationkey"), no, None),
     ])
-    parts = _attributes(spread(table(spark, sf_dir, "part")), "part", "p_partkey", _START, [
+    parts = _attributes(spread(table(spark, sf_dir, "part"), "p_partkey"), "part", "p_partkey", _START, [
         ("size", "@value", integer, m.PROPERTY, "CASE WHEN p_partkey % 9 = 8 THEN 'big' ELSE cast(p_size AS string) END", no, None),
         ("brand", "CASE WHEN p_partkey % 13 = 0 THEN '@id' ELSE '@value' END", string, m.PROPERTY, "p_brand", no, None),
         ("meta", "@json", None, m.JSON_PROPERTY, "CASE WHEN p_partkey % 7 = 0 THEN '[1]' ELSE concat('{\"size\":', cast(p_size AS string), '}') END", no, None),
