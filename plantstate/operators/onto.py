@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plantstate import model as m
 from plantstate.functions.terms import map_datatype
 from plantstate.operators import classtree, graph
+from plantstate.sources import buckets
 
 IGNORED = ("HasSubtype", "HasTypeDefinition")
 TYPE_KINDS = ("UAObjectType", "UAVariableType", "UADataType", "UAReferenceType")
@@ -22,6 +23,11 @@ def triple(df: DataFrame, s: Column | str, p: Column | str, o: Column) -> DataFr
     return df.select(col(s).alias("subject"), col(p).alias("predicate"), o.alias("object"))
 
 
+def by_size(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt by keys into as many parts as the files of source need: a task's rows do not grow with them."""
+    return df.repartition(buckets.tasks(source), *keys)
+
+
 def nodes_to_triples(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Class, browse name and data type of each node; data types go through the alias table (alias, iri) where it has them."""
     n = F.col("node")
@@ -37,7 +43,7 @@ def references_to_triples(refs: DataFrame, ignored: tuple[str, ...] = IGNORED) -
     """One triple per reference, turned round where it isn't forward."""
     r = refs.where(~F.col("type").isin(*ignored))
     s, o = F.when(F.col("forward"), F.col("node")).otherwise(F.col("target")), F.when(F.col("forward"), F.col("target")).otherwise(F.col("node"))
-    return triple(r, s, F.concat(F.lit("<opcua:"), "type", F.lit(">")), o).distinct()
+    return by_size(triple(r, s, F.concat(F.lit("<opcua:"), "type", F.lit(">")), o), refs, "subject", "object").distinct()
 
 
 def type_definition(refs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from plantstate import model as m
 from plantstate.operators import catalog, classtree, graph, onto
 from plantstate.plans import base_sql as b
 from plantstate.plans.registry import query
-from plantstate.sources import adapter
+from plantstate.sources import adapter, buckets
 from plantstate.sources.adapter import table
 
 G = b.GRAPH
@@ -157,7 +157,9 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def refs(spark: SparkSession, d: str) -> DataFrame:
     n = lambda prefix, c: F.concat(F.lit(f"<{prefix}/"), F.col(c).cast("string"), F.lit(">"))
     make = lambda df, a, type_, forward, z: df.select(a.alias("node"), F.lit(type_).alias("type"), F.lit(forward).alias("forward"), z.alias("target"))
-    lines, p = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), table(spark, d, "part")
+    # Dealt by size: a task's pairs do not grow with the table.
+    lines, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    lines = lines.select("l_suppkey", "l_partkey").repartition(buckets.tasks(lines), "l_suppkey", "l_partkey").distinct()
     return reduce(DataFrame.unionByName, [
         make(lines.where("l_partkey % 2 = 0"), n("s", "l_suppkey"), "HasComponent", True, n("p", "l_partkey")),
         make(lines.where("l_partkey % 2 = 1"), n("p", "l_partkey"), "HasComponent", False, n("s", "l_suppkey")),

@@ -1,7 +1,7 @@
 """Joins and groupings are dealt into as many parts as the files need, so that a task's share does not grow with them."""
 
-from plantstate.operators import cdc
-from plantstate.plans import flow_queries
+from plantstate.operators import cdc, onto
+from plantstate.plans import flow_queries, graph_queries
 from plantstate.sources import adapter, buckets
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +11,9 @@ def test_flattened_rows_are_dealt_by_size(spark, monkeypatch):
     monkeypatch.setattr(buckets, "TASK_BYTES", 5_000)
     docs = cdc.cdc_entity(flow_queries.changes(spark, SF), "after").select("id", "entity")
     assert cdc.cdc_flatten(docs).rdd.getNumPartitions() > 12
+
+
+def test_reference_triples_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_BYTES", 5_000)
+    r = graph_queries.refs(spark, SF)
+    assert onto.references_to_triples(r).rdd.getNumPartitions() == buckets.tasks(r) > 8
