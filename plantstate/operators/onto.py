@@ -64,7 +64,8 @@ def type_hierarchy(nodes: DataFrame, refs: DataFrame, roots: tuple[str, ...] = (
 def semantic_bridge(triples: DataFrame, aggregates: tuple[str, ...] = ("<opcua:HasComponent>", "<opcua:HasProperty>")) -> DataFrame:
     """For aggregate references one more edge, named after the target's browse name."""
     names = triples.where(F.col("predicate") == "<hasBrowseName>").select(F.col("subject").alias("object"), F.regexp_replace("object", '^"|"$', "").alias("name"))
-    return triples.where(F.col("predicate").isin(*aggregates)).join(names, "object").select("subject", F.concat(F.lit("<has_"), F.regexp_replace("name", r"\s+", "_"), F.lit(">")).alias("predicate"), "object").distinct()
+    links = by_size(triples.where(F.col("predicate").isin(*aggregates)), triples, "object")
+    return links.join(by_size(names, triples, "object"), "object").select("subject", F.concat(F.lit("<has_"), F.regexp_replace("name", r"\s+", "_"), F.lit(">")).alias("predicate"), "object").distinct()
 
 
 def enum_and_field_triples(fields: DataFrame) -> DataFrame:
