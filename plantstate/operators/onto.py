@@ -125,10 +125,10 @@ def instances_to_attributes(root: DataFrame, refs: DataFrame, nodes: DataFrame)
     here = nodes.join(found, "node", "left_semi")
     entities = here.where("kind = 'UAObject'").select(F.col("node").alias("id"), F.col("browse").alias("type"))
     ends = here.select(F.col("node").alias("target"), "kind", "browse", "datatype")
-    links = edges.join(found, "node", "left_semi").join(ends, "target")
+    links = by_size(by_size(edges, refs, "node").join(by_size(found, refs, "node"), "node", "left_semi"), refs, "target").join(by_size(ends, refs, "target"), "target")
     is_object = F.col("kind") == "UAObject"
     attributes = links.select(F.concat_ws("\\", "node", "browse", "target").alias("id"), F.col("node").alias("entityId"), F.col("browse").alias("name"), F.when(is_object, "@id").otherwise("@value").alias("nodeType"), F.when(is_object, m.RELATIONSHIP).otherwise(m.PROPERTY).alias("type"), F.when(is_object, F.col("target")).otherwise(F.get(map_datatype(F.col("datatype")), F.lit(0))).alias("attributeValue"), F.col("target").alias("datasetId"))
-    return entities, attributes.distinct()
+    return entities, by_size(attributes, refs, "id").distinct()
 
 
 def binding_extract(triples: DataFrame) -> DataFrame:
