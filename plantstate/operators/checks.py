@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plantstate import model as m
 from plantstate.functions.terms import json_array_test, json_object_test
+from plantstate.sources import buckets
 
 PROPERTY_KINDS = (m.PROPERTY, m.LIST_PROPERTY, m.JSON_PROPERTY)
 
@@ -39,8 +40,12 @@ def _base(entities: DataFrame, attributes: DataFrame, constraints: DataFrame, li
     fields = ("nodeType", "valueType", "type", "attributeValue", "datasetId", "deleted")
     top = a.where(F.col("parentId").isNull()).select(F.col("entityId").alias("b_entity"), F.col("name").alias("b_name"), F.col("id").alias("b_id"), *[F.col(x).alias(f"b_{x}") for x in fields])
     sub = a.where(F.col("parentId").isNotNull()).select(F.col("entityId").alias("e_entity"), F.col("name").alias("e_name"), F.col("parentId").alias("e_parent"), F.col("id").alias("e_id"), *[F.col(x).alias(f"e_{x}") for x in fields])
-    rows = e.join(c, "typ").join(top, (F.col("b_entity") == F.col("this")) & (F.col("b_name") == F.col("propertyPath")), "left")
-    rows = rows.join(sub, (F.col("e_entity") == F.col("this")) & (F.col("e_name") == F.col("subpropertyPath")) & (F.col("e_parent") == F.col("b_id")), "left")
+    # Both sides of a join are dealt by its keys into parts by size, so that a task's rows do not grow with the tables.
+    # Not fewer than shuffles have, as those of a join would be dealt once more.
+    n = max(buckets.tasks(attributes), int(attributes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    top, sub = top.repartition(n, "b_entity", "b_name"), sub.repartition(n, "e_entity", "e_name", "e_parent")
+    rows = e.join(c, "typ").repartition(n, "this", "propertyPath").join(top, (F.col("b_entity") == F.col("this")) & (F.col("b_name") == F.col("propertyPath")), "left")
+    rows = rows.repartition(n, "this", "subpropertyPath", "b_id").join(sub, (F.col("e_entity") == F.col("this")) & (F.col("e_name") == F.col("subpropertyPath")) & (F.col("e_parent") == F.col("b_id")), "left")
     rows = rows.where(F.col("subpropertyPath").isNull() | F.col("e_id").isNotNull())
     path = F.coalesce("subpropertyPath", "propertyPath")
     rows = rows.withColumn("parentPath", F.when(F.col("subpropertyPath").isNull(), "").otherwise(F.concat("propertyPath", F.lit("["), _index("b_datasetId"), F.lit("] ==> "))))

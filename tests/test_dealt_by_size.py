@@ -1,6 +1,6 @@
 """Joins and groupings are dealt into as many parts as the files need, so that a task's share does not grow with them."""
 
-from plantstate.operators import cdc, onto
+from plantstate.operators import cdc, checks, onto
 from plantstate.plans import flow_queries, graph_queries
 from plantstate.sources import adapter, buckets
 
@@ -17,3 +17,9 @@ def test_reference_triples_are_dealt_by_size(spark, monkeypatch):
     monkeypatch.setattr(buckets, "TASK_BYTES", 5_000)
     r = graph_queries.refs(spark, SF)
     assert onto.references_to_triples(r).rdd.getNumPartitions() == buckets.tasks(r) > 8
+
+
+def test_bases_of_checks_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_BYTES", 5_000)
+    e, a, c = adapter.entities(spark, SF), adapter.attributes(spark, SF), adapter.constraints(spark)
+    assert checks.check_base_prop(e, a, c, adapter.rdf(spark, SF)).rdd.getNumPartitions() == buckets.tasks(a) > 8
