@@ -9,6 +9,8 @@ that also fire on deleted attributes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +80,35 @@ def _live() -> Column:
     return F.expr(_LIVE)
 
 
+def _part(p: str) -> str:
+    """SQL of a part of a text: those that begin with a quote are plain text, others SQL, NULL where it is null."""
+    return "'" + p[1:].replace("\\", "\\\\").replace("'", "\\'") + "'" if p.startswith("'") else f"coalesce({p}, 'NULL')"
+
+
 def _text(*parts: str) -> Column:
-    """Parts in a row: those that begin with a quote are plain text, others SQL, NULL where it is null."""
-    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr("concat(" + ", ".join(quoted(p[1:]) if p.startswith("'") else f"coalesce({p}, 'NULL')" for p in parts) + ")")
+    """Parts in a row."""
+    return F.expr("concat(" + ", ".join(map(_part, parts)) + ")")
+
+
+def _of_check(values: Sequence[str]) -> str:
+    """SQL of one value for each check: that of check number _n; null for other numbers."""
+    if all(v.startswith("'") for v in values):
+        return f"get(array({', '.join(values)}), _n)"
+    numbers = {v: ", ".join(str(i) for i, w in enumerate(values) if w == v) for v in values}
+    return "CASE " + " ".join(f"WHEN _n IN ({n}) THEN {v}" for v, n in numbers.items()) + " END"
+
 
+def _said(asked: Sequence[tuple]) -> tuple[Column, Column]:
+    """Event and text of check number _n, of which each part is looked up: with a text of its own for each check, the code
+    that is made of the plan is longer than what the JVM compiles."""
+    components, paths = zip(*[event for _, event, _ in asked])
+    event = ", ".join([_of_check([f"'{c}('" for c in components]), "parentPath", _of_check(paths), "')'"])
+    text = ", ".join(_of_check([_part(p) for p in slot]) for slot in zip_longest(*[t for _, _, t in asked], fillvalue="'"))
+    return F.expr(f"concat({event})"), F.expr(f"concat({text})")
 
-def _event(component: str, path: str = "printPath") -> Column:
-    return F.expr(f"concat('{component}(', parentPath, {path}, ')')")
+
+def _event(component: str, path: str = "printPath") -> tuple[str, str]:
+    return component, path
 
 
 def _range(column: str, op: str, compat: bool) -> Column:
@@ -111,10 +134,10 @@ def _has_value() -> Column:
     return F.expr(f"hasValue IS NOT NULL AND coalesce({differs}, false)")
 
 
-def property_checks(compat: bool = False) -> dict[str, tuple[Column, Column, Column]]:
-    """Row checks over check_base_prop(): name -> (condition, event, text)."""
+def property_checks(compat: bool = False) -> dict[str, tuple[Column, tuple[str, str], tuple[str, ...]]]:
+    """Row checks over check_base_prop(): name -> (condition, component and path of the event, parts of the text)."""
     start = ("'Model validation for property ", "path", "' failed for ", "this", "'. ")
-    said = lambda *rest: _text(*start, *rest)
+    said = lambda *rest: (*start, *rest)
     found = F.coalesce(F.array_contains(F.split(F.regexp_replace("ins", '^"|"$', ""), '"\\s*,\\s*"'), F.col("attributeValue")), F.lit(False))
     checks = {
         "chk_prop_class": ((F.col("propertyNodetype") == "@id") & F.col("propertyClass").isNotNull() & _live() & F.col("found").isNull(), _event("DatatypeConstraintComponent"), said("'Value ", "attributeValue", "' is not of type ", "propertyClass", "'.")),
@@ -133,29 +156,37 @@ def property_checks(compat: bool = False) -> dict[str, tuple[Column, Column, Col
     return checks
 
 
-def relationship_checks() -> dict[str, tuple[Column, Column, Column]]:
+def relationship_checks() -> dict[str, tuple[Column, tuple[str, str], tuple[str, ...]]]:
     """Row checks over check_base_rel()."""
     start = ("'Model validation for relationship ", "path", "' failed for ", "this", "'. ")
     return {
-        "chk_rel_class": (F.col("propertyClass").isNotNull() & _live() & F.col("found").isNull(), _event("ClassConstraintComponent"), _text(*start, "'No entity of type ", "propertyClass", "' is linked.")),
-        "chk_rel_nodekind": (_live() & ((F.col("nodeType") != "@id") | (F.col("type") != F.col("attributeType"))), _event("NodeKindConstraintComponent"), _text(*start, "'Node type ", "nodeType", "' is not an IRI or type is not a relationship.")),
+        "chk_rel_class": (F.col("propertyClass").isNotNull() & _live() & F.col("found").isNull(), _event("ClassConstraintComponent"), (*start, "'No entity of type ", "propertyClass", "' is linked.")),
+        "chk_rel_nodekind": (_live() & ((F.col("nodeType") != "@id") | (F.col("type") != F.col("attributeType"))), _event("NodeKindConstraintComponent"), (*start, "'Node type ", "nodeType", "' is not an IRI or type is not a relationship.")),
     }
 
 
-def row_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]], names: Sequence[str] | None = None) -> DataFrame:
+def _fired(base: DataFrame, conditions: dict[int, Column]) -> DataFrame:
+    """A row of base, with number _n, for each condition that it fulfils.
+
+    They are looked at once and kept as bits: an array would be made by interpreted expressions, and its size asked for before."""
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(cond, 1 << k).otherwise(0) for k, cond in enumerate(conditions.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(1 << k).alias("bit")) for k, n in enumerate(conditions)]))
+    return base.withColumn("_bits", bits).withColumn("_c", each).where(F.col("_bits").bitwiseAND(F.col("_c.bit")) != 0).withColumn("_n", F.col("_c.n"))
+
+
+def row_checks(base: DataFrame, checks: dict[str, tuple[Column, tuple[str, str], tuple[str, ...]]], names: Sequence[str] | None = None) -> DataFrame:
     """resource, event, constraint_id, triggered, severity, text for the violations of some checks, in one pass over base."""
     asked = [checks[n] for n in (names or checks)]
-    # The numbers of the checks that fire; events and texts are made of the rows that are left.
-    fired = base.withColumn("_fired", F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _, _) in enumerate(asked)]))).where(F.size("_fired") > 0)
-    rows = fired.withColumn("_n", F.explode("_fired"))
-    event, text = (F.coalesce(*[F.when(F.col("_n") == i, c[k]) for i, c in enumerate(asked)]) for k in (1, 2))
+    # Events and texts are made of the rows that are left.
+    rows = _fired(base, {i: cond for i, (cond, _, _) in enumerate(asked)})
+    event, text = _said(asked)
     return rows.select(F.col("this").alias("resource"), event.alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
 
 
 def _count_said(kind: str) -> tuple[Column, Column]:
     """Event and text of a number of values out of its bounds."""
     text = _text(f"'Model validation for {kind} ", "path", "' failed for ", "this", "'. Found ", "cast(found AS string)", "' instead of [", "coalesce(minCount, '0')", "', ", "coalesce(maxCount, '*')", "'].")
-    return _event("CountConstraintComponent", "path"), text
+    return F.expr("concat('CountConstraintComponent(', parentPath, path, ')')"), text
 
 
 def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:
@@ -169,17 +200,16 @@ def count_check(base: DataFrame, kind: str, compat: bool = False) -> DataFrame:
     return bad.select(F.col("this").alias("resource"), event.alias("event"), "constraint_id", F.lit(True).alias("triggered"), "severity", text.alias("text"))
 
 
-def _all_checks(base: DataFrame, checks: dict[str, tuple[Column, Column, Column]], kind: str, compat: bool = False) -> DataFrame:
+def _all_checks(base: DataFrame, checks: dict[str, tuple[Column, tuple[str, str], tuple[str, ...]]], kind: str, compat: bool = False) -> DataFrame:
     """row_checks() and count_check() of base in one pass and one grouping; nothing is written in between.
 
     A row of base gives a row for each check that fires, and one to be counted. Both are summed
     before the shuffle: violations by their event and text, counts by entity, path and constraint."""
     asked = list(checks.values())
     bounds = (F.col("minCount").isNotNull() | F.col("maxCount").isNotNull()) & ~F.col("edeleted")
-    numbers = [F.when(cond, F.lit(i)) for i, (cond, _, _) in enumerate(asked)]
-    rows = base.withColumn("_n", F.explode(F.array_compact(F.array(F.when(bounds, F.lit(-1)), *numbers))))
+    rows = _fired(base, {-1: bounds, **{i: cond for i, (cond, _, _) in enumerate(asked)}})
     counts = F.col("_n") == -1
-    event, text = (F.coalesce(*[F.when(F.col("_n") == i, c[k]) for i, c in enumerate(asked)]) for k in (1, 2))
+    event, text = _said(asked)
     one = F.when(counts & ~F.coalesce("deleted", F.lit(False)) & F.col("type").isNotNull(), 1).otherwise(0)
     of_counts = ("path", "parentPath", "minCount", "maxCount")
     rows = rows.select("this", "constraint_id", "severity", "_n", event.alias("_event"), text.alias("_text"), one.alias("_one"), *[F.when(counts, F.col(c)).alias(c) for c in of_counts])

@@ -23,3 +23,11 @@ def test_bases_of_checks_are_dealt_by_size(spark, monkeypatch):
     monkeypatch.setattr(buckets, "TASK_BYTES", 5_000)
     e, a, c = adapter.entities(spark, SF), adapter.attributes(spark, SF), adapter.constraints(spark)
     assert checks.check_base_prop(e, a, c, adapter.rdf(spark, SF)).rdd.getNumPartitions() == buckets.tasks(a) > 8
+
+
+def test_conditions_of_checks_are_compiled(spark):
+    """Higher-order functions are interpreted, with all that they are made of."""
+    e, a, c = adapter.entities(spark, SF), adapter.attributes(spark, SF), adapter.constraints(spark)
+    base = checks.check_base_prop(e, a, c, adapter.rdf(spark, SF))
+    for made in (checks.chk_all_prop(base), checks.row_checks(base, checks.property_checks())):
+        assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
