@@ -94,12 +94,13 @@ def sink_entity_history(spark, d):
 @query("src_nodeset_xml", "SELECT 'ns=1;i=' || p_partkey AS node, 'HasTypeDefinition' AS type, true AS forward, 'ns=1;s=' || p_type AS target FROM part UNION ALL SELECT 'ns=1;i=' || p_partkey, 'HasComponent', false, 'ns=1;s=' || p_brand FROM part")
 def src_nodeset_xml(spark, d):
     """Parts written as node set XML and read again."""
-    p = table(spark, d, "part")
+    # A file is read by one task, so it is written from a part of a size.
+    p = adapter.spread(table(spark, d, "part"), "p_partkey")
     ref = lambda kind, forward, to: F.struct(F.lit(kind).alias("_ReferenceType"), F.lit(forward).alias("_IsForward"), F.concat(F.lit("ns=1;s="), to).alias("_VALUE"))
     rows = p.select(F.concat(F.lit("ns=1;i="), F.col("p_partkey").cast("string")).alias("_NodeId"), F.col("p_name").alias("_BrowseName"), F.struct(F.array(ref("HasTypeDefinition", True, F.col("p_type")), ref("HasComponent", False, F.col("p_brand"))).alias("Reference")).alias("References"))
     path = flows.folder(spark, "nodes")
     rows.write.format("xml").option("rowTag", "UAVariable").option("rootTag", "UANodeSet").save(path)
-    return logs.nodeset_references(logs.nodeset_rows(spark, path, "UAVariable"))
+    return logs.nodeset_references(logs.nodeset_rows(spark, path, "UAVariable", rows.schema))
 
 
 # Change-data capture: orders with an older and a newer image

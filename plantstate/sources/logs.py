@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantstate.operators.cdc import cdc_flatten
 from plantstate.operators.history import attribute_history, entity_history
@@ -94,9 +95,12 @@ def read_history(spark: SparkSession, path: str, days: DataFrame | None = None)
     return (read_upserted(spark, path) if days is None else buckets.read_keys(days, path)).drop("_written")
 
 
-def nodeset_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Rows of one tag of node set XML, by Spark's XML source: _NodeId, _BrowseName, References, ..."""
-    return spark.read.format("xml").option("rowTag", tag).load(path)
+def nodeset_rows(spark: SparkSession, path: str, tag: str, schema: StructType | None = None) -> DataFrame:
+    """Rows of one tag of node set XML, by Spark's XML source: _NodeId, _BrowseName, References, ...
+
+    schema: if not named, the files are read once more for it. One task reads a file."""
+    reader = spark.read.format("xml").option("rowTag", tag)
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def nodeset_references(rows: DataFrame) -> DataFrame:

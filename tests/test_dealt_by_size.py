@@ -31,3 +31,9 @@ def test_conditions_of_checks_are_compiled(spark):
     base = checks.check_base_prop(e, a, c, adapter.rdf(spark, SF))
     for made in (checks.chk_all_prop(base), checks.row_checks(base, checks.property_checks())):
         assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_node_sets_are_written_by_size(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_BYTES", 100)
+    got = flow_queries.src_nodeset_xml(spark, SF)
+    assert len(got.inputFiles()) > 8 and got.count() == 2 * adapter.table(spark, SF, "part").count()
