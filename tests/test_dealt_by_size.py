@@ -1,5 +1,7 @@
 """Joins and groupings are dealt into as many parts as the files need, so that a task's share does not grow with them."""
 
+import pytest
+
 from plantstate.operators import cdc, checks, onto
 from plantstate.plans import flow_queries, graph_queries
 from plantstate.sources import adapter, buckets
@@ -37,3 +39,16 @@ def test_node_sets_are_written_by_size(spark, monkeypatch):
     monkeypatch.setattr(buckets, "TASK_BYTES", 100)
     got = flow_queries.src_nodeset_xml(spark, SF)
     assert len(got.inputFiles()) > 8 and got.count() == 2 * adapter.table(spark, SF, "part").count()
+
+
+def test_the_change_log_is_made_once(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def replayed(log, *rest):
+        assert not [f for f in log.inputFiles() if SF in f]
+        raise Stop
+
+    monkeypatch.setattr(flow_queries.flows, "replayed", replayed)
+    with pytest.raises(Stop):
+        flow_queries.alerts_incremental(spark, SF)
