@@ -326,6 +326,15 @@ def _stream_log(spark, d) -> DataFrame:
     return e.select(user().alias("entityId"), F.concat_ws("\\", user(), "event_type").alias("id"), null.alias("parentId"), F.col("event_type").alias("name"), F.lit("@value").alias("nodeType"), F.lit(m.PROPERTY).alias("type"), adapter.decimal_text("value").alias("attributeValue"), F.lit("@none").alias("datasetId"), F.lit(False).alias("deleted"), (F.col("event_id") % 2 == 0).alias("synced"), "ts", F.col("event_id").alias("offset"))
 
 
+def _run(spark, d, stream: DataFrame, name: str) -> DataFrame:
+    """A stream of the events, with its state in partitions by their size."""
+    return flows.run_available(stream, name, tasks=flows.state_tasks(table(spark, d, "events")))
+
+
+def _shards(spark, d) -> int:
+    return flows.shards_of(flows.state_tasks(table(spark, d, "events")))
+
+
 _CLOSED = "<= (SELECT max(ts) FROM events)"
 
 
@@ -333,19 +342,19 @@ _CLOSED = "<= (SELECT max(ts) FROM events)"
 def stream_last_value(spark, d):
     """Windows that the watermark has closed, by watermark_monotone() and last_value_agg() on a stream."""
     s = flows.watermark_monotone(_stream_log(spark, d)).select("id", "attributeValue", "ts", "offset")
-    return flows.run_available(aggregates.last_value_agg(s, ["id"], "1 hour", "ts", "offset").select("id", "window_start", "attributeValue"), "last")
+    return _run(spark, d, aggregates.last_value_agg(s, ["id"], "1 hour", "ts", "offset").select("id", "window_start", "attributeValue"), "last")
 
 
 @query("stream_session_debounce", f"SELECT resource, session_start, session_end, severity FROM ({SESSION_SQL}) WHERE session_end {_CLOSED}")
 def stream_session_debounce(spark, d):
     s = flows.watermark_delay(raised(flows.event_stream(spark, d)), "0 seconds").select("resource", "event", "severity", "text", "ts", "event_id")
-    return flows.run_available(alerts.session_debounce(s, ["resource"], "6 hours", "ts", "event_id").select("resource", "session_start", "session_end", "severity"), "session")
+    return _run(spark, d, alerts.session_debounce(s, ["resource"], "6 hours", "ts", "event_id").select("resource", "session_start", "session_end", "severity"), "session")
 
 
 @query("stream_alert_changes", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, {_BEFORE} FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE {_CHANGED}")
 def stream_alert_changes(spark, d):
     s = raised(flows.event_stream(spark, d)).select("resource", "severity", "text", "ts", "event_id")
-    return flows.run_available(flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"]), "changes").select("resource", "text", "event_id")
+    return _run(spark, d, flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"], shards=_shards(spark, d)), "changes").select("resource", "text", "event_id")
 
 
 def _points(stream: DataFrame) -> DataFrame:
@@ -361,7 +370,7 @@ def state_time_stream(spark, d):
 @query("state_time_ends", STATE_SQL)
 def state_time_ends(spark, d):
     """Points in order of time, by the rule that only looks at the ends of what is known."""
-    return flows.state_time_stream(_points(flows.event_stream(spark, d)), flows.folder(spark, "totals"), "user_id", "state", "ms", compat=True)
+    return flows.state_time_stream(_points(flows.event_stream(spark, d)), flows.folder(spark, "totals"), "user_id", "state", "ms", compat=True, tasks=flows.state_tasks(table(spark, d, "events")))
 
 
 @query("state_time_retract", STATE_SQL.replace("FROM events)", "FROM events WHERE event_id % 10 <> 3)"))
@@ -383,11 +392,11 @@ def current_state_stream(spark, d):
 @query("seq_check_stream", SEQ_SQL)
 def seq_check_stream(spark, d):
     s = flows.event_stream(spark, d).select("user_id", "event_id", "ts", (F.col("event_id") % 256).cast("int").alias("seq"), (F.col("event_id") % 97 == 0).alias("birth"))
-    return flows.run_available(flows.seq_check_stream(s, "user_id", "seq", "birth", ["ts", "event_id"]), "seq").select("event_id", "valid")
+    return _run(spark, d, flows.seq_check_stream(s, "user_id", "seq", "birth", ["ts", "event_id"], shards=_shards(spark, d)), "seq").select("event_id", "valid")
 
 
-def _hours(stream: DataFrame, name: str) -> DataFrame:
-    return flows.run_available(aggregates.last_value_agg(stream.select("id", "attributeValue", "ts", "offset"), ["id"], "1 hour", "ts", "offset").select("id", "window_start", "attributeValue"), name)
+def _hours(spark, d, stream: DataFrame, name: str) -> DataFrame:
+    return _run(spark, d, aggregates.last_value_agg(stream.select("id", "attributeValue", "ts", "offset"), ["id"], "1 hour", "ts", "offset").select("id", "window_start", "attributeValue"), name)
 
 
 def _hours_sql(delay: str) -> str:
@@ -396,12 +405,12 @@ def _hours_sql(delay: str) -> str:
 
 @query("watermark_monotone", _hours_sql("0 HOUR"))
 def watermark_monotone(spark, d):
-    return _hours(flows.watermark_monotone(_stream_log(spark, d)), "monotone")
+    return _hours(spark, d, flows.watermark_monotone(_stream_log(spark, d)), "monotone")
 
 
 @query("watermark_delay", _hours_sql("5 HOUR"))
 def watermark_delay(spark, d):
-    return _hours(flows.watermark_delay(_stream_log(spark, d), "5 hours"), "delay")
+    return _hours(spark, d, flows.watermark_delay(_stream_log(spark, d), "5 hours"), "delay")
 
 
 @query("idle_sources", _hours_sql("0 HOUR"))
@@ -409,14 +418,14 @@ def idle_sources(spark, d):
     """A second source has no records that count, and its watermark stands still."""
     idle = flows.watermark_monotone(_stream_log(spark, d).where("false"))
     with flows.idle_sources(spark):
-        return _hours(flows.watermark_monotone(_stream_log(spark, d)).unionByName(idle), "idle")
+        return _hours(spark, d, flows.watermark_monotone(_stream_log(spark, d)).unionByName(idle), "idle")
 
 
 @query("state_ttl", f"WITH {_ALERT} SELECT resource, text, event_id FROM (SELECT *, {_BEFORE}, lag(ts) OVER w AS since FROM alert WINDOW w AS (PARTITION BY resource ORDER BY ts, event_id)) WHERE {_CHANGED} OR ts - since > INTERVAL 12 HOUR")
 def state_ttl(spark, d):
     """State that is twelve hours old has expired, and its timer removes it."""
     s = raised(flows.event_stream(spark, d)).select("resource", "severity", "text", "ts", "event_id")
-    return flows.run_available(flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"], ttl="12 hours"), "ttl").select("resource", "text", "event_id")
+    return _run(spark, d, flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"], ttl="12 hours", shards=_shards(spark, d)), "ttl").select("resource", "text", "event_id")
 
 
 def change_log(spark: SparkSession, d: str) -> DataFrame:

@@ -64,12 +64,32 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that there is now, into Parquet files, and read those."""
+def state_tasks(table: DataFrame, batches: int = 4) -> int:
+    """The number of partitions of the state of a replayed table: as many as a batch has files, or there are cores.
+
+    Each partition costs every batch a task, a call of Python's worker and files of state, with rows or without."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, buckets.stored_bytes(table) // (FILE_BYTES * batches))
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, tasks: int | None) -> Iterator[None]:
+    """Within, streams start with state in so many partitions (None: as many as shuffles have). A checkpoint keeps its number."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(tasks or before))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", tasks: int | None = None) -> DataFrame:
+    """Run a stream over all that there is now, into Parquet files, and read those. tasks: see state_partitions()."""
     spark = stream.sparkSession
     path = folder(spark, name)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state_partitions(spark, tasks):
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -93,6 +113,11 @@ def current_state_stream(stream: DataFrame, keys: list[str], path: str, ts: str,
 SHARDS = 1024
 
 
+def shards_of(tasks: int | None) -> int:
+    """So many shards for a state of so many partitions: a call of Python costs more than hundreds of rows do."""
+    return SHARDS if tasks is None else min(SHARDS, 32 * tasks)
+
+
 def _sharded(stream: DataFrame, key: str, shards: int) -> DataFrame:
     """With the key as text and the shard it lies in. By the text, as that is what tells the keys of a shard apart."""
     d = stream.withColumn("_key", F.col(key).cast("string"))
@@ -155,19 +180,21 @@ def idle_sources(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def state_time_stream(stream: DataFrame, path: str, key: str, state_col: str, ts_ms: str, removed: str | None = None, compat: bool = False, state: str | None = None) -> DataFrame:
+def state_time_stream(stream: DataFrame, path: str, key: str, state_col: str, ts_ms: str, removed: str | None = None, compat: bool = False, state: str | None = None, tasks: int | None = None) -> DataFrame:
     """key, state_ms after all that there is now: milliseconds in state 1, of points in any order.
 
     removed: a column that says that a row takes back an earlier point. path holds the points and
     the segments they make (see StateTimeView), and the totals. compat: points inside the known
-    span are ignored and nothing can be taken back (see state_time_ends). state: the checkpoint."""
+    span are ignored and nothing can be taken back (see state_time_ends); tasks: the partitions of
+    its state (see state_partitions). state: the checkpoint."""
     spark = stream.sparkSession
     gone = F.col(removed) if removed else F.lit(False)
     view = StateTimeView(spark, path)
     if compat:
-        totals = state_time_ends(stream, key, state_col, ts_ms)
+        totals = state_time_ends(stream, key, state_col, ts_ms, shards_of(tasks))
         put = lambda batch, number: buckets.upsert(batch.withColumn("batch", F.lit(number).cast("long")), f"{path}/totals", [key], "batch")
-        totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state or f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        with state_partitions(spark, tasks):
+            totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state or f"{path}/state").trigger(availableNow=True).start().awaitTermination()
         return buckets.read(spark, f"{path}/totals").select(key, "state_ms")
     points = stream.select(F.col(key).alias("key"), F.col(ts_ms).alias("ms"), F.col(state_col).alias("state"), gone.alias("removed"))
     run_batches(points, "points", lambda batch, number: view.apply(batch, number) and None, state or f"{path}/state")

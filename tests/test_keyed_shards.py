@@ -101,3 +101,23 @@ def test_replayed_batches_have_more_files_where_the_input_is_larger(spark, tmp_p
     flows.run_batches(stream, "seen", lambda b, n: seen.append(b.agg(F.min("id"), F.max("id"), F.count("*"), F.count_distinct("f")).first()))
     assert [r[3] for r in seen] == [3] * 4
     assert sum(r[2] for r in seen) == 5000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_state_has_partitions_by_the_size_of_its_rows(spark, points, tmp_path, monkeypatch):
+    from plantstate.plans import flow_queries as q
+
+    stream, rows = points
+    spark.createDataFrame(rows, "user_id string, value int, ts timestamp").withColumns({"event_id": F.monotonically_increasing_id(), "event_type": F.lit("view")}).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    table = spark.read.parquet(str(tmp_path / "events.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert flows.state_tasks(table) == cores
+    monkeypatch.setattr(flows, "folder", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert q.state_ttl(spark, str(tmp_path)).count() >= len(KEYS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len([n for n in buckets.names(spark, str(tmp_path / "ttl/state/state/0")) if n.isdigit()]) == cores
+    monkeypatch.setattr(flows, "FILE_BYTES", buckets.stored_bytes(table) // (4 * 3 * cores))
+    assert flows.state_tasks(table) >= 3 * cores
