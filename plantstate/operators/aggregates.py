@@ -42,19 +42,23 @@ def state_time(df: DataFrame, keys: Sequence[str], state: str, ts_ms: str, name:
 def state_segments(points: DataFrame, keys: Sequence[str], segment: str, state: str, ts_ms: str) -> DataFrame:
     """What state_time() has to know of each segment of a key's time: its first and last point, and the time held inside.
 
-    points has one row per key and time; a segment is a range of times."""
-    within = Window.partitionBy(*keys, segment).orderBy(ts_ms)
+    points has one row per key and time; a segment is a range of times. Rows with a null state
+    are no points: a segment that has no others has nulls."""
+    there = F.col(state).isNotNull()
+    within = Window.partitionBy(*keys, segment, there).orderBy(ts_ms)
     inner = F.when(F.col(state) == 1, F.lead(ts_ms).over(within) - F.col(ts_ms))
-    point = F.struct(F.col(ts_ms).alias("ms"), F.col(state).alias("state"))
+    point = F.when(there, F.struct(F.col(ts_ms).alias("ms"), F.col(state).alias("state")))
     return points.withColumn("_in", inner).groupBy(*keys, segment).agg(F.min(point).alias("first"), F.max(point).alias("last"), F.sum("_in").alias("inner_ms"))
 
 
-def state_of_segments(segments: DataFrame, keys: Sequence[str], segment: str, name: str = "state_ms") -> DataFrame:
-    """state_time() from state_segments(): the time inside, and between a segment and the next."""
-    after = F.lead("first.ms").over(Window.partitionBy(*keys).orderBy(segment))
+def state_of_segments(segments: DataFrame, keys: Sequence[str], segment: str, name: str = "state_ms", empty: str | None = None) -> DataFrame:
+    """state_time() from state_segments(): the time inside, and between a segment and the next. empty: a column that says that a key has no points."""
+    # Segments follow each other as their first points do; those without points come before all others.
+    after = F.lead("first.ms").over(Window.partitionBy(*keys).orderBy("first.ms"))
     across = F.when(F.col("last.state") == 1, after - F.col("last.ms"))
     both = F.when(across.isNull() & F.col("inner_ms").isNull(), F.lit(None)).otherwise(F.coalesce(across, F.lit(0)) + F.coalesce("inner_ms", F.lit(0)))
-    return segments.withColumn("_ms", both).groupBy(*keys).agg(F.sum("_ms").alias(name))
+    more = [F.min(F.col("first").isNull()).alias(empty)] if empty else []
+    return segments.withColumn("_ms", both).groupBy(*keys).agg(F.sum("_ms").alias(name), *more)
 
 
 def last_value_agg(df: DataFrame, keys: Sequence[str], window: str, ts: str = "ts", tie: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -110,33 +110,42 @@ def _remove_old(spark: SparkSession, path: str) -> None:
                 fs.delete(_path(spark, path, "data", gone), True)
 
 
-def _bucket(v: Version):
-    return F.pmod(F.xxhash64(*v.by), F.lit(v.buckets)).cast("int")
+def bucket(columns: Sequence[str], n: int) -> Column:
+    """The number of the bucket, of n, that a row lies in by some columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
 def _write(rows: DataFrame, path: str, v: Version, name: str) -> dict[str, str]:
     """Rows by bucket, as bucket -> folder. A bucket is one file, unless it is so large that it is split."""
     spark = rows.sparkSession
-    rows.withColumn("_bucket", _bucket(v)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/data/{name}")
+    rows.withColumn("_bucket", bucket(v.by, v.buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{path}/data/{name}")
     return {n.removeprefix("_bucket="): f"{name}/{n}" for n in names(spark, f"{path}/data/{name}") if n.startswith("_bucket=")}
 
 
-def _rows(spark: SparkSession, path: str, v: Version, buckets: Sequence[str] | None = None) -> DataFrame:
+def _deltas(spark: SparkSession, path: str, v: Version, buckets: Sequence[str] | None = None) -> DataFrame:
     parts = [v.parts[b] for b in (v.parts if buckets is None else buckets) if b in v.parts]
     schema = StructType.fromJson(v.schema)
-    if not parts:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*[f"{path}/data/{p}" for ps in parts for p in ps])
-    return latest_by_key(rows, v.keys, v.ts, v.tie) if any(len(ps) > 1 for ps in parts) else rows
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{p}" for ps in parts for p in ps]) if parts else spark.createDataFrame([], schema)
+
+
+def _rows(spark: SparkSession, path: str, v: Version, buckets: Sequence[str] | None = None) -> DataFrame:
+    rows = _deltas(spark, path, v, buckets)
+    several = any(len(v.parts[b]) > 1 for b in (v.parts if buckets is None else buckets) if b in v.parts)
+    return latest_by_key(rows, v.keys, v.ts, v.tie) if several else rows
+
+
+def deltas(spark: SparkSession, path: str, numbers: Sequence[int]) -> DataFrame:
+    """The rows of some buckets, older ones of a key, too: for those who group them anyway."""
+    return _deltas(spark, path, version(spark, path), [str(n) for n in numbers])
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str], ts: str = "ts", tie: str | None = None, by: Sequence[str] | None = None, buckets: int = BUCKETS, batch: int | None = None) -> bool:
+def upsert(df: DataFrame, path: str, keys: Sequence[str], ts: str = "ts", tie: str | None = None, by: Sequence[str] | None = None, buckets: int = BUCKETS, batch: int | None = None, unique: bool = False) -> bool:
     """Merge rows into the table: of a key the newest row stays, whichever batch brings it.
 
     by: the columns whose hash gives the bucket, functions of the key; the keys themselves if
     not named. batch: a batch of this or a later number that has been applied is not applied
     again (the result says whether it was). keys, by and buckets are fixed by the first write.
-    A null in a key is a value like any."""
+    unique: df has one row per key. A null in a key is a value like any."""
     spark = df.sparkSession
     old = version(spark, path)
     if old is not None and batch is not None and batch <= old.batch:
@@ -146,7 +155,8 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], ts: str = "ts", tie: s
     new = Version(old.number + 1, old.keys, old.by, old.ts, old.tie, old.buckets, old.schema, old.batch if batch is None else batch, dict(old.parts))
     columns = [f.name for f in StructType.fromJson(old.schema).fields]
     name = f"{new.number:010d}-{uuid.uuid4().hex[:8]}"
-    written = _write(latest_by_key(df.select(*columns), old.keys, old.ts, old.tie), path, old, name)
+    rows = df.select(*columns)
+    written = _write(rows if unique else latest_by_key(rows, old.keys, old.ts, old.tie), path, old, name)
     for b, part in written.items():
         new.parts[b] = [*new.parts.get(b, []), part]
     long = [b for b in written if len(new.parts[b]) > DELTAS]
@@ -174,7 +184,7 @@ def read_keys(wanted: DataFrame, path: str) -> DataFrame:
     names = [f"_w{i}" for i in range(len(found.by))]
     asked = wanted.toDF(*names).distinct()
     # At most as many numbers as there are buckets.
-    numbers = [str(r[0]) for r in asked.select(F.pmod(F.xxhash64(*names), F.lit(found.buckets)).cast("int")).distinct().collect()]
+    numbers = [str(r[0]) for r in asked.select(bucket(names, found.buckets)).distinct().collect()]
     rows = _rows(spark, path, found, numbers)
     same = [rows[b].eqNullSafe(asked[n]) for b, n in zip(found.by, names)]
     cond = same[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantstate import model as m
@@ -111,35 +111,52 @@ class StateTimeView:
         self.spark, self.path, self.width_ms, self.n_buckets = spark, path.rstrip("/"), width_ms, n_buckets
 
     def _put(self, rows: DataFrame, table: str, keys: list[str], by: list[str], batch: int) -> None:
-        upsert(rows.withColumn("batch", F.lit(batch).cast("long")), f"{self.path}/{table}", keys, "batch", by=by, buckets=self.n_buckets, batch=batch)
+        upsert(rows.withColumn("batch", F.lit(batch).cast("long")), f"{self.path}/{table}", keys, "batch", by=by, buckets=self.n_buckets, batch=batch, unique=True)
 
-    def _points(self, delta: DataFrame, touched: DataFrame, batch: int) -> None:
-        """Counts of points, with those of the batch added, unless they have been."""
+    def _buckets(self, table: str) -> int:
+        found = version(self.spark, f"{self.path}/{table}")
+        return found.buckets if found else self.n_buckets
+
+    def _counts(self, good: DataFrame, numbers: list[int], batch: int) -> DataFrame:
+        """key, seg, ms, state, n, changed: all points of the segments that the batch touches, with the batch's own added, unless
+        they have been. Rows are dealt out by segment once, for the newest counts, the sums and the choice of segments."""
         known = version(self.spark, f"{self.path}/points")
-        if known is not None and batch <= known.batch:
-            return
+        point = ["key", "seg", "ms", "state"]
+        added = F.sum(F.when(F.col("removed"), -1).otherwise(1))
+        rows = good.groupBy(*point).agg((F.lit(0).cast("long") if known is not None and batch <= known.batch else added).alias("added"))
+        rows = rows.select(*point, "added", F.lit(True).alias("changed"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("batch"))
         if known is not None:
-            old = read_keys(touched, f"{self.path}/points").drop("batch")
-            delta = old.join(delta.select("key", "seg", "ms", "state"), ["key", "seg", "ms", "state"], "left_semi").unionByName(delta)
-        counts = delta.groupBy("key", "seg", "ms", "state").agg(F.sum("n").alias("n"))
-        self._put(cut(counts), "points", ["key", "seg", "ms", "state"], ["key", "seg"], batch)
+            old = buckets.deltas(self.spark, f"{self.path}/points", numbers)
+            rows = rows.unionByName(old.select(*point, F.lit(0).cast("long").alias("added"), F.lit(False).alias("changed"), "n", "batch"))
+        n = F.coalesce(F.max_by("n", "batch"), F.lit(0)) + F.sum("added")
+        counts = rows.repartition("key", "seg").groupBy(*point).agg(n.alias("n"), F.max("changed").alias("changed"))
+        return counts.withColumn("_touched", F.max("changed").over(Window.partitionBy("key", "seg"))).where("_touched").drop("_touched")
+
+    def _totals(self, keys: DataFrame, numbers: list[int]) -> DataFrame:
+        """key, state_ms, deleted: of some keys, from their segments, which are dealt out by key once."""
+        parts = {f"{end}_{of}": F.col(f"{end}.{of}") for end in ("first", "last") for of in ("ms", "state")} | {"inner_ms": F.col("inner_ms")}
+        rows = buckets.deltas(self.spark, f"{self.path}/segments", numbers).select("key", "seg", "batch", *[c.alias(n) for n, c in parts.items()], F.lit(False).alias("asked"))
+        rows = rows.unionByName(keys.select("key", F.lit(True).alias("asked")), allowMissingColumns=True)
+        # Of numbers only, so that the newest ones are found by hashes and not by sorting.
+        newest = rows.repartition("key").groupBy("key", "seg").agg(*[F.max_by(n, "batch").alias(n) for n in parts], F.max("asked").alias("asked"))
+        ends = [F.when(F.col(f"{end}_ms").isNotNull(), F.struct(F.col(f"{end}_ms").alias("ms"), F.col(f"{end}_state").alias("state"))).alias(end) for end in ("first", "last")]
+        asked = F.max("asked").over(Window.partitionBy("key").orderBy("first_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        mine = newest.withColumn("_asked", asked).where("_asked").select("key", "seg", *ends, "inner_ms")
+        return aggregates.state_of_segments(mine, ["key"], "seg", empty="deleted")
 
     def apply(self, points: DataFrame, batch: int) -> DataFrame:
         """Apply points (key, ms, state, removed) and return key, state_ms, deleted for the keys they touch. Rows with a null key, state or time are left out."""
         good = points.where("key is not null and state is not null and ms is not null").withColumn("seg", F.floor(F.col("ms") / self.width_ms).cast("long"))
-        delta = cut(good.groupBy("key", "seg", "ms", "state").agg(F.sum(F.when(F.col("removed"), -1).otherwise(1)).alias("n")))
-        if delta.isEmpty():
+        # At most as many numbers as there are buckets.
+        of_points, of_keys = good.agg(F.collect_set(buckets.bucket(["key", "seg"], self._buckets("points"))), F.collect_set(buckets.bucket(["key"], self._buckets("segments")))).first()
+        if not of_points:
             return self.spark.createDataFrame([], points.select("key", F.lit(0).cast("long").alias("state_ms"), F.lit(False).alias("deleted")).schema)
-        touched = cut(delta.select("key", "seg").distinct())
-        self._points(delta, touched, batch)
-        live = read_keys(touched, f"{self.path}/points").where("n > 0").groupBy("key", "seg", "ms").agg(F.max("state").alias("state"))
-        found = aggregates.state_segments(live, ["key"], "seg", "state", "ms")
+        now = cut(self._counts(good, of_points, batch))
+        self._put(now.where("changed").drop("changed"), "points", ["key", "seg", "ms", "state"], ["key", "seg"], batch)
+        live = now.repartition("key", "seg").groupBy("key", "seg", "ms").agg(F.max(F.when(F.col("n") > 0, F.col("state"))).alias("state"))
         # A segment that has lost all its points stays as an empty one.
-        self._put(cut(touched.join(found, ["key", "seg"], "left")), "segments", ["key", "seg"], ["key"], batch)
-        keys = touched.select("key").distinct()
-        segments = read_keys(keys, f"{self.path}/segments").where("first is not null")
-        totals = keys.join(aggregates.state_of_segments(segments, ["key"], "seg").withColumn("deleted", F.lit(False)), "key", "left")
-        totals = cut(totals.select("key", "state_ms", F.coalesce("deleted", F.lit(True)).alias("deleted")))
+        self._put(aggregates.state_segments(live, ["key"], "seg", "state", "ms"), "segments", ["key", "seg"], ["key"], batch)
+        totals = cut(self._totals(now.select("key").distinct(), of_keys))
         self._put(totals, "totals", ["key"], ["key"], batch)
         return totals
 

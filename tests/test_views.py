@@ -183,3 +183,30 @@ def test_heartbeats_go_and_tombstones_stay(spark):
     df = spark.createDataFrame([("r", "state", "major", "x", "2024-01-01 00:00:00"), ("r", "heartbeat", "flush", None, "2024-01-01 00:00:30"), ("r", "state", None, None, "2024-01-01 00:00:40"), ("r", "state", "flush", "y", "2024-01-01 02:00:00"), ("r", None, "ok", "z", "2024-01-01 04:00:00")], "resource string, event string, severity string, text string, ts string")
     got = alerts.session_debounce(df.withColumn("ts", F.col("ts").cast("timestamp")), ["resource"], "1 minute").orderBy("session_start").collect()
     assert [(r.severity, r.text) for r in got] == [(None, None), ("flush", "y"), ("ok", "z")]
+
+
+def test_a_batch_of_points_takes_few_jobs_and_empties_keys(spark, tmp_path):
+    schema = "key string, ms bigint, state int, removed boolean"
+    view = StateTimeView(spark, str(tmp_path / "v"), width_ms=50, n_buckets=4)
+    batches = [
+        [("a", 10, 1, False), ("a", 120, 0, False), ("a", 130, 0, None), ("b", 5, 1, False), ("c", 1, 0, False)],
+        [("a", 60, 0, False), ("b", 5, 1, True), ("a", 130, 0, True), ("d", 9, 1, True)],
+        [("b", 7, 1, False), ("b", 300, 1, False), ("d", 9, 1, False), ("d", 9, 1, False)],
+    ]
+    want = [
+        {"a": (110, False), "b": (None, False), "c": (None, False)},
+        {"a": (50, False), "b": (None, True), "d": (None, True)},
+        {"b": (293, False), "d": (None, False)},
+    ]
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        spark.sparkContext.setJobGroup(f"points {number}", "")
+        got = view.apply(df, number)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"points {number}"))
+        assert {r.key: (r.state_ms, r.deleted) for r in got.collect()} == want[number]
+        assert {r.key: (r.state_ms, r.deleted) for r in view.apply(df, number).collect()} == want[number]
+        assert jobs <= 16, jobs
+    spark.sparkContext.setJobGroup("", "")
+    # A batch before the last one changes nothing, and its keys are those it touches.
+    assert {r.key for r in view.apply(spark.createDataFrame(batches[0], schema), 0).collect()} == {"a", "b", "c"}
+    assert {r.key: r.state_ms for r in view.totals().collect()} == {"a": 50, "b": 293, "c": None, "d": None}
