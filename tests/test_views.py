@@ -210,3 +210,17 @@ def test_a_batch_of_points_takes_few_jobs_and_empties_keys(spark, tmp_path):
     # A batch before the last one changes nothing, and its keys are those it touches.
     assert {r.key for r in view.apply(spark.createDataFrame(batches[0], schema), 0).collect()} == {"a", "b", "c"}
     assert {r.key: r.state_ms for r in view.totals().collect()} == {"a": 50, "b": 293, "c": None, "d": None}
+
+
+def test_a_streamed_batch_of_points_writes_two_parts_besides_its_tables(spark, tmp_path, monkeypatch):
+    from plantstate.streaming import views
+
+    rng, parts, cut = random.Random(7), [], views.cut
+    rows = [(rng.choice("abc"), rng.randint(0, 10**9), rng.randint(0, 1)) for _ in range(90)]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "key string, ms bigint, state int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(views, "cut", lambda df: parts.append(df.columns) or cut(df))
+    stream = spark.readStream.schema("key string, ms bigint, state int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = flows.state_time_stream(stream, str(tmp_path / "w"), "key", "state", "ms").collect()
+    whole = aggregates.state_time(spark.read.parquet(str(tmp_path / "in")), ["key"], "state", "ms").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(parts) <= 2 * 3
