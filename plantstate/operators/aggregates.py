@@ -51,14 +51,19 @@ def state_segments(points: DataFrame, keys: Sequence[str], segment: str, state:
     return points.withColumn("_in", inner).groupBy(*keys, segment).agg(F.min(point).alias("first"), F.max(point).alias("last"), F.sum("_in").alias("inner_ms"))
 
 
-def state_of_segments(segments: DataFrame, keys: Sequence[str], segment: str, name: str = "state_ms", empty: str | None = None) -> DataFrame:
-    """state_time() from state_segments(): the time inside, and between a segment and the next. empty: a column that says that a key has no points."""
-    # Segments follow each other as their first points do; those without points come before all others.
-    after = F.lead("first.ms").over(Window.partitionBy(*keys).orderBy("first.ms"))
-    across = F.when(F.col("last.state") == 1, after - F.col("last.ms"))
+def state_of_segments(segments: DataFrame, keys: Sequence[str], segment: str, name: str = "state_ms", empty: str | None = None, newest: str | None = None) -> DataFrame:
+    """state_time() from state_segments(): the time inside, and between a segment and the next that has points.
+
+    empty: a column that says that a key has no points. newest: of rows of one segment the one with the largest value of this counts."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(segment), *([F.desc(newest)] if newest else []))
+    old = F.lag(segment).over(w).eqNullSafe(F.col(segment)) if newest else F.lit(False)
+    rows = segments.select(*keys, segment, *([newest] if newest else []), F.col("first.ms").alias("_first"), F.col("last.ms").alias("_last"), F.col("last.state").alias("_state"), "inner_ms").withColumn("_old", old)
+    # From the last segment to the first one: the next is the nearest above.
+    after = F.last(F.when(~F.col("_old"), F.col("_first")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    across = F.when(F.col("_state") == 1, after - F.col("_last"))
     both = F.when(across.isNull() & F.col("inner_ms").isNull(), F.lit(None)).otherwise(F.coalesce(across, F.lit(0)) + F.coalesce("inner_ms", F.lit(0)))
-    more = [F.min(F.col("first").isNull()).alias(empty)] if empty else []
-    return segments.withColumn("_ms", both).groupBy(*keys).agg(F.sum("_ms").alias(name), *more)
+    more = [F.min(F.col("_first").isNull()).alias(empty)] if empty else []
+    return rows.withColumn("_ms", both).where(~F.col("_old")).groupBy(*keys).agg(F.sum("_ms").alias(name), *more)
 
 
 def last_value_agg(df: DataFrame, keys: Sequence[str], window: str, ts: str = "ts", tie: str | None = None) -> DataFrame:

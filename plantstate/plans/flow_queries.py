@@ -357,20 +357,20 @@ def stream_alert_changes(spark, d):
     return _run(spark, d, flows.alert_changes_stream(s, "resource", ["severity", "text"], ["ts", "event_id"], shards=_shards(spark, d)), "changes").select("resource", "text", "event_id")
 
 
-def _points(stream: DataFrame) -> DataFrame:
-    return stream.select("user_id", "event_id", F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis("ts").alias("ms"))
+def _points() -> list[Column]:
+    return [F.col("user_id"), F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis("ts").alias("ms")]
 
 
 @query("state_time_stream", STATE_SQL)
 def state_time_stream(spark, d):
     """Points come in batches that have nothing to do with their times."""
-    return flows.state_time_stream(_points(flows.event_stream(spark, d, mixed=True)), flows.folder(spark, "totals"), "user_id", "state", "ms")
+    return flows.state_time_stream(flows.event_stream(spark, d, mixed=True, columns=_points()), flows.folder(spark, "totals"), "user_id", "state", "ms")
 
 
 @query("state_time_ends", STATE_SQL)
 def state_time_ends(spark, d):
     """Points in order of time, by the rule that only looks at the ends of what is known."""
-    return flows.state_time_stream(_points(flows.event_stream(spark, d)), flows.folder(spark, "totals"), "user_id", "state", "ms", compat=True, tasks=flows.state_tasks(table(spark, d, "events")))
+    return flows.state_time_stream(flows.event_stream(spark, d, columns=_points()), flows.folder(spark, "totals"), "user_id", "state", "ms", compat=True, tasks=flows.state_tasks(table(spark, d, "events")))
 
 
 @query("state_time_retract", STATE_SQL.replace("FROM events)", "FROM events WHERE event_id % 10 <> 3)"))
@@ -378,8 +378,7 @@ def state_time_retract(spark, d):
     """Every tenth point is taken back, in a batch of its own choice."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     both = e.withColumn("removed", F.lit(False)).unionByName(e.where("event_id % 10 = 3").withColumn("removed", F.lit(True)))
-    stream = flows.replayed(both, F.xxhash64("event_id", "removed"))
-    points = stream.select("user_id", F.col("event_type").isin("view", "click").cast("int").alias("state"), F.unix_millis("ts").alias("ms"), "removed")
+    points = flows.replayed(both, F.xxhash64("event_id", "removed"), columns=[*_points(), "removed"])
     return flows.state_time_stream(points, flows.folder(spark, "totals"), "user_id", "state", "ms", "removed")
 
 

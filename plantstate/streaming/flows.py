@@ -21,13 +21,13 @@ from plantstate.streaming.views import StateTimeView
 FILE_BYTES = 2 << 20
 
 
-def replayed(table: DataFrame, order: Column, batches: int = 4, files: int | None = None) -> DataFrame:
+def replayed(table: DataFrame, order: Column, batches: int = 4, files: int | None = None, columns: Sequence[Column | str] = ("*",)) -> DataFrame:
     """A table as a stream of micro-batches: order (a number) is cut into ranges, and each range is a batch of so many files.
 
-    files: if not named, one for each FILE_BYTES of the table's files, so that no task writes or reads more of a batch."""
+    columns: what the stream has of a row; others are not dealt out and written. files: if not named, one for each FILE_BYTES of the table's files, so that no task writes or reads more of a batch."""
     spark = table.sparkSession
     path = folder(spark, "replay")
-    d = table.withColumn("_o", order.cast("long"))
+    d = table.select(*columns, order.cast("long").alias("_o"))
     cuts = d.agg(F.percentile_approx("_o", [i / batches for i in range(1, batches)], 10000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     n = files or max(1, buckets.stored_bytes(table) // (FILE_BYTES * batches))
@@ -41,13 +41,13 @@ def replayed(table: DataFrame, order: Column, batches: int = 4, files: int | Non
         part = part if high is None else part.where(F.col("_o") <= high)
         # One after the other, as a stream takes files by their time.
         part.drop("_o").repartition(n).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", n).parquet(path)
+    return spark.readStream.schema(d.drop("_o").schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
-def event_stream(spark: SparkSession, sf_dir: str, batches: int = 4, mixed: bool = False) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, batches: int = 4, mixed: bool = False, columns: Sequence[Column | str] = ("*",)) -> DataFrame:
     """The events table as a stream of micro-batches, by time or (mixed) in an order that has nothing to do with it."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return replayed(e, F.xxhash64("event_id") if mixed else F.unix_micros("ts"), batches)
+    return replayed(e, F.xxhash64("event_id") if mixed else F.unix_micros("ts"), batches, columns=columns)
 
 
 def watermark_monotone(stream: DataFrame, ts: str = "ts") -> DataFrame:

@@ -14,6 +14,11 @@ from plantstate.sources import buckets
 from plantstate.sources.buckets import read_keys, upsert, version
 
 
+#: A part of points or segments that is dealt out stands for so many bytes of files, and a point for so many of them. Smaller parts
+#: cost more: each takes pages of memory of its own for hashing and sorting.
+PART_BYTES, POINT_BYTES = 4 << 20, 10
+
+
 class AlertView:
     """Alerts of all checks, kept up to date from batches of changed entities and attributes.
 
@@ -117,46 +122,61 @@ class StateTimeView:
         found = version(self.spark, f"{self.path}/{table}")
         return found.buckets if found else self.n_buckets
 
-    def _counts(self, good: DataFrame, numbers: list[int], batch: int) -> DataFrame:
-        """key, seg, ms, state, n, changed: all points of the segments that the batch touches, with the batch's own added, unless
-        they have been. Rows are dealt out by segment once, for the newest counts, the sums and the choice of segments."""
+    def _parts(self, size: int) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, size // PART_BYTES)
+
+    def _changes(self, good: DataFrame, numbers: list[int], n_rows: int, batch: int) -> DataFrame:
+        """The points that the batch (of n_rows) changes (changed), with their new counts; and of each segment that it touches one
+        row, that of its first point (of_segment), with the numbers that state_segments() gives (1: first, 2: last). Rows are dealt out by
+        segment once, into parts by size, and sorted once; what is not changed is not written."""
         known = version(self.spark, f"{self.path}/points")
         point = ["key", "seg", "ms", "state"]
-        added = F.sum(F.when(F.col("removed"), -1).otherwise(1))
-        rows = good.groupBy(*point).agg((F.lit(0).cast("long") if known is not None and batch <= known.batch else added).alias("added"))
-        rows = rows.select(*point, "added", F.lit(True).alias("changed"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("batch"))
+        added = F.lit(0) if known is not None and batch <= known.batch else F.when(F.col("removed"), -1).otherwise(1)
+        # The batch's own rows have no number of a batch.
+        rows = good.select(*point, added.cast("long").alias("n"), F.lit(None).cast("long").alias("batch"))
+        size = n_rows * POINT_BYTES
         if known is not None:
             old = buckets.deltas(self.spark, f"{self.path}/points", numbers)
-            rows = rows.unionByName(old.select(*point, F.lit(0).cast("long").alias("added"), F.lit(False).alias("changed"), "n", "batch"))
-        n = F.coalesce(F.max_by("n", "batch"), F.lit(0)) + F.sum("added")
-        counts = rows.repartition("key", "seg").groupBy(*point).agg(n.alias("n"), F.max("changed").alias("changed"))
-        return counts.withColumn("_touched", F.max("changed").over(Window.partitionBy("key", "seg"))).where("_touched").drop("_touched")
+            rows, size = rows.unionByName(old.select(*point, "n", "batch")), size + buckets.stored_bytes(old)
+        own = F.col("batch").isNull()
+        n = F.coalesce(F.max_by("n", "batch"), F.lit(0)) + F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0))
+        counts = rows.repartition(self._parts(size), "key", "seg").groupBy(*point).agg(n.alias("n"), F.max(own).alias("changed"))
+
+        w = Window.partitionBy("key", "seg").orderBy("ms", "state")
+        start, end = Window.unboundedPreceding, Window.unboundedFollowing
+        newest = lambda c, *frame: F.last(c, ignorenulls=True).over(w.rowsBetween(*frame))
+        d = counts.withColumns({c: F.when(F.col("n") > 0, F.col(of)) for c, of in (("_ms", "ms"), ("_state", "state"))})
+        d = d.withColumns({"_ms0": newest("_ms", start, -1), "_state0": newest("_state", start, -1), "_first": F.min("_ms").over(w.rowsBetween(start, 0)), "_row": F.row_number().over(w)})
+        # Of points of one time the last one, by state, counts.
+        held = F.when((F.col("_state0") == 1) & (F.col("_ms0") < F.col("_ms")), F.col("_ms") - F.col("_ms0"))
+        whole = {
+            "inner_ms": F.sum(held).over(w.rowsBetween(start, end)), "of_segment": (F.col("_row") == 1) & F.max("changed").over(w.rowsBetween(start, end)),
+            "_ms1": newest(F.when(F.col("_ms") == F.col("_first"), F.col("_ms")), start, end), "_state1": newest(F.when(F.col("_ms") == F.col("_first"), F.col("_state")), start, end),
+            "_ms2": newest("_ms", start, end), "_state2": newest("_state", start, end),
+        }
+        ends = [F.when(F.col("of_segment"), F.col(c)).alias(c) for c in ("inner_ms", "_ms1", "_state1", "_ms2", "_state2")]
+        return d.withColumns(whole).where("changed or of_segment").select(*point, "n", "changed", "of_segment", *ends)
 
     def _totals(self, keys: DataFrame, numbers: list[int]) -> DataFrame:
-        """key, state_ms, deleted: of some keys, from their segments, which are dealt out by key once."""
-        parts = {f"{end}_{of}": F.col(f"{end}.{of}") for end in ("first", "last") for of in ("ms", "state")} | {"inner_ms": F.col("inner_ms")}
-        rows = buckets.deltas(self.spark, f"{self.path}/segments", numbers).select("key", "seg", "batch", *[c.alias(n) for n, c in parts.items()], F.lit(False).alias("asked"))
-        rows = rows.unionByName(keys.select("key", F.lit(True).alias("asked")), allowMissingColumns=True)
-        # Of numbers only, so that the newest ones are found by hashes and not by sorting.
-        newest = rows.repartition("key").groupBy("key", "seg").agg(*[F.max_by(n, "batch").alias(n) for n in parts], F.max("asked").alias("asked"))
-        ends = [F.when(F.col(f"{end}_ms").isNotNull(), F.struct(F.col(f"{end}_ms").alias("ms"), F.col(f"{end}_state").alias("state"))).alias(end) for end in ("first", "last")]
-        asked = F.max("asked").over(Window.partitionBy("key").orderBy("first_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        mine = newest.withColumn("_asked", asked).where("_asked").select("key", "seg", *ends, "inner_ms")
-        return aggregates.state_of_segments(mine, ["key"], "seg", empty="deleted")
+        """key, state_ms, deleted: of some keys, from their segments, which are dealt out by key once, into parts by size."""
+        rows = buckets.deltas(self.spark, f"{self.path}/segments", numbers)
+        return aggregates.state_of_segments(rows.repartition(self._parts(buckets.stored_bytes(rows)), "key"), ["key"], "seg", empty="deleted", newest="batch").join(keys, "key", "left_semi")
 
     def apply(self, points: DataFrame, batch: int) -> DataFrame:
         """Apply points (key, ms, state, removed) and return key, state_ms, deleted for the keys they touch. Rows with a null key, state or time are left out."""
         good = points.where("key is not null and state is not null and ms is not null").withColumn("seg", F.floor(F.col("ms") / self.width_ms).cast("long"))
-        # At most as many numbers as there are buckets.
-        of_points, of_keys = good.agg(F.collect_set(buckets.bucket(["key", "seg"], self._buckets("points"))), F.collect_set(buckets.bucket(["key"], self._buckets("segments")))).first()
-        if not of_points:
+        # At most as many pairs as there are pairs of buckets.
+        touched = good.groupBy(buckets.bucket(["key", "seg"], self._buckets("points")), buckets.bucket(["key"], self._buckets("segments"))).count().collect()
+        of_points, of_keys = sorted({r[0] for r in touched}), sorted({r[1] for r in touched})
+        if not touched:
             return self.spark.createDataFrame([], points.select("key", F.lit(0).cast("long").alias("state_ms"), F.lit(False).alias("deleted")).schema)
-        now = cut(self._counts(good, of_points, batch))
-        self._put(now.where("changed").drop("changed"), "points", ["key", "seg", "ms", "state"], ["key", "seg"], batch)
-        live = now.repartition("key", "seg").groupBy("key", "seg", "ms").agg(F.max(F.when(F.col("n") > 0, F.col("state"))).alias("state"))
+        now = cut(self._changes(good, of_points, sum(r[2] for r in touched), batch))
+        self._put(now.where("changed").select("key", "seg", "ms", "state", "n"), "points", ["key", "seg", "ms", "state"], ["key", "seg"], batch)
         # A segment that has lost all its points stays as an empty one.
-        self._put(aggregates.state_segments(live, ["key"], "seg", "state", "ms"), "segments", ["key", "seg"], ["key"], batch)
-        totals = cut(self._totals(now.select("key").distinct(), of_keys))
+        segments = now.where("of_segment")
+        ends = [F.when(F.col(f"_ms{i}").isNotNull(), F.struct(F.col(f"_ms{i}").alias("ms"), F.col(f"_state{i}").alias("state"))).alias(end) for i, end in ((1, "first"), (2, "last"))]
+        self._put(segments.select("key", "seg", *ends, "inner_ms"), "segments", ["key", "seg"], ["key"], batch)
+        totals = cut(self._totals(segments.select("key"), of_keys))
         self._put(totals, "totals", ["key"], ["key"], batch)
         return totals
 

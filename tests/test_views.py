@@ -224,3 +224,28 @@ def test_a_streamed_batch_of_points_writes_two_parts_besides_its_tables(spark, t
     got = flows.state_time_stream(stream, str(tmp_path / "w"), "key", "state", "ms").collect()
     whole = aggregates.state_time(spark.read.parquet(str(tmp_path / "in")), ["key"], "state", "ms").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(parts) <= 2 * 3
+
+
+def test_a_late_point_writes_itself_and_its_segment_only(spark, tmp_path, monkeypatch):
+    from plantstate.streaming import views
+
+    written, cut = [], views.cut
+    monkeypatch.setattr(views, "cut", lambda df: written.append(cut(df)) or written[-1])
+    schema = "key string, ms bigint, state int, removed boolean"
+    view = StateTimeView(spark, str(tmp_path / "v"), width_ms=1000, n_buckets=2)
+    first = [("a", t, 1, False) for t in range(0, 1000, 2)] + [("a", 2500, 0, False), ("b", 7, 0, False), ("b", 7, 1, False), ("b", 9, 2, False)]
+    assert {tuple(r) for r in view.apply(spark.createDataFrame(first, schema), 0).collect()} == {("a", 2500, False), ("b", 2, False)}
+    written.clear()
+    # In the middle of a segment: a row for the point and one for the segment, of 501 points.
+    assert view.apply(spark.createDataFrame([("a", 501, 0, False)], schema), 1).first()["state_ms"] == 2499
+    assert written[0].count() <= 2
+    # Both ends of a segment go, and one of two points of one time.
+    gone = [("a", 0, 1, True), ("a", 998, 1, True), ("b", 7, 1, True)]
+    assert {tuple(r) for r in view.apply(spark.createDataFrame(gone, schema), 2).collect()} == {("a", 2497, False), ("b", None, False)}
+
+
+def test_a_replayed_stream_has_the_columns_that_are_asked_for(spark, tmp_path):
+    spark.range(40).selectExpr("id", "id % 3 AS k", "'long text' AS t").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = flows.replayed(spark.read.parquet(str(tmp_path / "in")), F.xxhash64("id"), columns=["k", (F.col("id") * 2).alias("v")])
+    got = flows.run_available(stream, "copy")
+    assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == sorted((i % 3, 2 * i) for i in range(40))
