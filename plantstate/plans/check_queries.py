@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ def base_rel(spark: SparkSession, d: str, by: DataFrame | None = None) -> DataFr
     return checks.check_base_rel(adapter.entities(spark, d), adapter.attributes(spark, d), shapes(spark, d) if by is None else by)
 
 
-def triggers(spark: SparkSession, d: str) -> DataFrame:
-    by = shapes(spark, d)
-    return checks.chk_all_rel(base_rel(spark, d, by)).unionByName(checks.chk_all_prop(base_prop(spark, d, by)))
+def triggers(spark: SparkSession, d: str, operations: Sequence[str]) -> DataFrame:
+    """Violations of the constraints that some operations of the combinations ask for, lying by resource. The triples are written
+    first, as a table of unknown size would have the whole base dealt out for a join with it."""
+    by = checks.named_by(shapes(spark, d), adapter.combinations(spark), operations)
+    return checks.all_checks(adapter.entities(spark, d), adapter.attributes(spark, d), by, graph.cut(adapter.rdf(spark, d)))
 
 
 BASE = ("this", "path", "parentPath", "constraint_id", "edeleted", "attributeValue", "nodeType", "type", "found")
@@ -92,13 +96,13 @@ def chk_inherited(spark, d):
 
 @query("combine_or", b.CHECKS + f", {b.TRIGGERS}, {b.COMBINED} SELECT * FROM combined")
 def combine_or(spark, d):
-    return checks.combine_or(triggers(spark, d), adapter.combinations(spark), adapter.constraints(spark))
+    return checks.combine_or(triggers(spark, d, ["OR"]), adapter.combinations(spark), adapter.constraints(spark))
 
 
 @query("publish_alerts", b.CHECKS + f", {b.TRIGGERS}, {b.COMBINED} {b.PUBLISHED}")
 def publish_alerts(spark, d):
     """All alerts: every check, the alternatives, and what is published of them."""
-    t = graph.cut(triggers(spark, d))
+    t = graph.cut(triggers(spark, d, ["OR", "PUBLISH"]))
     combos = adapter.combinations(spark)
     return checks.publish_alerts(t.unionByName(checks.combine_or(t, combos, adapter.constraints(spark))), combos)
 

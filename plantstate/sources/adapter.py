@@ -177,9 +177,17 @@ CONSTRAINT_ROWS = [
 COMBINATION_ROWS = [(i, "PUBLISH", i) for i in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)] + [(2, "OR", 100), (13, "OR", 100), (100, "PUBLISH", 100)]
 
 
+def _fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Fixed rows, as SQL: so a plan knows how few they are, and deals out no table for a join with them."""
+    sql = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns = [c.split(" ") for c in schema.split(", ")]
+    made = ", ".join("(" + ", ".join(map(sql, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'cast({name} AS {kind}) AS {name}' for name, kind in columns)} FROM VALUES {made} AS t({', '.join(name for name, _ in columns)})")
+
+
 def constraints(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    return spark.createDataFrame([(i, *(row.get(c) for c in m.CONSTRAINT_COLUMNS)) for i, row in CONSTRAINT_ROWS], m.CONSTRAINTS)
+    return _fixed(spark, [(i, *(row.get(c) for c in m.CONSTRAINT_COLUMNS)) for i, row in CONSTRAINT_ROWS], m.CONSTRAINTS)
 
 
 def combinations(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    return spark.createDataFrame(COMBINATION_ROWS, m.COMBINATIONS)
+    return _fixed(spark, COMBINATION_ROWS, m.COMBINATIONS)
