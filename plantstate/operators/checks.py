@@ -341,3 +341,22 @@ def publish_alerts(triggers: DataFrame, combinations: DataFrame) -> DataFrame:
     published = combinations.where("operation = 'PUBLISH'").select(F.col("member_constraint_id").alias("constraint_id"))
     rows = triggers.join(published, "constraint_id").groupBy("resource", "event").agg(F.max("severity").alias("severity"), F.max("text").alias("text"))
     return rows.select("resource", "event", F.lit("Development").alias("environment"), F.array(F.lit("SHACL Validator")).alias("service"), "severity", F.lit("customer").alias("customer"), "text")
+
+
+def alerts(triggers: DataFrame, combinations: DataFrame, constraints: DataFrame) -> DataFrame:
+    """publish_alerts() of triggers (of checks) and of their combine_or(), in one grouping, so that triggers are made once and not
+    written, and are not dealt out where they lie by resource."""
+    published = combinations.where("operation = 'PUBLISH'").select(F.col("member_constraint_id").alias("constraint_id")).distinct()
+    members = combinations.where("operation = 'OR'").select(F.col("member_constraint_id").alias("constraint_id"), F.col("target_constraint_id").alias("target"))
+    # What is known of a target, by a union: a join is taken for as large as the product of its sides, and no longer sent to where rows lie.
+    known = [members.select("target", F.lit(1).alias("n")), published.select(F.col("constraint_id").alias("target"), F.lit(True).alias("p")), constraints.select(F.col("id").alias("target"), F.lit(True).alias("c"), F.col("severity").alias("_severity"))]
+    targets = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), known).groupBy("target").agg(F.sum("n").alias("_needed"), F.max("_severity").alias("_severity"), F.max("p").alias("p"), F.max("c").alias("c")).where("p and c").drop("p", "c")
+    rows = triggers.join(published.unionByName(members.distinct().join(targets, "target"), allowMissingColumns=True), "constraint_id")
+    own = F.col("target").isNull()
+    member = lambda c: F.collect_set(F.when(~own & F.col("triggered"), F.col(c)))
+    rows = rows.withColumn("event", F.when(own, F.col("event"))).groupBy("resource", "target", "event").agg(F.max("severity").alias("severity"), F.max("text").alias("text"), member("constraint_id").alias("_fired"), member("text").alias("_texts"), F.max("_needed").alias("_needed"), F.max("_severity").alias("_severity"))
+    all_fired = F.size("_fired") == F.col("_needed")
+    event = F.when(own, F.col("event")).otherwise(F.concat(F.lit("OR Constraint id "), F.col("target").cast("string"))).alias("event")
+    severity = F.when(own, F.col("severity")).when(all_fired, F.col("_severity")).otherwise("ok").alias("severity")
+    text = F.when(own, F.col("text")).when(all_fired, F.array_join(F.sort_array("_texts"), " AND ")).otherwise("All ok").alias("text")
+    return rows.select("resource", event, F.lit("Development").alias("environment"), F.array(F.lit("SHACL Validator")).alias("service"), severity, F.lit("customer").alias("customer"), text)

@@ -102,9 +102,7 @@ def combine_or(spark, d):
 @query("publish_alerts", b.CHECKS + f", {b.TRIGGERS}, {b.COMBINED} {b.PUBLISHED}")
 def publish_alerts(spark, d):
     """All alerts: every check, the alternatives, and what is published of them."""
-    t = graph.cut(triggers(spark, d, ["OR", "PUBLISH"]))
-    combos = adapter.combinations(spark)
-    return checks.publish_alerts(t.unionByName(checks.combine_or(t, combos, adapter.constraints(spark))), combos)
+    return checks.alerts(triggers(spark, d, ["OR", "PUBLISH"]), adapter.combinations(spark), adapter.constraints(spark))
 
 
 def _late_orders(spark, d):

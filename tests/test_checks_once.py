@@ -9,6 +9,7 @@ import pytest
 from plantstate import model as m
 from plantstate.operators import checks, graph
 from plantstate.plans import check_queries
+from plantstate.sources import adapter
 
 SF = "/root/testdata/sf0.001"
 START = datetime(2024, 1, 1)
@@ -22,6 +23,7 @@ ROWS = [
     (7, {"targetClass": "T", "propertyPath": "r", "attributeType": m.PROPERTY, "propertyNodetype": "@value", "severity": "minor", "maxCount": "1"}),
     (9, {"targetClass": "T", "severity": "critical"}),
 ]
+COMBINATIONS = [(1, "PUBLISH", 1), (2, "PUBLISH", 2), (2, "PUBLISH", 3), (4, "PUBLISH", 4), (6, "PUBLISH", 6), (7, "PUBLISH", 7), (1, "OR", 9), (3, "OR", 9), (9, "PUBLISH", 9), (4, "OR", 8), (8, "PUBLISH", 8)]
 
 
 def tables(spark):
@@ -68,17 +70,35 @@ def test_all_checks_are_those_of_both_bases(spark, compat):
     assert listed(checks.all_checks(fewer, a, c, rdf, e, compat)) == listed(apart)
 
 
+def test_alerts_are_those_of_triggers_and_alternatives(spark):
+    e, a, c, rdf = tables(spark)
+    combos = spark.createDataFrame(COMBINATIONS, m.COMBINATIONS)
+    t = graph.cut(checks.all_checks(e, a, c, rdf))
+    want = listed(checks.publish_alerts(t.unionByName(checks.combine_or(t, combos, c)), combos))
+    named = checks.all_checks(e, a, checks.named_by(c, combos), rdf)
+    assert any("OR Constraint" in r for r in want) and listed(checks.alerts(named, combos, c)) == want
+
+
 def dealt_by(df):
     """The lists of keys by which a plan deals rows out."""
     found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
     return {tuple(re.findall(r"(\w+)#", keys)) for keys in found}
 
 
-def test_alternatives_are_made_where_entities_lie(spark, monkeypatch):
+def test_alerts_are_made_where_entities_lie(spark, monkeypatch):
     """No base row, violation or alert is dealt out or written; only entities, attributes and what they point to."""
     written, cut = [], graph.cut
     monkeypatch.setattr(check_queries.graph, "cut", lambda df: written.append(df.columns) or cut(df))
-    for query in (check_queries.combine_or,):
+    for query in (check_queries.publish_alerts, check_queries.combine_or):
         keys = dealt_by(query(spark, SF))
         assert {k for k in keys if {"this", "b_entity", "resource"} & {*k}} == {("this",), ("b_entity",), ("b_entity", "b_id")}
     assert not [columns for columns in written if "event" in columns]
+
+
+def test_what_all_rows_go_through_is_compiled(spark):
+    """The JVM does not compile methods of more than 8000 bytes."""
+    got = checks.alerts(check_queries.triggers(spark, SF, ["OR", "PUBLISH"]), adapter.combinations(spark), adapter.constraints(spark))
+    got.collect()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(got._jdf.queryExecution().executedPlan()))
+    assert sizes and max(map(int, sizes)) < 8000
