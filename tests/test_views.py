@@ -249,3 +249,40 @@ def test_a_replayed_stream_has_the_columns_that_are_asked_for(spark, tmp_path):
     stream = flows.replayed(spark.read.parquet(str(tmp_path / "in")), F.xxhash64("id"), columns=["k", (F.col("id") * 2).alias("v")])
     got = flows.run_available(stream, "copy")
     assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == sorted((i % 3, 2 * i) for i in range(40))
+
+
+def test_wanted_rows_are_asked_for_before_the_newest(spark, tmp_path):
+    """Rows of a key lie where those that are wanted were looked for, and only the columns that are asked for are dealt out."""
+    path = str(tmp_path / "t")
+    schema = "k string, id string, ts int, v string, rest string"
+    for i in range(3):
+        buckets.upsert(spark.createDataFrame([(f"k{j % 9}" if j % 10 else None, f"i{j}", i if j % 3 else -i, f"{i}.{j}", "long") for j in range(90)], schema), path, ["id"], by=["k"], buckets=4)
+    newest = {r.id: (r.k, r.v) for r in buckets.read(spark, path).collect()}
+    for wanted in (["k1", "k5", "none"], ["k2", None]):
+        asked = spark.createDataFrame([(w,) for w in wanted], "w string")
+        got = buckets.read_keys(asked, path, ["id", "k", "v"])
+        assert got.columns == ["id", "k", "v"] and {r.id: (r.k, r.v) for r in got.collect()} == {i: kv for i, kv in newest.items() if kv[0] in wanted}
+        assert buckets.read_keys(asked, path).columns == ["k", "id", "ts", "v", "rest"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = buckets.read_keys(spark.createDataFrame([("k1",)], "w string"), path, ["id", "v"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2 and "rest#" not in plan
+
+
+def test_a_batch_of_files_is_not_written_before(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from plantstate.streaming import views
+
+    written, cut = [], views.cut
+    monkeypatch.setattr(views, "cut", lambda df: written.append(df.columns) or cut(df))
+    c = constraint_rows(spark, [(1, {"targetClass": "T", "propertyPath": "p", "attributeType": m.PROPERTY, "propertyNodetype": "@value", "severity": "minor", "maxInclusive": "5"})])
+    view = AlertView(spark, str(tmp_path / "v"), lambda: c, spark.createDataFrame([(1, "PUBLISH", 1)], m.COMBINATIONS), c, spark.createDataFrame([], m.RDF), n_buckets=2)
+    ts = datetime(2024, 1, 1)
+    spark.createDataFrame([("t", "T", False, ts)], m.ENTITIES).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([attribute("t", "p", "9", ts)], m.ATTRIBUTES).write.parquet(str(tmp_path / "a"))
+    sent = view.apply(spark.read.parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "a")), 0, stored=True)
+    assert [(r.resource, r.severity) for r in sent.collect()] == [("t", "minor")] and sent.columns == view.alerts().columns
+    # What was touched and is looked at: without the columns that no check has, and no violations.
+    assert not [columns for columns in written if {"synced", "event"} & {*columns}]
